@@ -48,9 +48,11 @@ def range_slices(df: DataFrame, order: Sequence) -> DataFrame:
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def scan(df: DataFrame, group: Sequence[str], order: Sequence, outputs: dict[str, tuple[str, Column]]) -> DataFrame:
+def scan(df: DataFrame, group: Sequence[str], order: Sequence, outputs: dict[str, tuple[str, Column]], before_only: bool = False) -> DataFrame:
     """Running ``sum``/``max``/``min`` inside groups, in ``order``.
 
+    ``before_only`` leaves the current row out of its own result.
+
     The window runs per (slice, group), so a hot group is spread over slices;
     what earlier slices contribute is a table of at most two rows per slice.
     ``order`` must decide the position of every row of a group.
@@ -60,7 +62,7 @@ def scan(df: DataFrame, group: Sequence[str], order: Sequence, outputs: dict[str
     inside = (
         Window.partitionBy("_slice", *group)
         .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, -1 if before_only else Window.currentRow)
     )
     local = sliced
     for name, (fn, value) in outputs.items():
@@ -143,7 +145,7 @@ def collect_chunked(df: DataFrame, group: Sequence[str], order: Sequence, items:
     packed = pos.groupBy(*group, "part").agg(
         F.array_sort(F.collect_list(F.struct("_pos", *[c.alias(n) for n, c in items.items()]))).alias("_all")
     )
-    return packed.select(*group, "part", *[F.transform("_all", lambda s, n=n: s[n]).alias(n) for n in items])
+    return packed.select(*group, "part", *[F.col("_all").getField(n).alias(n) for n in items])
 
 
 def pairs_within(members: DataFrame, group: str, item: str, cell: int = 512, weight: Column | None = None) -> DataFrame:

@@ -188,66 +188,62 @@ CASES = ["NOM", "ACC", "GEN"]
 DERIVATIONS = ["ACT_PCPL", "PASS_PCPL", "VN"]
 
 
-def decode_features(cls: Column, feats: Column) -> dict[str, Column]:
-    """Typed columns of an ``A|B|K:V`` feature string; the rules depend on the class."""
-    parts = F.filter(F.transform(F.split(feats, "\\|"), lambda x: F.trim(x)), lambda x: x != "")
-    bare = F.filter(parts, lambda x: ~F.contains(x, F.lit(":")))
+def decode_features(df: DataFrame, cls: str, feats: str) -> DataFrame:
+    """Typed columns of an ``A|B|K:V`` feature string; the rules depend on the class.
 
-    def keyed(name):
-        # a repeated key keeps its last value
-        hit = F.filter(parts, lambda x: F.startswith(x, F.lit(name + ":")))
-        return F.substr(F.try_element_at(hit, F.lit(-1)), F.lit(len(name) + 2))
+    Shared pieces are columns of an inner projection, so each is computed once.
+    """
+    c = F.col(cls)
+    parts = F.filter(F.transform(F.split(F.col(feats), "\\|"), lambda x: F.trim(x)), lambda x: x != "")
+    df = df.withColumn("_parts", parts)
+    df = df.withColumn("_bare", F.filter("_parts", lambda x: ~F.contains(x, F.lit(":"))))
+    bare = F.col("_bare")
+
+    def tags(names):
+        return F.array(*[F.lit(n) for n in names])
 
     def has(tag):
         return F.array_contains(bare, tag)
 
-    def last_of(tags, allowed):
-        hit = F.filter(bare, lambda x: x.isin(*tags))
-        return F.when(allowed, F.try_element_at(hit, F.lit(-1)))
+    def keyed(name):
+        # a repeated key keeps its last value
+        hit = F.filter("_parts", lambda x: F.startswith(x, F.lit(name + ":")))
+        return F.substr(F.try_element_at(hit, F.lit(-1)), F.lit(len(name) + 2))
 
-    aspect_ok = (cls == "V") | has("NV")
-    aspect = last_of(ASPECTS, aspect_ok)
-    case = last_of(CASES, cls != "P")
-    ranked = F.filter(
-        F.array(*[F.lit(p) for p in POS_PRIORITY]),
-        lambda p: F.array_contains(bare, p) & ~((p == "ACC") & (cls != "P")),
-    )
-    fine = F.try_element_at(ranked, F.lit(1))
-    pos = F.coalesce(fine, F.when(cls == "P", F.when(has("IMPV"), F.lit("IMPV_LAM")).otherwise(F.lit("P"))).otherwise(cls))
-
-    def used(t):
-        return (
-            t.isin("PREF", "SUFF", "INDEF", *DERIVATIONS)
-            | (t.isin(*ASPECTS) & aspect_ok)
-            | ((t == "PASS") & (cls == "V"))
-            | (t.isin(*CASES) & (cls != "P"))
-            | (t == F.coalesce(fine, F.lit("")))
-            | ((t == "P") & (cls == "P"))
-        )
+    def last_of(names):
+        # bare tags in their own order, so the last one written wins
+        return F.try_element_at(F.filter(bare, lambda x: x.isin(*names)), F.lit(-1))
 
-    agreement = F.filter(bare, lambda t: ~used(t) & t.rlike("^([123])?(M|F)?(S|D|P)?$"))
+    # ACC marks case except on particles; a bare P on a particle is no number
+    fine = F.when(c == "P", F.array_intersect(tags(POS_PRIORITY), bare)).otherwise(
+        F.array_intersect(tags([p for p in POS_PRIORITY if p != "ACC"]), bare)
+    )
+    agreement = F.filter(bare, lambda t: t.rlike("^([123])?(M|F)?(S|D|P)?$") & ~((t == "P") & (c == "P")))
+    df = df.withColumns({"_fine": fine, "_agree": agreement})
 
     def mark(pattern):
-        hits = F.filter(F.transform(agreement, lambda t: F.regexp_extract(t, pattern, 1)), lambda x: x != "")
+        hits = F.filter(F.transform("_agree", lambda t: F.regexp_extract(t, pattern, 1)), lambda x: x != "")
         return F.try_element_at(hits, F.lit(-1))
 
-    return {
+    whole = F.when(c == "P", F.when(has("IMPV"), F.lit("IMPV_LAM")).otherwise(F.lit("P"))).otherwise(c)
+    out = {
         "role": F.when(has("PREF"), F.lit("prefix")).when(has("SUFF"), F.lit("suffix")).otherwise(F.lit("stem")),
-        "pos": pos,
+        "pos": F.coalesce(F.try_element_at("_fine", F.lit(1)), whole),
         "root": keyed("ROOT"),
         "lemma": keyed("LEM"),
         "verb_form": keyed("VF").try_cast("int"),
-        "aspect": aspect,
+        "aspect": F.when((c == "V") | has("NV"), last_of(ASPECTS)),
         "mood": keyed("MOOD"),
-        "voice": F.when(cls == "V", F.when(has("PASS"), F.lit("PASS")).otherwise(F.lit("ACT"))),
-        "case_mark": case,
+        "voice": F.when(c == "V", F.when(has("PASS"), F.lit("PASS")).otherwise(F.lit("ACT"))),
+        "case_mark": F.when(c != "P", last_of(CASES)),
         "state": F.when(has("INDEF"), F.lit("INDEF")),
         "person": mark("^([123])").try_cast("int"),
         "gender": mark("^[123]?([MF])"),
         "number": mark("^[123]?[MF]?([SDP])$"),
-        "derivation": F.try_element_at(F.filter(bare, lambda x: x.isin(*DERIVATIONS)), F.lit(-1)),
+        "derivation": last_of(DERIVATIONS),
         "family": keyed("FAM"),
     }
+    return df.withColumns(out).drop("_parts", "_bare", "_fine", "_agree")
 
 
 def spelling_variants(key: Column) -> Column:

@@ -203,8 +203,7 @@ def t15(spark, sf):
         F.when(c("cls") == "V", F.concat(F.lit("VF:"), c("d") % 10)), F.when(c("p3") == 0, F.lit("MOOD:JUS")),
         F.when(c("p2") == 1, F.concat(F.lit("FAM:FAM"), c("d") % 3)),
     )
-    out = tx.decode_features(c("cls"), c("feats"))
-    return base.withColumn("feats", feats).select("a", "b", "c", "d", "ts", "cls", *[v.alias(k) for k, v in out.items()])
+    return tx.decode_features(base.withColumn("feats", feats), "cls", "feats").drop("feats", "p2", "p3", "p5", "s4", "s3", "n4")
 
 
 @query(
