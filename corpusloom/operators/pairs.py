@@ -1,13 +1,17 @@
-"""Pairs of keys and of units: co-occurrence, n-gram overlap, shared runs, candidate fusion."""
+"""Pairs of keys and of units: co-occurrence, n-gram overlap, twins, rare keys, candidate fusion.
+
+``seqs`` tables hold one row per unit: (unit_id, seq) with ``seq`` the ordered
+array of lemma strings, "-1" where a token has none.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scale import pairs_within, scan, top_k
+from corpusloom.functions.scale import pairs_within, top_k
 
 
 def cooccurrence(tokens: DataFrame, min_weight: int, unit: str = "unit_id", key: str = "key", cell: int = 512) -> DataFrame:
@@ -23,3 +27,221 @@ def cooccurrence(tokens: DataFrame, min_weight: int, unit: str = "unit_id", key:
         members = members.join(often, key, "left_semi")
     pairs = pairs_within(members, unit, key, cell)
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("weight")).filter(F.col("weight") >= min_weight)
+
+
+def partners(tokens: DataFrame, key: str, floor: int, limit: int, unit: str = "unit_id") -> DataFrame:
+    """Keys that share at least ``floor`` units with one key; only its units are read again."""
+    units = tokens.filter(F.col("key") == key).select(unit).distinct()
+    near = tokens.filter((F.col("key") != key) & F.col("key").isNotNull()).join(units, unit, "left_semi").select(unit, "key").distinct()
+    return near.groupBy("key").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= floor).orderBy(F.desc("shared"), "key").limit(limit)
+
+
+def both_ways(edges: DataFrame, weight: str) -> DataFrame:
+    """(node, other, weight): each undirected edge seen from both ends, the stronger copy kept."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    flat = edges.select(F.explode(ends).alias("x"), weight).select("x.*", weight)
+    return flat.groupBy("node", "other").agg(F.max(weight).alias(weight))
+
+
+def neighbour_lists(edges: DataFrame, weight: str, n: int) -> DataFrame:
+    return top_k(both_ways(edges, weight), ["node"], [F.desc(weight), "other"], n)
+
+
+def bipartite(tokens: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node list (id, label, type) and edges (source, target, weight) from keys to their subkeys."""
+    own = tokens.dropna(subset=["key", "subkey"]).groupBy("key", "subkey").agg(F.count(F.lit(1)).alias("weight"))
+    k = keys.select(F.concat(F.lit("r"), "key").alias("id"), F.col("key").cast("string").alias("label"), F.lit("key").alias("type"))
+    s = own.select("subkey").distinct().select(F.concat(F.lit("l"), "subkey").alias("id"), F.col("subkey").cast("string").alias("label"), F.lit("subkey").alias("type"))
+    return k.unionByName(s), own.select(F.concat(F.lit("r"), "key").alias("source"), F.concat(F.lit("l"), "subkey").alias("target"), "weight")
+
+
+def threshold_networks(edges: DataFrame, thresholds: Sequence[int], weight: str = "weight") -> tuple[DataFrame, DataFrame]:
+    """The edges and node degrees of one network at several floors; isolated nodes drop out."""
+    floors = F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col(weight) >= t)
+    at = edges.select(F.explode(floors).alias("floor"), "a", "b", weight)
+    ends = at.select("floor", weight, F.explode(F.array("a", "b")).alias("node"))
+    return at, ends.groupBy("floor", "node").agg(F.count(F.lit(1)).alias("degree"), F.sum(weight).alias("strength"))
+
+
+# --- n-grams ------------------------------------------------------------------
+def grams(seq: Column, n: int) -> Column:
+    """Array of the n-grams of a sequence, in order; empty when it is shorter."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(seq) - n + 1, F.lit(1)))
+    return F.when(F.size(seq) >= n, F.transform(at, lambda i: F.concat_ws(",", F.slice(seq, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_table(seqs: DataFrame, n: int = 4) -> DataFrame:
+    """Distinct (unit_id, gram) rows."""
+    return seqs.select("unit_id", F.explode(F.array_distinct(grams(F.col("seq"), n))).alias("gram"))
+
+
+def gram_candidates(seqs: DataFrame, n: int = 4, low: int = 2, high: int = 60, min_shared: int = 2) -> DataFrame:
+    """Unit pairs (a < b, shared) with common n-grams; grams in fewer than
+    ``low`` or more than ``high`` units do not make candidates."""
+    g = gram_table(seqs, n)
+    df = g.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(low, high))
+    return _pairs_of_lists(g.join(df, "gram", "left_semi"), min_shared)
+
+
+def _pairs_of_lists(g: DataFrame, min_shared: int) -> DataFrame:
+    """Count shared grams per pair; grams with the same (short) unit list are folded first."""
+    lists = g.groupBy("gram").agg(F.array_sort(F.collect_list("unit_id")).alias("us"))
+    lists = lists.groupBy("us").agg(F.count(F.lit(1)).alias("m"))
+    at = lists.select("m", "us", F.explode(F.sequence(F.lit(1), F.size("us") - 1)).alias("p"))
+    pairs = at.select("m", F.element_at("us", F.col("p")).alias("a"), F.explode(F.expr("slice(us, p + 1, size(us))")).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("m").alias("shared")).filter(F.col("shared") >= min_shared)
+
+
+def gram_overlap(pairs: DataFrame, seqs: DataFrame, n: int = 4, low: int = 2, high: int = 60) -> DataFrame:
+    """Add ``jac``, the overlap of all n-grams of both units, common ones included.
+
+    Grams the candidates already count are not compared again: the
+    intersection is their number plus the common grams (in more than ``high``
+    units) both sides hold, a short list per unit.
+    """
+    g = gram_table(seqs, n)
+    df = g.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    counted = _pairs_of_lists(g.join(df.filter(F.col("df").between(low, high)), "gram", "left_semi"), 1).withColumnRenamed("shared", "_low")
+    sizes = g.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"))
+    common = g.join(df.filter(F.col("df") > high), "gram", "left_semi").groupBy("unit_id").agg(F.collect_list("gram").alias("cg"))
+    per = sizes.join(common, "unit_id", "left")
+    out = pairs.join(counted, ["a", "b"], "left")
+    for side in ("a", "b"):
+        out = out.join(per.select(F.col("unit_id").alias(side), F.col("n").alias(f"_n{side}"), F.col("cg").alias(f"_c{side}")), side, "left")
+    inter = F.coalesce("_low", F.lit(0)) + F.coalesce(F.size(F.array_intersect("_ca", "_cb")), F.lit(0))
+    jac = F.coalesce(inter / (F.col("_na") + F.col("_nb") - inter), F.lit(0.0))
+    return out.withColumn("jac", jac).drop("_low", "_na", "_nb", "_ca", "_cb")
+
+
+def with_sequences(pairs: DataFrame, seqs: DataFrame, *cols: str) -> DataFrame:
+    """Attach the columns of both units as ``a_<col>`` and ``b_<col>``."""
+    for side in ("a", "b"):
+        pairs = pairs.join(seqs.select(F.col("unit_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols]), side)
+    return pairs
+
+
+def tier_pairs(lexical: DataFrame, semantic: DataFrame, seqs: DataFrame, n: int = 4) -> DataFrame:
+    """Tiers exact / near / phrase / paraphrase over lexical and semantic candidates.
+
+    ``seqs`` also has ``text``; ``semantic`` is (a, b, cos) with a < b.
+    """
+    from corpusloom.operators.align import with_longest_run
+
+    cand = lexical.select("a", "b", "shared").join(semantic.select("a", "b", "cos"), ["a", "b"], "full_outer")
+    both = with_sequences(gram_overlap(cand, seqs, n), seqs, "seq", "text")
+    ran = with_longest_run(both, "a_seq", "b_seq")
+    run = F.when((F.coalesce("shared", F.lit(0)) > 0) | (F.col("jac") > 0), F.col("run")).otherwise(0)
+    tier = (
+        F.when(F.col("a_text") == F.col("b_text"), "exact")
+        .when(F.col("jac") >= 0.45, "near")
+        .when(run >= 5, "phrase")
+        .when((F.coalesce("cos", F.lit(0.0)) >= 0.62) & (F.col("jac") < 0.2), "paraphrase")
+    )
+    out = ran.withColumn("tier", tier).filter("tier IS NOT NULL")
+    return out.select("a", "b", "tier", F.round("jac", 3).alias("jaccard"), run.alias("run"), F.round("cos", 3).alias("cos"))
+
+
+# --- unit twins ---------------------------------------------------------------
+def unit_twins(seqs: DataFrame, min_full: int = 4, long_run: int = 12) -> DataFrame:
+    """Twin relation between distinct sequences: (sid_a, sid_b) from a's point of view.
+
+    A sequence of ``min_full``..``long_run`` tokens is a twin of every
+    sequence that holds all of it; a longer one of every sequence that shares
+    a run of ``long_run``.  Copies share one ``sid``, so they never multiply.
+    """
+    ids = seqs.select("sid", "seq").dropDuplicates(["sid"]).withColumn("len", F.size("seq"))
+    short = ids.filter(F.col("len").between(min_full, long_run)).select("sid", "len", F.concat_ws(",", "seq").alias("gram"))
+    per_length = [
+        ids.filter(F.col("len") >= n).select(F.col("sid").alias("sid_b"), F.lit(n).alias("len"), F.explode(F.array_distinct(grams(F.col("seq"), n))).alias("gram"))
+        for n in range(min_full, long_run + 1)
+    ]
+    windows = per_length[0]
+    for w in per_length[1:]:
+        windows = windows.unionByName(w)
+    inside = short.join(windows, ["len", "gram"]).select(F.col("sid").alias("sid_a"), "sid_b")
+    long_grams = ids.filter(F.col("len") >= long_run).select("sid", F.explode(F.array_distinct(grams(F.col("seq"), long_run))).alias("gram"))
+    pairs = pairs_within(long_grams, "gram", "sid").select("a", "b").distinct()
+    lens = ids.select("sid", "len")
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("sid_a"), F.col("b").alias("sid_b")), F.struct(F.col("b").alias("sid_a"), F.col("a").alias("sid_b")))).alias("x")).select("x.*")
+    longer = ways.join(lens.filter(F.col("len") > long_run).select(F.col("sid").alias("sid_a")), "sid_a", "left_semi")
+    itself = ids.filter(F.col("len") > long_run).select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"))
+    return inside.unionByName(longer).unionByName(itself).distinct()
+
+
+def twin_counts(units: DataFrame, seqs: DataFrame, near: int = 2, formula_len: int = 5, formula_twins: int = 8) -> DataFrame:
+    """(unit_id, n_twins, twin_spread, is_formula) without listing the twins of copies.
+
+    ``units`` has (unit_id, grp, pos, theme), ``seqs`` (unit_id, seq).  Counts
+    come from copies per sequence and theme; the unit itself and its
+    neighbours within ``near`` places of the group are taken off again.
+    """
+    keyed = seqs.withColumn("sid", F.md5(F.concat_ws(",", "seq")))
+    u = units.join(keyed.select("unit_id", "sid", F.size("seq").alias("len")), "unit_id")
+    rel = unit_twins(keyed)
+    copies = u.groupBy(F.col("sid").alias("sid_b"), "theme").agg(F.count(F.lit(1)).alias("n"))
+    total = rel.join(copies, "sid_b").groupBy("sid_a", "theme").agg(F.sum("n").alias("n"))
+    around = u.select("grp", "sid", "unit_id", F.explode(F.sequence(F.col("pos") - near, F.col("pos") + near)).alias("pos"))
+    close = around.join(u.select("grp", "pos", F.col("sid").alias("sid_b"), "theme"), ["grp", "pos"])
+    off = close.join(rel.withColumnRenamed("sid_a", "sid"), ["sid", "sid_b"]).groupBy("unit_id", "theme").agg(F.count(F.lit(1)).alias("k"))
+    mine = u.select("unit_id", F.col("sid").alias("sid_a")).join(total, "sid_a").join(off, ["unit_id", "theme"], "left")
+    left = mine.withColumn("n", F.col("n") - F.coalesce("k", F.lit(0))).filter("n > 0")
+    per = left.groupBy("unit_id").agg(F.sum("n").alias("n_twins"), F.count(F.when(F.col("theme") >= 0, 1)).alias("twin_spread"))
+    out = u.select("unit_id", "len").join(per, "unit_id", "left").fillna(0, ["n_twins", "twin_spread"])
+    return out.withColumn("is_formula", (F.col("len") <= formula_len) & (F.col("n_twins") >= formula_twins)).drop("len")
+
+
+# --- rare keys ----------------------------------------------------------------
+def key_sets(tokens: DataFrame, occurrences: DataFrame, rare_below: int, unit: str = "unit_id") -> DataFrame:
+    """Distinct (unit, key, rare): a key is rare below a number of occurrences anywhere."""
+    rare = occurrences.filter(F.col("n") < rare_below).select("key", F.lit(True).alias("rare"))
+    return tokens.dropna(subset=["key"]).select(unit, "key").distinct().join(rare, "key", "left").withColumn("rare", F.coalesce("rare", F.lit(False)))
+
+
+def containment(pairs: DataFrame, keys: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """Share of a's rare keys that b holds, both directions; null where a side has none."""
+    rare = keys.filter("rare").select(F.col(unit).alias("u"), "key")
+    sizes = rare.groupBy("u").agg(F.count(F.lit(1)).alias("s"))
+    full = keys.select(F.col(unit).alias("v"), "key")
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*").distinct()
+    hits = ways.join(rare, "u").join(full, ["v", "key"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("h"))
+    ratio = ways.join(sizes, "u", "left").join(hits, ["u", "v"], "left").select("u", "v", (F.coalesce("h", F.lit(0)) / F.col("s")).alias("c"))
+    ab = ratio.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("c").alias("c_ab"))
+    ba = ratio.select(F.col("v").alias("a"), F.col("u").alias("b"), F.col("c").alias("c_ba"))
+    return pairs.join(ab, ["a", "b"], "left").join(ba, ["a", "b"], "left")
+
+
+def rare_key_candidates(hubs: DataFrame, keys: DataFrame, k: int, unit: str = "unit_id") -> DataFrame:
+    """Units that share a hub's rare keys, the ``k`` with the most in common.
+
+    A rare key is in few units by definition, so its inverted list is short.
+    """
+    rare = keys.filter("rare").select(unit, "key")
+    mine = rare.join(hubs.select(unit).distinct(), unit, "left_semi").withColumnRenamed(unit, "hub")
+    shared = mine.join(rare.withColumnRenamed(unit, "cand"), "key").filter("hub <> cand")
+    n = shared.groupBy("hub", "cand").agg(F.count(F.lit(1)).alias("shared"))
+    return top_k(n, ["hub"], [F.desc("shared"), "cand"], k)
+
+
+def fuse_candidates(forward: DataFrame, reverse: DataFrame, shared: DataFrame, vectors: DataFrame, place: DataFrame, floor: float = 0.55, near_dup: float = 0.95, root_k: int = 8, cap: int = 30, near: int = 2) -> DataFrame:
+    """(hub, cand, via, score): nearest, then reverse nearest, then rare-key candidates.
+
+    ``forward`` and ``reverse`` have (hub, cand, score), ``shared`` (hub, cand,
+    shared), ``place`` (id, grp, pos).  Neighbours of the same group and
+    near-duplicates never count; the first channel keeps a pair; rare-key
+    pairs fill at most ``root_k`` places and no hub has more than ``cap``.
+    """
+    fwd = forward.select("hub", "cand", "score", F.lit(0).alias("ch"), (-F.col("score")).alias("o")).filter((F.col("score") >= floor) & (F.col("score") < near_dup))
+    rev = reverse.select("hub", "cand", "score", F.lit(1).alias("ch"), (-F.col("score")).alias("o")).filter((F.col("score") >= floor) & (F.col("score") < near_dup))
+    va = vectors.select(F.col("id").alias("hub"), F.col("vec").alias("_x"))
+    vb = vectors.select(F.col("id").alias("cand"), F.col("vec").alias("_y"))
+    dot = F.aggregate(F.zip_with("_x", "_y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    root = shared.join(va, "hub").join(vb, "cand").select("hub", "cand", F.round(dot, 6).alias("score"), F.lit(2).alias("ch"), (-F.col("shared")).cast("double").alias("o")).filter(F.col("score") < near_dup)
+    pa = place.select(F.col("id").alias("hub"), F.col("grp").alias("_g1"), F.col("pos").alias("_p1"))
+    pb = place.select(F.col("id").alias("cand"), F.col("grp").alias("_g2"), F.col("pos").alias("_p2"))
+    every = fwd.unionByName(rev).unionByName(root).join(pa, "hub").join(pb, "cand")
+    every = every.filter("hub <> cand AND NOT (_g1 = _g2 AND abs(_p1 - _p2) <= " + str(near) + ")")
+    first = every.groupBy("hub", "cand").agg(F.min(F.struct("ch", "o", "score")).alias("b")).select("hub", "cand", "b.*")
+    limited = top_k(first.filter("ch = 2"), ["hub"], ["o", "cand"], root_k).unionByName(first.filter("ch < 2"))
+    kept = top_k(limited, ["hub"], ["ch", "o", "cand"], cap)
+    via = F.element_at(F.array(F.lit("fwd"), F.lit("rev"), F.lit("root")), F.col("ch") + 1)
+    return kept.select("hub", "cand", via.alias("via"), "score")

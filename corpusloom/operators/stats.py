@@ -223,8 +223,9 @@ def name_spans(tokens: DataFrame, spans: DataFrame, name_tag: str, skip: Sequenc
     tf = rows.dropna(subset=["key"]).groupBy("span_id", "key", "surface").agg(F.count(F.lit(1)).alias("n"))
     best = tf.groupBy("span_id", "key").agg(F.sum("n").alias("c"), F.min_by("surface", F.struct(-F.col("n"), F.col("surface"))).alias("surface"))
     scored = best.join(df, "key").withColumn("score", F.round(F.col("c") * F.ln(total_units / F.col("df")), 6))
-    # two keys can share a surface with each other or with a noun, so keep a few to choose from
-    second = top_k(scored, ["span_id"], [F.desc("score"), "key"], 3 * most, "r").select("span_id", "surface", F.lit(1).alias("src"), F.col("r").cast("long").alias("r"))
+    # one row per surface, so at most ``most`` of them can repeat a noun
+    unique = scored.groupBy("span_id", "surface").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("_o"))
+    second = top_k(unique, ["span_id"], ["_o"], 2 * most, "r").select("span_id", "surface", F.lit(1).alias("src"), F.col("r").cast("long").alias("r"))
     pool = first.unionByName(second).groupBy("span_id", "surface").agg(F.min(F.struct("src", "r")).alias("o"))
     best2 = top_k(pool, ["span_id"], ["o", "surface"], most)
     named = best2.groupBy("span_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "surface"))), lambda s: s["surface"]), " · ").alias("name"))
