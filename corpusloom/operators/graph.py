@@ -56,45 +56,58 @@ def undirected(directed: DataFrame) -> DataFrame:
     return directed.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("w").alias("w"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 40, keep: int = 8) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 40) -> DataFrame:
     """(node, rank): weighted PageRank; the mass of dead ends is shared by all nodes.
 
-    A node's rank flows along precomputed shares; one join and one partial
-    sum per round.  The dead-end mass is what the flow did not carry, so it
-    needs no join of its own.
+    Teleport and dead ends only ever add the same amount to every node, so
+    the ranks are a weighted sum of u0 = 1, u1 = d·P·u0, u2 = d·P·u1, ...
+    Each u is one join and one partial sum over the edges; nodes nothing
+    flows to need no row, and the weights come from the totals of the u's.
     """
     out = edges.groupBy("src").agg(F.sum("w").alias("_o"))
-    share = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("_o")).alias("p")))
-    base = cut_lineage(nodes.select("node").distinct())
-    n = base.count()
-    state = base.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
-        flow = share.join(state.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("f"))
-        carried = flow.agg(F.coalesce(F.sum("f"), F.lit(0.0)))
-        got = base.join(flow.withColumnRenamed("dst", "node"), "node", "left")
-        dead = (1.0 - carried.scalar()) * (damping / n)
-        state = got.select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("f", F.lit(0.0)) + dead).alias("rank"))
-        if i % keep == keep - 1 or i == rounds - 1:
-            state = cut_lineage(state)
-    return state
+    share = cut_lineage(edges.join(out, "src").select("src", "dst", (damping * F.col("w") / F.col("_o")).alias("p")))
+    u = cut_lineage(nodes.select("node").distinct().withColumn("u", F.lit(1.0)))
+    terms = [u]
+    for _ in range(rounds):
+        step = share.join(u.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("u")).alias("u"))
+        u = cut_lineage(step)
+        terms.append(u)
+    rows = None
+    for k, t in enumerate(terms):
+        part = t.select("node", "u", F.lit(k).alias("k"))
+        rows = part if rows is None else rows.unionByName(part)
+    sums = {r["k"]: r["s"] for r in rows.groupBy("k").agg(F.sum("u").alias("s")).collect()}  # one row per round
+    n = sums[0]
+    coef = [1.0 / n]  # weight of u0, u1, ... in the current ranks
+    for _ in range(rounds):
+        kept = sum(c * sums.get(k + 1, 0.0) for k, c in enumerate(coef))
+        coef = [(1.0 - kept) / n, *coef]
+    weight = F.element_at(F.array(*[F.lit(float(c)) for c in coef]), F.col("k") + 1)
+    return rows.groupBy("node").agg(F.sum(F.col("u") * weight).alias("rank"))
 
 
 def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 30, keep: int = 5) -> DataFrame:
-    """(node, authority, hub), both of unit length."""
+    """(node, authority, hub), both of unit length.
+
+    Scaling does not change directions, so lengths are only set every
+    ``keep`` rounds, when the scores are checkpointed anyway.
+    """
     e = cut_lineage(edges.select("src", "dst", "w"))
-    base = cut_lineage(nodes.select("node").distinct())
-    state = base.withColumns({"authority": F.lit(1.0), "hub": F.lit(1.0)})
+
+    def unit(df, c):
+        df = cut_lineage(df)
+        size = df.agg(F.sqrt(F.sum(F.col(c) * F.col(c)))).first()[0] or 1.0
+        return df.withColumn(c, F.col(c) / size)
+
+    h = nodes.select("node").distinct().withColumn("hub", F.lit(1.0))
     for i in range(rounds):
-        a = e.join(state.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("hub") * F.col("w")).alias("a"))
-        h = e.join(a.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("a") * F.col("w")).alias("h"))
-        both = base.join(a, "node", "left").join(h, "node", "left").fillna(0.0, ["a", "h"])
-        size = both.agg(F.struct(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("a"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("h")))
-        both = both.withColumn("_n", size.scalar())
-        div = lambda c: F.col(c) / F.when(F.col(f"_n.{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_n.{c}"))
-        state = both.select("node", div("a").alias("authority"), div("h").alias("hub"))
+        a = e.join(h.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("hub") * F.col("w")).alias("authority"))
+        if i == rounds - 1:
+            a = unit(a, "authority")
+        h = e.join(a.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("authority") * F.col("w")).alias("hub"))
         if i % keep == keep - 1 or i == rounds - 1:
-            state = cut_lineage(state)
-    return state
+            h = unit(h, "hub")
+    return nodes.select("node").distinct().join(a, "node", "left").join(h, "node", "left").fillna(0.0, ["authority", "hub"])
 
 
 def rank_fusion(scores: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -113,7 +126,7 @@ def central_nodes(edges: DataFrame, knn: DataFrame, place: DataFrame) -> DataFra
     near = knn.join(g.withColumnsRenamed({"id": "other", "grp": "_o"}), "other").join(g, "id").filter("_o = grp")
     parts = inner.select(F.col("dst").alias("node"), "grp", F.col("w").alias("s")).unionByName(near.select(F.col("id").alias("node"), "grp", (F.col("score") * 0.5).alias("s")))
     parts = parts.unionByName(place.select(F.col("id").alias("node"), "grp", F.lit(0.0).alias("s")))
-    total = parts.groupBy("grp", "node").agg(F.round(F.sum("s"), 6).alias("score"))
+    total = parts.groupBy("grp", "node").agg(F.round(F.sum("s"), 8).alias("score"))
     best = total.groupBy("grp").agg(F.min_by(F.struct("node", "score"), F.struct(-F.col("score"), F.col("node"))).alias("b"))
     return best.select("grp", "b.node", "b.score")
 

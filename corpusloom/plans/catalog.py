@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ["text_queries", "model_queries", "stats_queries", "pair_queries", "vector_queries"]
+MODULES = ["text_queries", "model_queries", "stats_queries", "pair_queries", "vector_queries", "graph_queries"]
 for _m in MODULES:
     importlib.import_module(f"corpusloom.plans.{_m}")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import align, audit, pairs, textops
+from corpusloom.operators import align, audit, pairs, textops, vectors
 from corpusloom.plans import tables as tb
 from corpusloom.plans import text_queries as tq
+from corpusloom.plans import vector_queries as vq
 from corpusloom.plans.registry import query
 
 B, U, D, T, TT = tb.BASKET, tb.BASKET_UNITS, tb.DOC_TOK, tb.TURNS, tb.TURN_TOK
@@ -110,9 +111,6 @@ SEM = """sem AS MATERIALIZED (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id
 
 
 def semantic_pairs(spark, sf):
-    from corpusloom.operators import vectors
-    from corpusloom.plans import vector_queries as vq
-
     return vectors.mutual_pairs(vq.knn(spark, sf)).select("a", "b", F.col("score").alias("cos"))
 
 
@@ -162,12 +160,12 @@ FORM = """core AS (SELECT a, b, arg_min(gram, o) AS gram, max(n) + 3 AS run FROM
   FROM (SELECT a, b, d, i, gram, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS g FROM (SELECT a, b, x.i, x.gram, y.i - x.i AS d FROM cand JOIN gp x ON x.unit_id = a JOIN gp y ON y.unit_id = b AND y.gram = x.gram)) GROUP BY a, b, d, g) WHERE n = best) GROUP BY 1,2)"""
 
 
-@query("c13_formula_cores", f"WITH {TSEQ}, {RUN}, {FORM} SELECT a, b, CAST(core.run AS INTEGER) AS run, core.gram FROM core WHERE gram IN (SELECT gram FROM gm GROUP BY 1 HAVING count(*) >= 10)")
+@query("c13_formula_cores", f"WITH {TSEQ}, {RUN}, {FORM} SELECT a, b, CAST(core.run AS INTEGER) AS run, core.gram FROM core WHERE gram IN (SELECT gram FROM gm GROUP BY 1 HAVING count(*) >= 3)")
 def c13(spark, sf):
     s = turn_seqs(spark, sf)
     p = align.with_longest_run(pairs.with_sequences(pairs.gram_candidates(s), s, "seq"), "a_seq", "b_seq").filter("run >= 4")
     p = p.select("a", "b", "run", F.concat_ws(",", F.slice("a_seq", F.col("run_at") + 1, 4)).alias("gram"))
-    df = pairs.gram_table(s).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df >= 10")
+    df = pairs.gram_table(s).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df >= 3")
     return p.join(df, "gram", "left_semi")
 
 
@@ -177,10 +175,18 @@ def c14(spark, sf):
     return align.diff_catalog(t, s).select("a", "b", "tier", "cat", "dropped", F.round("eq", 4).alias("eq"), "moved", "morph", "shifted", "win_side")
 
 
-@query("c15_rebuilt_sides", f"WITH {TSEQ}, {JAC} SELECT a, b, md5(array_to_string(x.surf, ' ')) AS ha, md5(array_to_string(y.surf, ' ')) AS hb FROM jac JOIN ds x ON x.unit_id = a JOIN ds y ON y.unit_id = b WHERE x.text = y.text OR jac >= 0.45")
+def near_copies(spark, sf):
+    """Identical and near-identical documents."""
+    s = doc_seqs(spark, sf)
+    p = pairs.with_sequences(pairs.gram_overlap(pairs.gram_candidates(s), s).select("a", "b", "jac"), s, "text")
+    cat = F.when(F.col("a_text") == F.col("b_text"), "identical").when(F.col("jac") >= 0.45, "near")
+    return s, p.select("a", "b", cat.alias("cat")).filter("cat IS NOT NULL")
+
+
+@query("c15_rebuilt_sides", f"WITH {SEQ}, {JAC} SELECT a, b, md5(array_to_string(x.surf, ' ')) AS ha, md5(array_to_string(y.surf, ' ')) AS hb FROM jac JOIN ds x ON x.unit_id = a JOIN ds y ON y.unit_id = b WHERE x.text = y.text OR jac >= 0.45")
 def c15(spark, sf):
-    s, t = lexical_tiers(spark, sf)
-    out = align.rebuilt_sides(align.with_alignment(pairs.with_sequences(t.filter("tier IN ('exact', 'near')"), s, "seq", "surf")))
+    s, p = near_copies(spark, sf)
+    out = align.rebuilt_sides(align.with_alignment(pairs.with_sequences(p, s, "seq", "surf")))
     return out.select("a", "b", F.md5("side_a").alias("ha"), F.md5("side_b").alias("hb"))
 
 
@@ -239,6 +245,26 @@ def c18(spark, sf):
     return pairs.rare_key_candidates(hubs, k, 6)
 
 
+@query(
+    "c19_fused_candidates",
+    f"""WITH {vq.knn_sql(40, -1)}, fw AS (SELECT id AS hub, other AS cand, score, 0 AS ch, -score AS o FROM knn WHERE rank <= 12 AND score >= 0.2 AND score < 0.95), rv AS (SELECT other AS hub, id AS cand, score, 1 AS ch, -score AS o FROM knn WHERE rank <= 12 AND score >= 0.2 AND score < 0.95),
+ kk AS (SELECT l_orderkey % 500 AS u, l_partkey AS key FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY 1, 2), ra AS (SELECT key FROM kk GROUP BY 1 HAVING count(*) < 40), rk AS (SELECT * FROM kk WHERE key IN (FROM ra)), sh AS (SELECT hub, cand, shared FROM (SELECT x.u AS hub, y.u AS cand, count(*) AS shared, row_number() OVER (PARTITION BY x.u ORDER BY count(*) DESC, y.u) AS r FROM rk x JOIN rk y ON x.key = y.key AND x.u <> y.u GROUP BY 1, 2) WHERE r <= 16),
+ rt AS (SELECT hub, cand, score, 2 AS ch, -CAST(shared AS DOUBLE) AS o FROM sh JOIN sims ON sims.id = hub AND sims.other = cand WHERE score < 0.95),
+ al AS (SELECT * FROM (SELECT * FROM fw UNION ALL SELECT * FROM rv UNION ALL SELECT * FROM rt) JOIN uv p ON p.id = hub JOIN uv q ON q.id = cand WHERE NOT (p.label = q.label AND abs(p.id - q.id) <= 2)),
+ fi AS (SELECT hub, cand, ch, o, score FROM (SELECT *, row_number() OVER (PARTITION BY hub, cand ORDER BY ch, o, score) AS r FROM al) WHERE r = 1), li AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hub, ch ORDER BY o, cand) AS r8 FROM fi) WHERE ch < 2 OR r8 <= 8)
+ SELECT hub, cand, CASE ch WHEN 0 THEN 'fwd' WHEN 1 THEN 'rev' ELSE 'root' END AS via, score FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY ch, o, cand) AS k FROM li) WHERE k <= 30""",
+)
+def c19(spark, sf):
+    u = vq.unit(spark, sf)
+    t = vectors.cut_lineage(vectors.knn(u, 12))
+    fwd = t.select(F.col("id").alias("hub"), F.col("other").alias("cand"), "score")
+    rev = t.select(F.col("other").alias("hub"), F.col("id").alias("cand"), "score")
+    k = tb.load(spark, sf, "lineitem").filter("l_partkey % 20 = 0").select((F.col("l_orderkey") % 500).alias("unit_id"), F.col("l_partkey").alias("key")).distinct()
+    keys = pairs.key_sets(k, k.groupBy("key").agg(F.count(F.lit(1)).alias("n")), 40)
+    shared = pairs.rare_key_candidates(k.select("unit_id"), keys, 16)
+    return pairs.fuse_candidates(fwd, rev, shared, u.select("id", "vec"), vq.place(u), floor=0.2)
+
+
 @query(
     "c20_link_quotations",
     f"""WITH q AS (SELECT item_id * 1000 + i AS quote_id, q FROM (SELECT item_id, unnest(ss) AS q, generate_subscripts(ss,1) AS i FROM (SELECT item_id, string_split_regex(text, '[.,]') AS ss FROM benchmark))),
@@ -325,10 +351,9 @@ def c25(spark, sf):
 
 @query(
     "c26_families",
-    f"""WITH {TSEQ}, {JAC}, i AS (SELECT a, b, x.text FROM jac JOIN ds x ON x.unit_id = a JOIN ds y ON y.unit_id = b WHERE x.text = y.text), u AS (SELECT DISTINCT unnest([a, b]) AS unit_id, text FROM i)
+    f"""WITH {SEQ}, {JAC}, i AS (SELECT a, b, x.text FROM jac JOIN ds x ON x.unit_id = a JOIN ds y ON y.unit_id = b WHERE x.text = y.text), u AS (SELECT DISTINCT unnest([a, b]) AS unit_id, text FROM i)
  SELECT md5(text) AS family, 'identical' AS kind, count(*) AS size FROM u GROUP BY text UNION ALL SELECT a || ':' || b, 'near', 2 FROM jac JOIN ds x ON x.unit_id = a JOIN ds y ON y.unit_id = b WHERE x.text <> y.text AND jac >= 0.45""",
 )
 def c26(spark, sf):
-    s, t = lexical_tiers(spark, sf)
-    p = t.filter("tier IN ('exact','near')").select("a", "b", F.when(F.col("tier") == "exact", "identical").otherwise("near").alias("cat"))
+    s, p = near_copies(spark, sf)
     return audit.families(p, s.select("unit_id", "text"))
