@@ -51,7 +51,7 @@ def texttiling_depth(gaps: DataFrame) -> DataFrame:
     lp = both.groupBy("grp", "lrun").agg(F.max("sim").alias("lp"))
     rp = both.groupBy("grp", "rrun").agg(F.max("sim").alias("rp"))
     out = both.join(lp, ["grp", "lrun"]).join(rp, ["grp", "rrun"])
-    return out.select("grp", "pos", "sim", F.round(F.col("lp") + F.col("rp") - 2 * F.col("sim"), 8).alias("depth"))
+    return out.select("grp", "pos", "sim", (F.col("lp") + F.col("rp") - 2 * F.col("sim")).alias("depth"))
 
 
 def vocabulary_break(units: DataFrame, width: int = 2, least: int = 4) -> DataFrame:
@@ -67,7 +67,7 @@ def vocabulary_break(units: DataFrame, width: int = 2, least: int = 4) -> DataFr
     })
     small = F.least(F.size("_l"), F.size("_r"))
     b = F.when(small >= least, 1 - F.size(F.array_intersect("_l", "_r")) / small).otherwise(F.lit(0.0))
-    return near.select("grp", "pos", F.round(b, 8).alias("brk"))
+    return near.select("grp", "pos", b.alias("brk"))
 
 
 def category_shift(units: DataFrame, width: int = 2, support: int = 3) -> DataFrame:
@@ -93,7 +93,7 @@ def category_shift(units: DataFrame, width: int = 2, support: int = 3) -> DataFr
     lt, rt = F.expr("lc1 + lc2 + lc3"), F.expr("rc1 + rc2 + rc3")
     d = lambda x: F.abs(F.col(f"l{x}") / lt - F.col(f"r{x}") / rt)
     shift = F.when((lt >= support) & (rt >= support), (d("c2") + d("c3")) / 2).otherwise(F.lit(0.0))
-    return near.select("grp", "pos", F.round(shift, 8).alias("shift"))
+    return near.select("grp", "pos", shift.alias("shift"))
 
 
 def ending_change(units: DataFrame) -> DataFrame:
