@@ -49,6 +49,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan of few splits over all cores before costly row work; a scan
+    that already has as many splits as cores is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def range_slices(df: DataFrame, order: Sequence) -> DataFrame:
     """Sort the rows over range partitions and fix the slice number of each row."""
     n = shuffle_width(df.sparkSession)
@@ -196,10 +203,3 @@ def pairs_within(members: DataFrame, group: str, item: str, cell: int = 512, wei
     )
     pairs = pairs.filter("(lb < rb) OR (x < y)")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n")
-
-
-def upper_bound_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast hint only after counting that ``df`` stays within ``limit`` rows."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df

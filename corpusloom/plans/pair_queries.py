@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.scale import spread
 from corpusloom.operators import align, audit, pairs, textops, vectors
 from corpusloom.plans import tables as tb
 from corpusloom.plans import text_queries as tq
@@ -58,7 +59,7 @@ def c05(spark, sf):
 
 
 def doc_seqs(spark, sf):
-    d = tb.load(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "text", tx.words(F.col("text")).alias("surf"))
+    d = spread(tb.load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("unit_id"), "text", tx.words(F.col("text")).alias("surf"))
     f = lambda w: F.coalesce(F.nullif(tx.fold(w, "latin"), F.lit("")), F.lit(align.MISSING))
     return d.withColumn("seq", F.transform("surf", f))
 
@@ -276,7 +277,7 @@ def c20(spark, sf):
     skeleton = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 \\n]+", ""), tx.SPACE, " "))
     q = tb.load(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "[.,]")).alias("i", "quote"))
     q = q.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("quote_id"), "quote")
-    u = tb.load(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+    u = spread(tb.load(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "text"), "unit_id")
     return audit.link_quotations(q, u, skeleton)
 
 

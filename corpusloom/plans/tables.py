@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.scale import spread
 
 # One-to-one letter map that turns the Latin test texts into
 # Arabic script, so that script-specific operators meet real rows.
@@ -79,7 +80,7 @@ BASKET_UNITS = """unit AS (SELECT o_orderkey AS unit_id, c_nationkey AS grp, c_m
 
 # --- documents: group = source, unit = document, token = word, key = 4-letter stem ---
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents").select(
+    d = spread(load(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("unit_id"), F.col("source").alias("grp"), F.col("lang").alias("attr"), F.posexplode(tx.words(F.col("text"))).alias("i", "surface")
     )
     f = tx.fold(F.col("surface"), "latin")
@@ -104,7 +105,7 @@ TURNS = "turns AS (SELECT conv_id AS grp, turn + 1 AS pos, role, text FROM conve
 
 
 def turn_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    t = turns(spark, sf).select("grp", "pos", "role", F.posexplode(tx.words(F.col("text"))).alias("i", "surface"))
+    t = spread(turns(spark, sf), "pos").select("grp", "pos", "role", F.posexplode(tx.words(F.col("text"))).alias("i", "surface"))
     f = tx.fold(F.col("surface"), "latin")
     sub = F.when(f != "", f)
     return t.select("grp", "pos", "role", (F.col("i") + 1).alias("tok_no"), "surface", sub.alias("subkey"), F.substring(sub, 1, 4).alias("key"))

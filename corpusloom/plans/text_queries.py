@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.scale import spread
 from corpusloom.operators import textops
 from corpusloom.plans import tables as tb
 from corpusloom.plans.registry import query
@@ -13,7 +14,7 @@ SP = tb.SP
 
 
 def docs(spark, sf):
-    return tb.load(spark, sf, "documents").select("doc_id", "text")
+    return spread(tb.load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def adocs(spark, sf):

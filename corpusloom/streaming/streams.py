@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -50,7 +51,8 @@ def _next_interval(interval: float, grade: int, ease: float) -> float:
     if interval == 0:
         return float(EASY_START if grade == 3 else 1)
     step = HARD_STEP if grade == 1 else ease * EASY_STEP if grade == 3 else ease
-    return max(1.0, float(int(round(interval * step, 6) + 0.5)))
+    # the interval of a key that never lapses grows without end, so it stays a double
+    return max(1.0, math.floor(round(interval * step, 6) + 0.5)) if interval < 1e15 else min(interval * step, 1e300)
 
 
 def _ease_change(grade):
@@ -86,12 +88,12 @@ def repetition_history(events: DataFrame) -> DataFrame:
                 interval = _next_interval(interval, grade, ease)
                 out.append(interval)
             pdf["interval"] = out
-            pdf["due"] = [ms + (MINUTE_MS if g == 0 else int(i * DAY_MS)) for ms, g, i in zip(pdf["ms"], pdf["grade"], out)]
+            pdf["due"] = [float(ms) + (MINUTE_MS if g == 0 else i * DAY_MS) for ms, g, i in zip(pdf["ms"], pdf["grade"], out)]
             yield pdf.drop(columns=["_before"])
 
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
     names = [c for c in ordered.columns if c != "_before"]
-    return ordered.mapInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in names) + ", interval double, due bigint")
+    return ordered.mapInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in names) + ", interval double, due double")
 
 
 def repetition_state(events: DataFrame) -> DataFrame:
@@ -106,18 +108,18 @@ def repetition_stream(events: DataFrame) -> DataFrame:
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def fold(key, batches, state):
-        ease, interval, lapses, reps, due = state.get if state.exists else (EASE, 0.0, 0, 0, 0)
+        ease, interval, lapses, reps, due = state.get if state.exists else (EASE, 0.0, 0, 0, 0.0)
         rows = pd.concat(list(batches)).sort_values("seq")
         for ms, g in zip(rows["ms"], rows["grade"]):
             interval = _next_interval(interval, g, round(ease, 9))
             change = {0: -LAPSE_COST, 1: -HARD_COST, 3: EASY_GAIN}.get(int(g), 0.0)
             ease = max(EASE_FLOOR, ease + change)
             lapses, reps = lapses + int(g == 0), reps + 1
-            due = int(ms) + (MINUTE_MS if g == 0 else int(interval * DAY_MS))
+            due = float(ms) + (MINUTE_MS if g == 0 else interval * DAY_MS)
         state.update((ease, interval, lapses, reps, due))
         yield pd.DataFrame({"key": [key[0]], "ease": [round(ease, 9)], "interval": [interval], "lapses": [lapses], "reps": [reps], "due": [due]})
 
-    body = "ease double, interval double, lapses long, reps long, due long"
+    body = "ease double, interval double, lapses long, reps long, due double"
     return events.groupBy("key").applyInPandasWithState(fold, "key long, " + body, body, "update", GroupStateTimeout.NoTimeout)
 
 
