@@ -328,11 +328,15 @@ def cluster_summary(members: DataFrame, cents: DataFrame, degree: DataFrame | No
 def nearest_centroid(vecs: DataFrame, cents: DataFrame, floor: float, most: int = 20000) -> DataFrame:
     """(id, cluster, sim): the nearest centroid at or above ``floor``, else null.
 
-    The centroid table is counted before it is shipped to the tasks.
+    The centroid table is counted before it is shipped to the tasks; a larger
+    one is searched block by block instead.
     """
     rows = cents.select("cluster", "centroid").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError("too many centroids to ship; cluster them first")
+        left = vecs.select("id", "vec").withColumn("key", F.lit(0))
+        right = cents.select(F.col("cluster").alias("id"), F.col("centroid").alias("vec")).withColumn("key", F.lit(0))
+        best = best_match(left, right)
+        return best.select("id", F.when(F.col("score") >= floor, F.col("other")).alias("cluster"), F.col("score").alias("sim"))
     names = np.array([r[0] for r in rows])
     order = np.argsort(names, kind="stable")
     names, m = names[order], np.array([rows[i][1] for i in order], dtype=np.float64)

@@ -15,6 +15,7 @@ MODULES = [
     "graph_queries",
     "sequence_queries",
     "source_queries",
+    "api_queries",
 ]
 for _m in MODULES:
     importlib.import_module(f"corpusloom.plans.{_m}")
