@@ -69,7 +69,7 @@ def r04(spark, sf):
 
 @query("r05_token_search", f"WITH {D} SELECT unit_id, tok_no, surface FROM tok WHERE contains(surface, 'ention') ORDER BY unit_id, tok_no LIMIT 500")
 def r05(spark, sf):
-    return m.search(tb.doc_tokens(spark, sf), "surface", "ention", ["unit_id", "tok_no"], 500).select("unit_id", "tok_no", "surface")
+    return m.search(tb.doc_tokens(spark, sf), "surface", "ention", ["unit_id", "tok_no"], 500).select("unit_id", F.col("tok_no").cast("long").alias("tok_no"), "surface")
 
 
 @query("r06_prefix_search", f"WITH {D} SELECT subkey, count(*) AS freq FROM tok WHERE starts_with(subkey, 'th') GROUP BY subkey ORDER BY freq DESC, subkey LIMIT 50")
