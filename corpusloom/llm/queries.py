@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import near_dup
+from corpusloom.llm import decontaminate, line_templates, mixture, near_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op7_simhash_near_dup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op6_spaced_seed_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "item_words", "share")
+
+
+OP8_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM sized GROUP BY source
+), lvl AS (
+  SELECT *, (sum(source_size) OVER () - (sum(3 * source_size) OVER o - 3 * source_size))::DOUBLE
+            / (sum(w) OVER () - (sum(w) OVER o - w)) AS level
+  FROM src WINDOW o AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), lam AS (SELECT max(level) AS level FROM lvl)
+SELECT d.doc_id, d.size::BIGINT AS size, s.source_size, least(lam.level * s.w, 3 * s.source_size)::DOUBLE AS target
+FROM sized d JOIN src s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN lam
+"""
+
+
+@query("op8_mixture_schedule")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS line_no FROM d),
+flat AS (SELECT doc_id, t, line_no, trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS f FROM raw),
+cut AS (SELECT doc_id, t, line_no, string_split(regexp_replace(f, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS w FROM flat WHERE f <> ''),
+lines AS (SELECT *, len(w) AS n, w[1:3] AS head FROM cut),
+leaves AS (SELECT n, head FROM lines GROUP BY ALL HAVING count(*) >= 5),
+kinds AS (SELECT n, head, w, count(DISTINCT t) AS docs FROM lines SEMI JOIN leaves USING (n, head) GROUP BY n, head, w),
+tok AS (SELECT n, head, w, docs, unnest(w) AS token, unnest(range(n)) AS pos FROM kinds),
+con AS (SELECT n, head, pos, token FROM tok GROUP BY ALL HAVING sum(docs) >= 5),
+tpl AS (SELECT n, head, w, string_agg(pos || ':' || token, ' ' ORDER BY pos) AS template FROM tok JOIN con USING (n, head, pos, token)
+        GROUP BY n, head, w HAVING 100 * count(*) >= 60 * n),
+found AS (SELECT doc_id, t, line_no, n, head, template FROM lines JOIN tpl USING (n, head, w)),
+often AS (SELECT n, head, template, min({'d': doc_id, 'l': line_no}) AS f FROM found GROUP BY ALL HAVING count(DISTINCT t) >= 5),
+gone AS (SELECT doc_id, line_no FROM found JOIN often USING (n, head, template) WHERE doc_id <> f.d OR line_no <> f.l),
+kept AS (SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.line_no) AS text FROM raw ANTI JOIN gone ON raw.doc_id = gone.doc_id AND raw.line_no = gone.line_no GROUP BY raw.doc_id)
+SELECT documents.doc_id, coalesce(a.n, 0) AS n_lines, coalesce(b.n, 0) AS n_dropped,
+       CASE WHEN b.n IS NULL THEN documents.text ELSE coalesce(kept.text, '') END AS text
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) a USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) b USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_line_template_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
