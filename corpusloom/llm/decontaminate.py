@@ -37,7 +37,7 @@ def seed_structs(hashes: str, at: Column, masks: list[str]) -> Column:
         marks = [F.get(F.col(hashes), at + i) for i, bit in enumerate(m) if bit == "1"]
         fits = at + len(m) <= F.size(hashes)
         seeds.append(F.when(fits, F.xxhash64(F.lit(m), *marks)))
-    return F.array_compact(F.array(*seeds))
+    return F.array(*seeds)  # nulls go in the join
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = 4
     seeds = seeds.select(F.explode(seed_structs("item", F.col("q"), masks)).alias("seed"), "item_id", "item_words", "q").distinct()
     if seeds.count() <= broadcast_seeds:
         seeds = F.broadcast(seeds)
-    rows = docs.select("doc_id", text_key().alias("text_key"), word_hashes().alias("words")).filter(F.size("words") > 0)
-    at = rows.select("doc_id", "text_key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("p"))
+    rows = docs.select("doc_id", text_key().alias("text_key"), word_hashes().alias("words"))
+    at = rows.select("doc_id", "text_key", "words", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))).alias("p"))
     probes = at.select("doc_id", "text_key", "words", "p", F.explode(seed_structs("words", F.col("p"), masks)).alias("seed"))
     hits = probes.join(seeds, "seed")
     # the document's words beside the item: from the item's first word, or from word `skip` if the document starts inside it
