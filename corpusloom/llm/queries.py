@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_templates, mixture, near_dup, quality_nbsvm, quality_rules, toxicity_fm
+from corpusloom.llm import decontaminate, language_crf, line_templates, mixture, near_dup, quality_nbsvm, quality_rules, toxicity_fm, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_crf_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_url_logistic")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+
+
 @query("op5_toxicity_fm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
