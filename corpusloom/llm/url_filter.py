@@ -16,23 +16,23 @@ from pyspark.sql import functions as F
 
 FEATURES = 1 << 12
 
-#: (url, block): words that unwanted hosts and paths are made of, beside ordinary ones.
-LABELLED = [
-    *((f"http://{h}.example.com{p}", 1) for h, p in (
-        ("casino-win", "/en/1"), ("best-casino", "/bonus"), ("online-casino-777", "/"), ("free-bets", "/en/3"), ("bet-now", "/odds"), ("sports-betting", "/live"),
-        ("cheap-pills", "/en/2"), ("buy-pills-online", "/order"), ("discount-pharmacy", "/viagra"), ("viagra-shop", "/"), ("adult-x", "/en/4"), ("xxx-videos", "/watch"),
-        ("adult-cams", "/live"), ("porn-tube", "/xxx"), ("spam-farm", "/de/5"), ("link-farm", "/seo-links"), ("spam-links", "/"), ("seo-spam", "/buy-links"),
-        ("ads-track", "/en/6"), ("ad-tracker", "/click?ad=1"), ("ads-banner", "/banner"), ("click-track", "/redirect"), ("win-free-prize", "/claim"), ("free-money-now", "/loan"),
-        ("payday-loans", "/apply"), ("easy-loan", "/cash"), ("replica-watches", "/sale"), ("crack-keygen", "/download"), ("poker-slots", "/jackpot"), ("lottery-win", "/prize"),
-    )),
-    *((f"https://{h}.example.org{p}", 0) for h, p in (
-        ("news", "/en/1"), ("www.library", "/catalog/2"), ("blog.garden", "/fr/3"), ("docs", "/guide/index.html"), ("m.weather", "/today"), ("museum", "/de/4"),
-        ("university", "/courses/physics"), ("www.city-council", "/meetings"), ("recipes", "/es/5"), ("history", "/article/6.html"), ("science", "/en/7"), ("blog.travel", "/notes"),
-        ("forum", "/thread/8"), ("health", "/advice/sleep"), ("shop", "/books/9"), ("school", "/timetable"), ("photos", "/album/10"), ("wiki", "/en/page"),
-        ("radio", "/program"), ("maps", "/route/11"), ("mail", "/inbox"), ("the-times", "/world/12"), ("music", "/concert"), ("data", "/set/13"),
-        ("there", "/en/825"), ("other", "/de/25"), ("thing", "/es/685/"), ("bleeding", "/fr/676.html"), ("station", "/en/770"), ("therein", "/de/853"),
-    )),
-]
+#: (first label of the host, path): what unwanted and ordinary URLs look like.
+UNWANTED = [
+    ("casino-win", "/en/1"), ("best-casino", "/bonus"), ("online-casino-777", "/"), ("free-bets", "/en/3"), ("bet-now", "/odds"), ("sports-betting", "/live"),
+    ("cheap-pills", "/en/2"), ("buy-pills-online", "/order"), ("discount-pharmacy", "/viagra"), ("viagra-shop", "/"), ("adult-x", "/en/4"), ("xxx-videos", "/watch"),
+    ("adult-cams", "/live"), ("porn-tube", "/xxx"), ("spam-farm", "/de/5"), ("link-farm", "/seo-links"), ("spam-links", "/"), ("seo-spam", "/buy-links"),
+    ("ads-track", "/fr/6"), ("ad-tracker", "/click?ad=1"), ("ads-banner", "/banner"), ("click-track", "/redirect"), ("win-free-prize", "/claim"), ("free-money-now", "/loan"),
+    ("payday-loans", "/apply"), ("easy-loan", "/cash"), ("replica-watches", "/sale"), ("crack-keygen", "/download"), ("poker-slots", "/jackpot"), ("lottery-win", "/prize"),
+]
+ORDINARY = [
+    ("news", "/en/1"), ("www.library", "/catalog/2"), ("blog.garden", "/fr/3"), ("docs", "/guide/index.html"), ("m.weather", "/today"), ("museum", "/de/4"),
+    ("university", "/courses/physics"), ("www.city-council", "/meetings"), ("recipes", "/es/5"), ("history", "/article/6.html"), ("science", "/en/7"), ("blog.travel", "/notes"),
+    ("forum", "/thread/8"), ("health", "/advice/sleep"), ("shop", "/books/9"), ("school", "/timetable"), ("photos", "/album/10"), ("wiki", "/en/page"),
+    ("radio", "/program"), ("maps", "/route/11"), ("mail", "/inbox"), ("the-times", "/world/12"), ("music", "/concert"), ("data", "/set/13"),
+    ("there", "/en/825"), ("other", "/de/25"), ("thing", "/es/685/"), ("bleeding", "/fr/676.html"), ("station", "/en/770"), ("therein", "/de/853"),
+]
+#: (url, block): each under every ending, so that the ending tells nothing.
+LABELLED = [(f"https://{h}.example.{end}{p}", block) for block, rows in ((1, UNWANTED), (0, ORDINARY)) for h, p in rows for end in ("com", "org", "net")]
 
 #: Host, path beginning, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -52,13 +52,14 @@ def host_and_path(url: str = "url") -> tuple[Column, Column]:
 def grams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """n-grams of host and path, each between marks and told apart by a letter;
     runs of digits are one digit."""
-    out = []
-    for mark, part in (("h", host), ("p", path)):
+
+
+    def of(mark: str, part: Column, k: int) -> Column:
         s = F.concat(F.lit("^"), F.regexp_replace(part, "[0-9]+", "0"), F.lit("$"))
-        for k in sizes:
-            starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))
-            out.append(F.transform(starts, lambda i, s=s, k=k, mark=mark: F.concat(F.lit(mark), F.substring(s, i, F.lit(k)))))
-    return F.concat(*out)
+        starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(s, i, F.lit(k))))
+
+    return F.concat(*[of(mark, part, k) for mark, part in (("h", host), ("p", path)) for k in sizes])
 
 
 def vectors(urls: DataFrame) -> DataFrame:
@@ -67,7 +68,8 @@ def vectors(urls: DataFrame) -> DataFrame:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELLED, "url string, block int")
+    rows = [F.struct(F.lit(url).alias("url"), F.lit(block).alias("block")) for url, block in LABELLED]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def train(labelled: DataFrame) -> LogisticRegressionModel | None:
