@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_crf, line_templates, mixture, near_dup, quality_nbsvm, quality_rules, toxicity_fm, url_filter
+import corpus_pipeline
+from corpusloom.llm import decontaminate, language_crf, line_templates, mixture, near_dup, quality_nbsvm, quality_rules, secrets_markov, toxicity_fm, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
 
 
+@query("op4_markov_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_markov.digest(secrets_markov.secrets(table(spark, sf_dir, "documents")))
+
+
 @query("op5_toxicity_fm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -111,3 +116,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged = quality_rules.judge(docs)
     return judged.select("doc_id", *[f"_q.{c}" for c in quality_rules.BASE], "_q.base_failed", "_q.kept", "_q.perplexity")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
