@@ -105,7 +105,7 @@ def clean_up(members: DataFrame, min_size: int, merge_at: float) -> DataFrame:
     return placed.join(final, "cluster").select("id", F.col("lead").alias("cluster"))
 
 
-def disjoint_fields(knn_table: DataFrame, freq: DataFrame, strong: float, low: int = 3, high: int = 10, rounds: int = 200) -> DataFrame:
+def disjoint_fields(knn_table: DataFrame, freq: DataFrame, strong: float, low: int = 3, high: int = 10) -> DataFrame:
     """(seed, member): tight fields around frequent seeds, no item in two fields.
 
     A seed takes its strong mutual neighbours that are still free.  Each round
@@ -119,7 +119,7 @@ def disjoint_fields(knn_table: DataFrame, freq: DataFrame, strong: float, low: i
     free = cut_lineage(order)  # not in a field
     pending = free  # seeds not yet tried
     out = None
-    for _ in range(rounds):
+    while True:  # the most frequent open seed is settled in each round
         live = mutual.join(free.select("id"), "id", "left_semi").join(free.select(F.col("id").alias("other")), "other", "left_semi")
         step = live.join(pending.select(F.col("id").alias("other"), F.col("o").alias("oo")), "other", "left")
         around = step.groupBy("id").agg(F.min("oo").alias("m1"))
@@ -137,6 +137,5 @@ def disjoint_fields(knn_table: DataFrame, freq: DataFrame, strong: float, low: i
         pending = cut_lineage(pending.join(ready, "id", "left_anti").join(taken, "id", "left_anti"))
         if pending.isEmpty():
             return out
-    raise RuntimeError("fields did not settle; raise the number of rounds")
 
 

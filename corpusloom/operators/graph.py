@@ -19,7 +19,7 @@ def two_ways(a: str, b: str, *rest: str):
     return F.explode(F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("other"), *rest), F.struct(F.col(b).alias("node"), F.col(a).alias("other"), *rest)))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node id reachable over undirected edges.
 
     Labels travel one edge and then jump to the label of their label, so long
@@ -27,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = cut_lineage(edges.select(two_ways("src", "dst").alias("x")).select("x.*").distinct())
     label = cut_lineage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
-    for _ in range(rounds):
+    while True:  # every round lowers a label or ends
         near = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
         step = label.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("was"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -35,7 +35,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new.filter("component <> was").isEmpty():
             return new.select("node", "component")
         label = new.select("node", "component")
-    raise RuntimeError("components did not settle; raise the number of rounds")
 
 
 def giant_share(comp: DataFrame) -> DataFrame:
@@ -253,18 +252,19 @@ def length_directed(und: DataFrame, lengths: DataFrame, ratio: DataFrame, floor:
 
 
 # --- distance, reach, communities ---------------------------------------------------
-def hop_distances(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
+def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, hops) by breadth-first rounds from all sources at once over undirected edges."""
     both = cut_lineage(edges.select(two_ways("src", "dst").alias("x")).select("x.*").distinct())
     seen = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
     front = seen
-    for hop in range(1, rounds + 1):
+    hop = 0
+    while True:  # until no node is new
+        hop += 1
         new = front.join(both, "node").select("source", F.col("other").alias("node")).distinct().join(seen, ["source", "node"], "left_anti")
         front = cut_lineage(new.withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError("distances did not settle; raise the number of rounds")
+        seen = cut_lineage(seen.unionByName(front)) if hop % 16 == 0 else seen.unionByName(front)
 
 
 def systematic_sample(nodes: DataFrame, order: str, aim: int) -> DataFrame:
@@ -274,7 +274,7 @@ def systematic_sample(nodes: DataFrame, order: str, aim: int) -> DataFrame:
     return ordinal(nodes, [order], out="_rn").filter((F.col("_rn") - 1) % step == 0).drop("_rn")
 
 
-def upstream_roots(links: DataFrame, vecs: DataFrame, k: int = 3, rounds: int = 64) -> DataFrame:
+def upstream_roots(links: DataFrame, vecs: DataFrame, k: int = 3) -> DataFrame:
     """(node, root, sim): the ``k`` roots nearest in meaning among those a node can climb to.
 
     A root has out-links and no in-links.  Roots flow down the links, one
@@ -285,13 +285,14 @@ def upstream_roots(links: DataFrame, vecs: DataFrame, k: int = 3, rounds: int =
     e = cut_lineage(links.select("src", "dst").filter("src <> dst").distinct())
     roots = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
     seen = cut_lineage(roots.select("node", F.col("node").alias("root")))
-    front = seen
-    for _ in range(rounds):
+    front, hop = seen, 0
+    while True:  # until no pair is new
+        hop += 1
         new = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node"), "root").distinct().join(seen, ["node", "root"], "left_anti")
         front = cut_lineage(new)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = cut_lineage(seen.unionByName(front)) if hop % 16 == 0 else seen.unionByName(front)
     v = vecs.select("id", "vec")
     pair = seen.filter("node <> root").join(v.withColumnsRenamed({"id": "node", "vec": "_x"}), "node").join(v.withColumnsRenamed({"id": "root", "vec": "_y"}), "root")
     return top_k(pair.select("node", "root", F.round(dot("_x", "_y"), 3).alias("sim")), ["node"], [F.desc("sim"), "root"], k)

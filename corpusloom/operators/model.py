@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.scale import collect_chunked, neighbours, ordinal, scan
+from corpusloom.functions.scale import collect_chunked, cut_lineage, neighbours, ordinal, scan
 
 
 # --- views and lookups --------------------------------------------------------
@@ -382,15 +382,23 @@ def build_collections(criteria: DataFrame, tokens: DataFrame, place: Sequence[st
     return hits.groupBy("coll", *place).agg(F.min("seq").alias("seq"))
 
 
-def climb_tree(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, top, hops) of a parent-pointer table by pointer doubling: log2(depth) joins."""
-    at = nodes.select("id", F.coalesce("parent", "id").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("hops"))
-    reach = 1
-    while reach < depth:
+def climb_tree(nodes: DataFrame) -> DataFrame:
+    """(id, top, hops) of a parent-pointer table by pointer doubling until no
+    pointer moves: log2(height) rounds.  A parent that is no node is the top of
+    what climbs to it; a cycle has no top and is refused."""
+    at = cut_lineage(nodes.select("id", F.coalesce("parent", "id").alias("top"), F.when(F.col("parent").isNull() | (F.col("parent") == F.col("id")), 0).otherwise(1).alias("hops")))
+    size = at.count()
+    while True:
         up = at.select(F.col("id").alias("top"), F.col("top").alias("_t"), F.col("hops").alias("_h"))
-        at = at.join(up, "top", "left").select("id", F.coalesce("_t", "top").alias("top"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
-        reach *= 2
-    return at
+        step = at.join(up, "top", "left")
+        new = step.select("id", F.coalesce("_t", "top").alias("top"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.coalesce(F.col("_t") != F.col("top"), F.lit(False)).alias("moved"))
+        new = cut_lineage(new)
+        state = new.agg(F.max("moved").alias("moved"), F.max("hops").alias("hops")).first()
+        at = new.drop("moved")
+        if not state.moved:
+            return at
+        if state.hops > size:
+            raise ValueError("the parents form a cycle")
 
 
 def concordance(tokens: DataFrame, key: str, subkey, unit: Sequence[str], samples: int, size: int = 1000) -> DataFrame:

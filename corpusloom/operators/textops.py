@@ -109,24 +109,38 @@ def fuzzy_pairs(forms: DataFrame, keys: DataFrame, max_distance: float) -> DataF
     return near.filter(F.col("dist") <= max_distance)
 
 
-def nearest_keys(forms: DataFrame, keys: DataFrame, band: float = 0.3, max_depth: int = 3) -> DataFrame:
-    """Keys within ``band`` of each form's best distance, ties by frequency.
+def nearest_keys(forms: DataFrame, keys: DataFrame, band: float = 0.3, max_depth: int = 3, block: int = 64) -> DataFrame:
+    """Keys within ``band`` of each form's best distance, ties by frequency; every
+    form gets its best key however far.
 
     Works outward: forms whose best match is settled at one distance leave the
-    pool, only the rest are compared at the next.  ``keys`` has (key, freq).
+    pool, only the rest are compared at the next.  The few that no key comes
+    near within ``max_depth`` edits are compared with all keys, by blocks of
+    forms.  ``keys`` has (key, freq).
     """
     todo = forms.select("form").distinct()
     found = None
-    for reach in range(1, max_depth + 1):
-        limit = reach + 0.999 - band
-        pairs = fuzzy_pairs(todo, keys, reach + 0.999)
-        best = pairs.groupBy("form").agg(F.min("dist").alias("best")).filter(F.col("best") <= limit)
+
+    def settle(pairs: DataFrame, limit: float | None) -> DataFrame:
+        nonlocal found
+        best = pairs.groupBy("form").agg(F.min("dist").alias("best"))
+        best = best if limit is None else best.filter(F.col("best") <= limit)
         done = pairs.join(best, "form").filter(F.round(F.col("dist") - F.col("best"), 6) <= band)
         found = done if found is None else found.unionByName(done)
-        if reach < max_depth:
-            todo = cut_lineage(todo.join(best, "form", "left_anti"))
-            if todo.isEmpty():
-                break
+        return best
+
+    for reach in range(1, max_depth + 1):
+        best = settle(fuzzy_pairs(todo, keys, reach + 0.999), reach + 0.999 - band)
+        todo = cut_lineage(todo.join(best, "form", "left_anti"))
+        left = todo.count()
+        if not left:
+            break
+    else:
+        blocks = -(-left // block)
+        dealt = todo.withColumn("_b", F.pmod(F.xxhash64("form"), F.lit(blocks)).cast("int"))
+        every = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+        pairs = dealt.join(every, "_b").select("form", "key", F.round(tx.weak_distance(F.col("form"), F.col("key")), 6).alias("dist"))
+        settle(pairs.filter("form IS NOT NULL AND key IS NOT NULL").distinct(), None)
     ranked = found.join(keys, "key").select("form", "key", "dist", "freq")
     from pyspark.sql import Window
 

@@ -406,21 +406,28 @@ def suppress_near_duplicates(items: DataFrame, vecs: DataFrame, limit: float, mo
     return top_k(kept, ["hub"], [F.desc("w"), "id"], most)
 
 
-def _close_within(items: DataFrame, vecs: DataFrame, limit: float) -> DataFrame:
-    near = similar_pairs(vecs.join(items.select("id").distinct(), "id", "left_semi"), limit)
-    near = near.filter(F.col("score") > limit).select("a", "b")
-    i = items.select("hub", "id")
-    return i.withColumnRenamed("id", "a").join(near, "a").join(i.withColumnRenamed("id", "b"), ["hub", "b"]).select("hub", "a", "b")
-
-
-def greedy_independent(items: DataFrame, conflicts: DataFrame, rounds: int = 50) -> DataFrame:
+def _close_within(items: DataFrame, vecs: DataFrame, limit: float, block: int = 256) -> DataFrame:
+    """(hub, a, b): close pairs of items of one hub.  Only such pairs are scored;
+    a large hub is cut into blocks, and pairs of blocks meet by an equi-join."""
+    i = items.select("hub", "id").distinct().join(vecs.select("id", "vec"), "id")
+    size = items.groupBy("hub").agg(F.ceil(F.countDistinct("id") / block).cast("int").alias("_n"))
+    i = i.join(size, "hub").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    left = i.select("hub", F.col("id").alias("a"), F.col("vec").alias("_x"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"), F.col("_b").alias("_i"))
+    left = left.withColumn("_lo", F.least("_i", "_o")).withColumn("_hi", F.greatest("_i", "_o"))
+    right = i.select("hub", F.col("id").alias("b"), F.col("vec").alias("_y"), F.col("_b").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    right = right.select("hub", "b", "_y", "_j", F.least("_j", "_o").alias("_lo"), F.greatest("_j", "_o").alias("_hi"))
+    pair = left.join(right, ["hub", "_lo", "_hi"]).filter((F.col("a") < F.col("b")) & ((F.col("_lo") == F.col("_hi")) | (F.col("_i") != F.col("_j"))))
+    return pair.filter(F.round(dot("_x", "_y"), 6) > limit).select("hub", "a", "b").distinct()
+
+
+def greedy_independent(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Greedy choice by (w desc, id) without two conflicting items, as rounds:
     an item is kept once no better undecided rival is left and dropped when a
     rival is kept.  Equal to the one-by-one walk."""
     both = conflicts.select("hub", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("rival")), F.struct(F.col("b").alias("id"), F.col("a").alias("rival")))).alias("x")).select("hub", "x.*").distinct()
     open_ = cut_lineage(items)
     kept = None
-    for _ in range(rounds):
+    while True:  # the best open item of every hub is settled in each round
         rank = lambda c: F.struct(-F.col(f"{c}w"), F.col(f"{c}id"))
         mine = open_.select("hub", "id", "w")
         rivals = open_.select("hub", F.col("id").alias("rival"), F.col("w").alias("rw"))
@@ -432,4 +439,3 @@ def greedy_independent(items: DataFrame, conflicts: DataFrame, rounds: int = 50)
         open_ = cut_lineage(mine.join(win, ["hub", "id"], "left_anti").join(lost, ["hub", "id"], "left_anti"))
         if open_.isEmpty():
             return kept
-    raise RuntimeError("greedy choice did not settle; raise the number of rounds")

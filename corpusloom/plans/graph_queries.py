@@ -200,11 +200,11 @@ def g11b(spark, sf):
 
 @query(
     "g12_hop_distances",
-    f"WITH RECURSIVE {K6}, b AS (SELECT id AS n, other AS o FROM knn UNION SELECT other, id FROM knn), s AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, CAST(ceil(count(*) OVER () / 12.0) AS BIGINT) AS st FROM uv) WHERE i % st = 0), r AS (SELECT id AS source, id AS node, 0 AS hops FROM s UNION SELECT source, b.o, hops + 1 FROM r JOIN b ON b.n = r.node WHERE hops < 9) SELECT source, node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY 1,2",
+    f"WITH RECURSIVE {K6}, b AS (SELECT id AS n, other AS o FROM knn UNION SELECT other, id FROM knn), s AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, CAST(ceil(count(*) OVER () / 120.0) AS BIGINT) AS st FROM uv) WHERE i % st = 0), r AS (SELECT id AS source, id AS node, 0 AS hops FROM s UNION SELECT source, b.o, hops + 1 FROM r JOIN b ON b.n = r.node WHERE hops < 9) SELECT source, node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY 1,2",
 )
 def g12(spark, sf):
     e = knn(spark, sf).select(F.col("id").alias("src"), F.col("other").alias("dst"))
-    return g.hop_distances(e, g.systematic_sample(nodes(spark, sf), "node", 12))
+    return g.hop_distances(e, g.systematic_sample(nodes(spark, sf), "node", 120))
 
 
 @query(
@@ -217,7 +217,7 @@ def g13(spark, sf):
 
 @query("g14_communities")
 def g14(spark, sf):
-    return g.communities(und(spark, sf), rounds=8)
+    return g.communities(und(spark, sf), rounds=30)
 
 
 @query("g15_stability")
@@ -357,9 +357,9 @@ def g28b(spark, sf):
     return g.apply_splits(m, m.filter("cluster IN (2, 5) AND id % 11 <> 0").select("cluster", "id", (F.col("id") % 2).alias("part")))[1]
 
 
-@query("g29_taxonomy", "WITH p AS (SELECT l_partkey AS id, 'S' || l_suppkey % 7 AS section, l_orderkey AS o FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) SELECT p_partkey AS id, coalesce((SELECT arg_min(section, {'o': o, 's': section}) FROM p WHERE p.id = p_partkey), 'other') AS section FROM part")
+@query("g29_taxonomy", "WITH p AS (SELECT l_partkey AS id, 'S' || l_suppkey % 7 AS section, l_orderkey AS o FROM lineitem) SELECT p_partkey AS id, coalesce((SELECT arg_min(section, {'o': o, 's': section}) FROM p WHERE p.id = p_partkey), 'other') AS section FROM part")
 def g29(spark, sf):
-    li = tb.load(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40")
+    li = tb.load(spark, sf, "lineitem")
     pl = li.selectExpr("l_partkey id", "concat('S', l_suppkey % 7) section", "l_orderkey o")
     return g.taxonomy(pl, tb.load(spark, sf, "part").select(F.col("p_partkey").alias("id")), ["o"])
 

@@ -150,16 +150,16 @@ def r13(spark, sf):
 
 @query(
     "r14_majority",
-    f"""WITH {D}, v AS (SELECT subkey, attr, count(*) AS n, min(unit_id * 1000000 + tok_no) AS seen FROM tok WHERE subkey IS NOT NULL GROUP BY 1,2)
+    f"""WITH {D}, v AS (SELECT subkey, attr, count(*) AS n, min({{'u': unit_id, 't': tok_no}}) AS seen FROM tok WHERE subkey IS NOT NULL GROUP BY 1,2)
  SELECT subkey, attr, n FROM (SELECT *, row_number() OVER (PARTITION BY subkey ORDER BY n DESC, seen, attr) AS r FROM v) WHERE r = 1""",
 )
 def r14(spark, sf):
-    return m.majority(tb.doc_tokens(spark, sf), "subkey", "attr", F.expr("unit_id * 1000000 + tok_no"))
+    return m.majority(tb.doc_tokens(spark, sf), "subkey", "attr", F.struct("unit_id", "tok_no"))
 
 
 @query(
     "r15_surrogate_ids",
-    f"WITH {D}, f AS (SELECT key, min(unit_id * 1000000 + tok_no) AS o FROM tok WHERE key IS NOT NULL GROUP BY key) SELECT key, row_number() OVER (ORDER BY o) AS id FROM f",
+    f"WITH {D}, f AS (SELECT key, min({{'u': unit_id, 't': tok_no}}) AS o FROM tok WHERE key IS NOT NULL GROUP BY key) SELECT key, row_number() OVER (ORDER BY o) AS id FROM f",
 )
 def r15(spark, sf):
     return m.surrogate_ids(tb.doc_tokens(spark, sf), "key", ["unit_id", "tok_no"])
@@ -321,13 +321,13 @@ def r27(spark, sf):
     return c.select("grp", "pos", F.md5("left_text").alias("l"), F.md5("right_text").alias("r"))
 
 
-SPANS = "sp AS (SELECT grp, 1 + 3 * k AS first, least(3 + 3 * k, n) AS last, grp * 100 + k AS span_id FROM (SELECT grp, count(*) AS n, unnest(generate_series(0, CAST((count(*) - 1) // 3 AS INTEGER))) AS k FROM turns GROUP BY grp))"
+SPANS = "sp AS (SELECT grp, 1 + 3 * k AS first, least(3 + 3 * k, n) AS last, grp || ':' || k AS span_id FROM (SELECT grp, count(*) AS n, unnest(generate_series(0, CAST((count(*) - 1) // 3 AS INTEGER))) AS k FROM turns GROUP BY grp))"
 
 
 def spans(spark, sf):
     n = tb.turns(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     k = n.select("grp", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 3).cast("int"))).alias("k"))
-    return k.selectExpr("grp", "cast(1 + 3 * k as bigint) first", "least(3 + 3 * k, n) last", "grp * 100 + k span_id")
+    return k.selectExpr("grp", "cast(1 + 3 * k as bigint) first", "least(3 + 3 * k, n) last", "concat_ws(':', grp, k) span_id")
 
 
 @query("r27_span_text", f"WITH {T}, {SPANS} SELECT span_id, substr(string_agg(text, ' ' ORDER BY pos), 1, 300) AS text FROM turns t JOIN sp ON sp.grp = t.grp AND t.pos BETWEEN first AND last GROUP BY span_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.scale import spread
+from corpusloom.functions.scale import ordinal, spread
 from corpusloom.operators import align, audit, pairs, textops, vectors
 from corpusloom.plans import tables as tb
 from corpusloom.plans import text_queries as tq
@@ -27,9 +27,9 @@ def c01(spark, sf):
     return basket_edges(spark, sf).orderBy(F.desc("weight"), "a", "b").limit(30)
 
 
-@query("c01_cooccurrence_words", f"WITH {TT}, d AS (SELECT DISTINCT grp * 1000 + pos AS u, subkey FROM ttok WHERE subkey IS NOT NULL), o AS (SELECT subkey FROM d GROUP BY 1 HAVING count(*) >= 12), e AS (SELECT * FROM d WHERE subkey IN (FROM o)) SELECT x.subkey AS a, y.subkey AS b, count(*) AS weight FROM e x JOIN e y ON x.u = y.u AND x.subkey < y.subkey GROUP BY 1,2 HAVING count(*) >= 12")
+@query("c01_cooccurrence_words", f"WITH {TT}, d AS (SELECT DISTINCT grp || ':' || pos AS u, subkey FROM ttok WHERE subkey IS NOT NULL), o AS (SELECT subkey FROM d GROUP BY 1 HAVING count(*) >= 12), e AS (SELECT * FROM d WHERE subkey IN (FROM o)) SELECT x.subkey AS a, y.subkey AS b, count(*) AS weight FROM e x JOIN e y ON x.u = y.u AND x.subkey < y.subkey GROUP BY 1,2 HAVING count(*) >= 12")
 def c01b(spark, sf):
-    t = tb.turn_tokens(spark, sf).select((F.col("grp") * 1000 + F.col("pos")).alias("unit_id"), "subkey")
+    t = tb.turn_tokens(spark, sf).select(tb.pair_id("grp", "pos").alias("unit_id"), "subkey")
     return pairs.cooccurrence(t, 12, key="subkey", cell=256)
 
 
@@ -86,13 +86,14 @@ def c07(spark, sf):
 
 
 def turn_seqs(spark, sf):
-    """Turns as units, numbered in conversation order."""
+    """Turns as units, numbered in conversation order from 0."""
     c = tb.load(spark, sf, "conversations")
-    d = c.select((F.col("conv_id") * 8 + F.col("turn")).alias("unit_id"), "text", tx.words(F.col("text")).alias("surf"))
+    c = ordinal(c.select("conv_id", "turn", "text"), ["conv_id", "turn"], out="n")
+    d = c.select((F.col("n") - 1).alias("unit_id"), "text", tx.words(F.col("text")).alias("surf"))
     return d.withColumn("seq", F.transform("surf", lambda w: F.coalesce(F.nullif(tx.fold(w, "latin"), F.lit("")), F.lit(align.MISSING))))
 
 
-TSEQ = SEQ.replace("doc_id AS unit_id", "unit_id").replace("SELECT doc_id, text", "SELECT conv_id * 8 + turn AS unit_id, text").replace("FROM documents", "FROM conversations")
+TSEQ = SEQ.replace("doc_id AS unit_id", "unit_id").replace("SELECT doc_id, text", "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS unit_id, text").replace("FROM documents", "FROM conversations")
 
 # runs over 4-gram places: every candidate shares a 4-gram, so no longer run is missed
 RUN = """gp AS MATERIALIZED (SELECT unit_id, unnest(gs) AS gram, generate_subscripts(gs,1) AS i FROM (SELECT unit_id, list_transform(generate_series(1, len(seq) - 3), lambda i: CASE WHEN list_contains([seq[i], seq[i+1], seq[i+2], seq[i+3]], '-1') THEN NULL ELSE concat_ws(',', seq[i], seq[i+1], seq[i+2], seq[i+3]) END) AS gs FROM ds WHERE len(seq) >= 4)),
@@ -195,12 +196,13 @@ def line_units(spark, sf):
     """Sentences of the turns as units: many short copies, ordered inside a conversation."""
     t = tb.turns(spark, sf)
     s = t.select("grp", "pos", F.posexplode(F.filter(F.split(F.col("text"), "[.\\n]"), lambda x: F.trim(x) != "")).alias("i", "s"))
-    s = s.select("grp", (F.col("pos") * 1000 + F.col("i")).alias("pos"), F.filter(F.transform(tx.words(F.col("s")), lambda w: tx.fold(w, "latin")), lambda w: w != "").alias("seq"))
-    return s.withColumn("unit_id", F.col("grp") * 1000000 + F.col("pos")).withColumn("theme", F.col("grp") % 7)
+    s = ordinal(s, ["pos", "i"], ["grp"], "place")
+    s = s.select("grp", F.col("place").alias("pos"), F.filter(F.transform(tx.words(F.col("s")), lambda w: tx.fold(w, "latin")), lambda w: w != "").alias("seq"))
+    return s.withColumn("unit_id", tb.pair_id("grp", "pos")).withColumn("theme", F.col("grp") % 7)
 
 
-LINES = f"""ln AS (SELECT grp, pos * 1000 + i - 1 AS pos, grp * 1000000 + pos * 1000 + i - 1 AS unit_id, grp % 7 AS theme, list_filter(list_transform({tb.words_sql('s')}, lambda w: {tb.fold_sql('w')}), lambda w: w <> '') AS seq FROM
- (SELECT grp, pos, unnest(ss) AS s, generate_subscripts(ss,1) AS i FROM (SELECT conv_id AS grp, turn + 1 AS pos, list_filter(string_split_regex(text, '[.\\n]'), lambda x: trim(x) <> '') AS ss FROM conversations)))"""
+LINES = f"""ln AS (SELECT grp, place AS pos, grp || ':' || place AS unit_id, grp % 7 AS theme, list_filter(list_transform({tb.words_sql('s')}, lambda w: {tb.fold_sql('w')}), lambda w: w <> '') AS seq FROM
+ (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos, i) AS place FROM (SELECT grp, pos, unnest(ss) AS s, generate_subscripts(ss,1) AS i FROM (SELECT conv_id AS grp, turn + 1 AS pos, list_filter(string_split_regex(text, '[.\\n]'), lambda x: trim(x) <> '') AS ss FROM conversations))))"""
 
 
 @query(
@@ -217,11 +219,11 @@ def c16(spark, sf):
     return pairs.twin_counts(u.select("unit_id", "grp", "pos", "theme"), u.select("unit_id", "seq"))
 
 
-RARE = """kn AS (SELECT subkey AS key, count(*) AS n FROM ttok WHERE subkey IS NOT NULL GROUP BY 1), ks AS (SELECT DISTINCT grp * 1000 + pos AS u, key, n < 6 AS rare FROM (SELECT grp, pos, subkey AS key FROM ttok WHERE subkey IS NOT NULL) JOIN kn USING (key))"""
+RARE = """kn AS (SELECT subkey AS key, count(*) AS n FROM ttok WHERE subkey IS NOT NULL GROUP BY 1), ks AS (SELECT DISTINCT grp || ':' || pos AS u, key, n < 6 AS rare FROM (SELECT grp, pos, subkey AS key FROM ttok WHERE subkey IS NOT NULL) JOIN kn USING (key))"""
 
 
 def turn_keys(spark, sf):
-    t = tb.turn_tokens(spark, sf).select((F.col("grp") * 1000 + F.col("pos")).alias("unit_id"), F.col("subkey").alias("key"))
+    t = tb.turn_tokens(spark, sf).select(tb.pair_id("grp", "pos").alias("unit_id"), F.col("subkey").alias("key"))
     occ = t.dropna(subset=["key"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     return pairs.key_sets(t, occ, 6)
 
@@ -239,17 +241,17 @@ def c17(spark, sf):
     return pairs.containment(p, k).select("a", "b", F.round("c_ab", 6).alias("c_ab"), F.round("c_ba", 6).alias("c_ba"))
 
 
-@query("c18_rare_key_candidates", f"WITH {TT}, {RARE}, s AS (SELECT x.u AS hub, y.u AS cand, count(*) AS shared FROM ks x JOIN ks y ON x.key = y.key AND x.u <> y.u WHERE x.rare AND x.u % 1000 = 1 GROUP BY 1,2) SELECT hub, cand, shared FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY shared DESC, cand) AS r FROM s) WHERE r <= 6")
+@query("c18_rare_key_candidates", f"WITH {TT}, {RARE}, s AS (SELECT x.u AS hub, y.u AS cand, count(*) AS shared FROM ks x JOIN ks y ON x.key = y.key AND x.u <> y.u WHERE x.rare GROUP BY 1,2) SELECT hub, cand, shared FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY shared DESC, cand) AS r FROM s) WHERE r <= 6")
 def c18(spark, sf):
     k = turn_keys(spark, sf)
-    hubs = tb.turns(spark, sf).filter("pos = 1").select((F.col("grp") * 1000 + 1).alias("unit_id"))
+    hubs = tb.turns(spark, sf).select(tb.pair_id("grp", "pos").alias("unit_id"))
     return pairs.rare_key_candidates(hubs, k, 6)
 
 
 @query(
     "c19_fused_candidates",
     f"""WITH {vq.knn_sql(40, -1)}, fw AS (SELECT id AS hub, other AS cand, score, 0 AS ch, -score AS o FROM knn WHERE rank <= 12 AND score >= 0.2 AND score < 0.95), rv AS (SELECT other AS hub, id AS cand, score, 1 AS ch, -score AS o FROM knn WHERE rank <= 12 AND score >= 0.2 AND score < 0.95),
- kk AS (SELECT l_orderkey % 500 AS u, l_partkey AS key FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY 1, 2), ra AS (SELECT key FROM kk GROUP BY 1 HAVING count(*) < 40), rk AS (SELECT * FROM kk WHERE key IN (FROM ra)), sh AS (SELECT hub, cand, shared FROM (SELECT x.u AS hub, y.u AS cand, count(*) AS shared, row_number() OVER (PARTITION BY x.u ORDER BY count(*) DESC, y.u) AS r FROM rk x JOIN rk y ON x.key = y.key AND x.u <> y.u GROUP BY 1, 2) WHERE r <= 16),
+ kk AS (SELECT l_orderkey % (SELECT count(*) FROM embeddings) AS u, l_partkey AS key FROM lineitem GROUP BY 1, 2), ra AS (SELECT key FROM kk GROUP BY 1 HAVING count(*) < 40), rk AS (SELECT * FROM kk WHERE key IN (FROM ra)), sh AS (SELECT hub, cand, shared FROM (SELECT x.u AS hub, y.u AS cand, count(*) AS shared, row_number() OVER (PARTITION BY x.u ORDER BY count(*) DESC, y.u) AS r FROM rk x JOIN rk y ON x.key = y.key AND x.u <> y.u GROUP BY 1, 2) WHERE r <= 16),
  rt AS (SELECT hub, cand, score, 2 AS ch, -CAST(shared AS DOUBLE) AS o FROM sh JOIN sims ON sims.id = hub AND sims.other = cand WHERE score < 0.95),
  al AS (SELECT * FROM (SELECT * FROM fw UNION ALL SELECT * FROM rv UNION ALL SELECT * FROM rt) JOIN uv p ON p.id = hub JOIN uv q ON q.id = cand WHERE NOT (p.label = q.label AND abs(p.id - q.id) <= 2)),
  fi AS (SELECT hub, cand, ch, o, score FROM (SELECT *, row_number() OVER (PARTITION BY hub, cand ORDER BY ch, o, score) AS r FROM al) WHERE r = 1), li AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hub, ch ORDER BY o, cand) AS r8 FROM fi) WHERE ch < 2 OR r8 <= 8)
@@ -260,7 +262,8 @@ def c19(spark, sf):
     t = vectors.cut_lineage(vectors.knn(u, 12))
     fwd = t.select(F.col("id").alias("hub"), F.col("other").alias("cand"), "score")
     rev = t.select(F.col("other").alias("hub"), F.col("id").alias("cand"), "score")
-    k = tb.load(spark, sf, "lineitem").filter("l_partkey % 20 = 0").select((F.col("l_orderkey") % 500).alias("unit_id"), F.col("l_partkey").alias("key")).distinct()
+    n = tb.load(spark, sf, "embeddings").count()  # every order stands for one of the vectors
+    k = tb.load(spark, sf, "lineitem").select((F.col("l_orderkey") % n).alias("unit_id"), F.col("l_partkey").alias("key")).distinct()
     keys = pairs.key_sets(k, k.groupBy("key").agg(F.count(F.lit(1)).alias("n")), 40)
     shared = pairs.rare_key_candidates(k.select("unit_id"), keys, 16)
     return pairs.fuse_candidates(fwd, rev, shared, u.select("id", "vec"), vq.place(u), floor=0.2)
@@ -268,7 +271,7 @@ def c19(spark, sf):
 
 @query(
     "c20_link_quotations",
-    f"""WITH q AS (SELECT item_id * 1000 + i AS quote_id, q FROM (SELECT item_id, unnest(ss) AS q, generate_subscripts(ss,1) AS i FROM (SELECT item_id, string_split_regex(text, '[.,]') AS ss FROM benchmark))),
+    f"""WITH q AS (SELECT item_id || ':' || i AS quote_id, q FROM (SELECT item_id, unnest(ss) AS q, generate_subscripts(ss,1) AS i FROM (SELECT item_id, string_split_regex(text, '[.,]') AS ss FROM benchmark))),
  qs AS (SELECT quote_id, trim(regexp_replace(translate(regexp_replace(lower(q), '[^a-z0-9 \\n]+', '', 'g'), 'x', 'x'), '{tb.SP}', ' ', 'g')) AS q FROM q),
  us AS (SELECT doc_id AS unit_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 \\n]+', '', 'g'), '{tb.SP}', ' ', 'g')) AS t FROM documents),
  h AS (SELECT quote_id, unit_id FROM qs JOIN us ON contains(t, q) WHERE length(q) >= 8 AND contains(q, ' ')) SELECT quote_id, unit_id FROM h WHERE quote_id IN (SELECT quote_id FROM h GROUP BY 1 HAVING count(*) <= 10)""",
@@ -276,7 +279,7 @@ def c19(spark, sf):
 def c20(spark, sf):
     skeleton = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 \\n]+", ""), tx.SPACE, " "))
     q = tb.load(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "[.,]")).alias("i", "quote"))
-    q = q.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("quote_id"), "quote")
+    q = q.select(tb.pair_id("item_id", F.col("i") + 1).alias("quote_id"), "quote")
     u = spread(tb.load(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), "text"), "unit_id")
     return audit.link_quotations(q, u, skeleton)
 
@@ -287,8 +290,8 @@ def answers(spark, sf):
     ev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
     a = c.join(ev, ["conv_id", "turn"])
     quoted = F.when(F.col("conv_id") % 2 == 0, F.col("before")).otherwise(F.col("text"))
-    text = F.concat(F.lit("«"), F.substring(F.regexp_replace(quoted, "»", ""), 1, 50), F.lit("» [p 99] 12:40 "), (F.col("turn") * 7 + F.col("conv_id") % 3).cast("string"), F.lit(" x"))
-    aid = F.col("conv_id") * 100 + F.col("turn")
+    text = F.concat(F.lit("«"), F.regexp_replace(quoted, "»", ""), F.lit("» [p 99] 12:40 "), (F.col("turn") * 7 + F.col("conv_id") % 3).cast("string"), F.lit(" x"))
+    aid = tb.pair_id("conv_id", "turn")
     ans = a.select(aid.alias("answer_id"), text.alias("text"))
     evid = a.select(aid.alias("answer_id"), F.concat(F.col("before"), F.lit(" "), F.col("turn") * 7, F.lit(" ")).alias("text"))
     return ans, evid
@@ -296,11 +299,14 @@ def answers(spark, sf):
 
 @query(
     "c21_audit_claims",
-    f"""WITH a AS (SELECT c.conv_id * 100 + c.turn AS answer_id, c.turn * 7 + c.conv_id % 3 AS num, trim(regexp_replace(substr(CASE WHEN c.conv_id % 2 = 0 THEN p.text ELSE c.text END, 1, 50), '{tb.SP}', ' ', 'g')) AS claim,
-  length(substr(CASE WHEN c.conv_id % 2 = 0 THEN p.text ELSE c.text END, 1, 50)) AS ql, trim(regexp_replace(p.text || ' ' || c.turn * 7 || ' ', '{tb.SP}', ' ', 'g')) AS ev, p.text AS raw, c.turn * 7 AS known
-  FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn + 1 = c.turn)
- SELECT answer_id, 'citation' AS kind, claim FROM a WHERE ql >= 25 AND length(claim) >= 15 AND NOT contains(ev, claim)
- UNION ALL SELECT answer_id, 'number', CAST(num AS VARCHAR) FROM a WHERE num >= 11 AND num <> known AND NOT list_contains(list_transform(regexp_extract_all(raw, '[0-9]+'), lambda s: TRY_CAST(s AS BIGINT)), num)""",
+    f"""WITH a AS (SELECT c.conv_id || ':' || c.turn AS answer_id, replace(CASE WHEN c.conv_id % 2 = 0 THEN p.text ELSE c.text END, '»', '') AS quoted, c.turn * 7 + c.conv_id % 3 AS num, p.text || ' ' || c.turn * 7 || ' ' AS known
+  FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn + 1 = c.turn),
+ cl AS (SELECT DISTINCT answer_id, known, trim(regexp_replace(unnest(string_split_regex(quoted, '…|[.][.][.]')), '{tb.SP}', ' ', 'g')) AS claim FROM a WHERE length(quoted) >= 25),
+ pl AS (SELECT answer_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('«' || quoted || '» [p 99] 12:40 ' || num || ' x', '([0-9])[,،٬]([0-9])', '\\1\\2', 'g'), '[0-9]{{1,3}}:[0-9]{{1,3}}', ' ', 'g'), '\\[[^\\]]{{0,40}}\\]', ' ', 'g'), '(?m)^[ \\t]*[0-9]{{1,2}}[.)][ \\t]', ' ', 'g') AS t FROM a),
+ sd AS (SELECT DISTINCT answer_id, TRY_CAST(unnest(regexp_extract_all(t, '[0-9]+')) AS DECIMAL(38,0)) AS v FROM pl),
+ kn AS (SELECT DISTINCT answer_id, TRY_CAST(unnest(regexp_extract_all(known, '[0-9]+')) AS DECIMAL(38,0)) AS v FROM a)
+ SELECT answer_id, 'citation' AS kind, claim FROM cl WHERE length(claim) >= 15 AND NOT contains(trim(regexp_replace(known, '{tb.SP}', ' ', 'g')), claim)
+ UNION ALL SELECT answer_id, 'number', CAST(v AS VARCHAR) FROM sd WHERE v >= 11 AND NOT EXISTS (SELECT 1 FROM kn WHERE kn.answer_id = sd.answer_id AND kn.v = sd.v)""",
 )
 def c21(spark, sf):
     return audit.audit_claims(*answers(spark, sf))
@@ -308,11 +314,11 @@ def c21(spark, sf):
 
 @query(
     "c22_audit_style",
-    """WITH t AS (SELECT conv_id * 100 + turn AS answer_id, text AS own FROM conversations), v AS (SELECT answer_id, regexp_matches(own, 'of the (and|on)|que la') AS f, contains(own, 'ention') AND NOT regexp_matches(own, '[0-9]') AS n, contains(own, 'ention') AND NOT regexp_matches(own, 'may|from|with') AS h FROM t)
+    """WITH t AS (SELECT conv_id || ':' || turn AS answer_id, text AS own FROM conversations), v AS (SELECT answer_id, regexp_matches(own, 'of the (and|on)|que la') AS f, contains(own, 'ention') AND NOT regexp_matches(own, '[0-9]') AS n, contains(own, 'ention') AND NOT regexp_matches(own, 'may|from|with') AS h FROM t)
  SELECT answer_id, concat_ws(';', CASE WHEN f THEN 'forbidden' END, CASE WHEN n THEN 'lacks numbers' END, CASE WHEN h THEN 'lacks hedge' END) AS violations FROM v WHERE f OR n OR h""",
 )
 def c22(spark, sf):
-    a = tb.load(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "text")
+    a = tb.load(spark, sf, "conversations").select(tb.pair_id("conv_id", "turn").alias("answer_id"), "text")
     v = audit.audit_style(a, "of the (and|on)|que la", "ention", {"numbers": "[0-9]", "hedge": "may|from|with"})
     return v.select("answer_id", F.array_join("violations", ";").alias("violations"))
 
@@ -334,7 +340,7 @@ def c24(spark, sf):
 
 @query(
     "c25_full_text_search",
-    f"""WITH {D}, q AS (SELECT DISTINCT item_id AS qid, {tb.fold_sql('w')} AS term FROM (SELECT item_id, unnest({tb.words_sql('substr(text, 1, 22)')}) AS w FROM benchmark) WHERE {tb.fold_sql('w')} <> ''),
+    f"""WITH {D}, q AS (SELECT DISTINCT item_id AS qid, {tb.fold_sql('w')} AS term FROM (SELECT item_id, unnest({tb.words_sql('text')}) AS w FROM benchmark) WHERE {tb.fold_sql('w')} <> ''),
  l AS (SELECT unit_id, count(*) AS len FROM tok WHERE subkey IS NOT NULL GROUP BY 1), p AS (SELECT subkey AS term, unit_id, count(*) AS tf FROM tok WHERE subkey IS NOT NULL GROUP BY 1,2), s AS (SELECT count(*) AS n, avg(len) AS av FROM l),
  df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), w AS (SELECT qid, count(*) AS want FROM q GROUP BY 1),
  r AS (SELECT qid, p.unit_id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av)) AS sc FROM q JOIN p ON p.term = q.term JOIN df ON df.term = q.term JOIN l ON l.unit_id = p.unit_id, s),
@@ -342,7 +348,7 @@ def c24(spark, sf):
  SELECT qid, unit_id, score FROM (SELECT g.*, row_number() OVER (PARTITION BY g.qid ORDER BY score DESC, unit_id) AS k FROM g JOIN w ON w.qid = g.qid AND hits = want) WHERE k <= 10""",
 )
 def c25(spark, sf):
-    b = tb.load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(tx.words(F.substring("text", 1, 22))).alias("w"))
+    b = tb.load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(tx.words(F.col("text"))).alias("w"))
     q = b.select("qid", tx.fold(F.col("w"), "latin").alias("term")).filter("term <> ''").distinct()
     t = tb.doc_tokens(spark, sf).filter("subkey IS NOT NULL")
     lens = t.groupBy("unit_id").agg(F.count(F.lit(1)).alias("len"))

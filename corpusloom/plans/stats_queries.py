@@ -288,7 +288,7 @@ def a29(spark, sf):
     f"""WITH {T}, {TT}, {mq.SPANS}, tk AS (SELECT grp, pos, tok_no, surface, key, CASE WHEN regexp_matches(surface, '^[A-Z]') THEN 'PN' ELSE 'N' END AS tag FROM ttok),
  r AS (SELECT tk.*, span_id FROM tk JOIN sp ON sp.grp = tk.grp AND tk.pos BETWEEN first AND last),
  nn AS (SELECT span_id, surface, row_number() OVER (PARTITION BY span_id ORDER BY count(*) DESC, surface) AS r FROM r WHERE tag = 'PN' AND length(surface) > 8 AND surface NOT IN ('The','And') GROUP BY 1,2),
- df AS (SELECT key, count(DISTINCT grp * 1000 + pos) AS df FROM tk WHERE key IS NOT NULL GROUP BY 1),
+ df AS (SELECT key, count(DISTINCT (grp, pos)) AS df FROM tk WHERE key IS NOT NULL GROUP BY 1),
  tf AS (SELECT span_id, key, surface, count(*) AS n FROM r WHERE key IS NOT NULL GROUP BY 1,2,3),
  bs AS (SELECT span_id, key, sum(n) OVER (PARTITION BY span_id, key) AS c, surface, row_number() OVER (PARTITION BY span_id, key ORDER BY n DESC, surface) AS q FROM tf),
  sc AS (SELECT span_id, surface, row_number() OVER (PARTITION BY span_id ORDER BY round(c * ln((SELECT count(*) FROM turns) / df), 6) DESC, key) AS r FROM bs JOIN df USING (key) WHERE q = 1),

@@ -18,6 +18,11 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def pair_id(a, b) -> Column:
+    """Two key columns as one readable id; unlike a packed number it never collides."""
+    return F.concat_ws(":", a, b)
+
+
 def arabic(c: Column) -> Column:
     return F.translate(F.lower(c), LATIN, ARABIC)
 

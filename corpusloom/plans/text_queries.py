@@ -314,13 +314,13 @@ def t22(spark, sf):
 
 @query(
     "t23_title_score",
-    f"""WITH h AS (SELECT conv_id, turn, lower(text) AS title, list_filter(string_split('the of que und ' || substr(lower(text),1,40), ' '), lambda w: length(w) >= 2 AND w NOT IN ('the','of')) AS toks FROM conversations),
+    f"""WITH h AS (SELECT conv_id, turn, lower(text) AS title, list_filter(string_split('the of que und ' || lower(text), ' '), lambda w: length(w) >= 2 AND w NOT IN ('the','of')) AS toks FROM conversations),
  s AS (SELECT conv_id, turn, len(toks) AS n, len(list_filter(toks, lambda w: contains(title, w))) AS hits FROM h)
  SELECT conv_id, turn, CAST(CASE WHEN hits > 0 AND hits >= least(2, n) THEN hits END AS INTEGER) AS score FROM s""",
 )
 def t23(spark, sf):
     t = tb.load(spark, sf, "conversations")
-    q = F.regexp_replace(F.concat(F.lit("the of que und "), F.substring(F.lower("text"), 1, 40)), "[\\t\\r\\n]", "\x01")
+    q = F.regexp_replace(F.concat(F.lit("the of que und "), F.lower("text")), "[\\t\\r\\n]", "\x01")
     return t.select("conv_id", "turn", tx.title_score(F.regexp_replace(F.lower("text"), "[\\t\\r\\n]", "\x01"), q, ["the", "of"]).alias("score"))
 
 
