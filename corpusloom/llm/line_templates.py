@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scale import null_safe_join
-from corpusloom.llm.common import text_key, text_of
+from corpusloom.llm.common import stored, text_key, text_of
 
 WILD = "<*>"
 
@@ -26,7 +26,8 @@ WILD = "<*>"
 def lines_of(docs: DataFrame, leading: int) -> DataFrame:
     """(doc_id, text_key, line_no, leaf, masked): lines with at least one token."""
     cut = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    flat = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
+    plain = F.when(F.col("line").rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("line"))
+    flat = F.trim(plain)
     masked = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", r"[^ ]*[0-9][^ ]*", WILD)).otherwise(F.col("flat"))
     rows = cut.withColumn("flat", flat).filter("flat <> ''").withColumn("masked", masked)
     count = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
@@ -34,14 +35,20 @@ def lines_of(docs: DataFrame, leading: int) -> DataFrame:
     return rows.select("doc_id", "text_key", "line_no", leaf.alias("leaf"), "masked")
 
 
-def recurring_lines(docs: DataFrame, leading: int = 3, min_docs: int = 5, constant_percent: int = 60) -> DataFrame:
+def recurring_lines(docs: DataFrame, leading: int = 3, min_docs: int = 5, constant_percent: int = 60, broadcast_leaves: int = 2_000_000) -> DataFrame:
     """(doc_id, text_key, line_no, template, first): the lines whose template
     recurs; ``first`` marks the line of the smallest (doc_id, text_key, line_no),
-    null ids last."""
-    lines = lines_of(docs, leading)
-    full = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    lines = lines.join(full, "leaf", "left_semi").withColumn("h", F.xxhash64("masked"))
+    null ids last.
+
+    The leaves of enough lines are broadcast (8 bytes each) up to
+    ``broadcast_leaves``, else joined by a shuffle, with the same result.
+    """
+    every = lines_of(docs, leading)
+    full = stored(every.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
+    full = F.broadcast(full) if full.count() <= broadcast_leaves else full
+    lines = stored(every.join(full, "leaf", "left_semi").withColumn("h", F.xxhash64("masked")), "lines")
     kinds = lines.groupBy("leaf", "h", "masked", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf", "h", "masked").agg(F.sum("one").alias("docs"))
+    kinds = stored(kinds, "line-kinds")
     tokens = kinds.select("leaf", "h", "docs", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("pos", "token"))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     marked = tokens.join(constant.select("leaf", "pos", "token"), ["leaf", "pos", "token"])
