@@ -213,10 +213,19 @@ def tile_ranges(ranges: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFra
     return tiles, fixes
 
 
-def in_range(points: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFrame:
-    """Join points (grp, pos) to ranges (grp, first, last, ...) that hold them by equality."""
-    spread = ranges.withColumn("pos", F.explode(F.sequence("first", "last")))
-    return points.join(spread, ["grp", "pos"], how)
+RANGE_CELL = 4096
+
+
+def in_range(points: DataFrame, ranges: DataFrame, how: str = "inner", cell: int = RANGE_CELL) -> DataFrame:
+    """Join points (grp, pos) to the ranges (grp, first, last, ...) that hold them.
+
+    Both meet in cells of fixed width, so a range of any length is one row per
+    cell; points in a cell that a range only touches are compared.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    spread = ranges.withColumn("_cell", F.explode(F.sequence(at("first"), at("last")))).withColumnRenamed("grp", "_grp")
+    on = (F.col("grp") == F.col("_grp")) & (at("pos") == F.col("_cell")) & F.col("pos").between(F.col("first"), F.col("last"))
+    return points.join(spread, on, how).drop("_grp", "_cell")
 
 
 def first_of(units: DataFrame, division: str, place: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -242,9 +251,11 @@ def to_ordinal(points: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def from_ordinal(ords: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(ord) → (grp, pos) by equality on the ordinals each group covers."""
-    spread = offsets.filter("size > 0").select("grp", F.posexplode(F.sequence(F.col("offset") + 1, F.col("offset") + F.col("size"))).alias("_i", "ord"))
-    return ords.join(spread, "ord").withColumn("pos", F.col("_i") + 1).drop("_i")
+    """(ord) → (grp, pos) by the range of ordinals that each group covers."""
+    spans = offsets.filter("size > 0").select(F.lit(0).alias("_all"), F.col("grp").alias("_of"), "offset", (F.col("offset") + 1).alias("first"), (F.col("offset") + F.col("size")).alias("last"))
+    points = ords.withColumn("grp", F.lit(0)).withColumn("pos", F.col("ord"))
+    held = in_range(points, spans.withColumnRenamed("_all", "grp"))
+    return held.withColumn("grp", F.col("_of")).withColumn("pos", F.col("ord") - F.col("offset")).drop("_of", "offset", "first", "last")
 
 
 def context_text(df: DataFrame, before: int, after: int, text: str = "text", sep: str = " | ") -> DataFrame:

@@ -20,11 +20,9 @@ def add_counts(dim: DataFrame, facts: DataFrame, on: Sequence[str], out: str) ->
 
 def key_frequency(tokens: DataFrame) -> DataFrame:
     """(key, occurrences, subkeys, groups): how often, in how many shapes, how widely."""
-    return (
-        tokens.filter(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("subkey").alias("subkeys"), F.countDistinct("grp").alias("groups"))
-    )
+    # one row per shape and group first, so that the distinct counts see few rows
+    few = tokens.filter(F.col("key").isNotNull()).groupBy("key", "subkey", "grp").agg(F.count(F.lit(1)).alias("n"))
+    return few.groupBy("key").agg(F.sum("n").alias("occurrences"), F.countDistinct("subkey").alias("subkeys"), F.countDistinct("grp").alias("groups"))
 
 
 def frequency(df: DataFrame, *by: str) -> DataFrame:

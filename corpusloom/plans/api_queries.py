@@ -13,7 +13,9 @@ D = tb.DOC_TOK
 
 def corpus(spark, sf):
     u = tb.load(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.col("source").alias("grp"), "text")
-    return Corpus(spark, tb.doc_tokens(spark, sf), u)
+    t = tb.doc_tokens(spark, sf)
+    parts = t.select("unit_id", "tok_no", F.posexplode(F.split("subkey", "(?<=e)")).alias("seg_no", "segment")).filter("segment <> ''")
+    return Corpus(spark, t, u, parts)
 
 
 @query("api_sql", f"WITH {D}, f AS (SELECT key, count(*) AS occurrences, count(DISTINCT subkey) AS subkeys, count(DISTINCT grp) AS groups FROM tok WHERE key IS NOT NULL GROUP BY key) SELECT key, occurrences, groups FROM f WHERE occurrences >= 100 AND starts_with(key, 'th')")
@@ -29,3 +31,33 @@ def api_cooccurring(spark, sf):
 @query("api_top_keys", f"WITH {D} SELECT key, count(*) AS occurrences, count(DISTINCT subkey) AS subkeys, count(DISTINCT grp) AS groups FROM tok WHERE key IS NOT NULL GROUP BY key ORDER BY occurrences DESC, key LIMIT 20")
 def api_top_keys(spark, sf):
     return corpus(spark, sf).top_keys(20)
+
+
+@query("api_groups", f"WITH {D} SELECT source AS grp, count(*) AS units, (SELECT count(*) FROM tok WHERE grp = source) AS tokens FROM documents GROUP BY source")
+def api_groups(spark, sf):
+    return corpus(spark, sf).groups()
+
+
+@query("api_group", f"WITH {D} SELECT source AS grp, count(*) AS units, (SELECT count(*) FROM tok WHERE grp = source) AS tokens FROM documents WHERE source = 'src3' GROUP BY source")
+def api_group(spark, sf):
+    return corpus(spark, sf).group("src3")
+
+
+@query("api_units_of", "SELECT doc_id AS unit_id, source AS grp, text FROM documents WHERE source = 'src3'")
+def api_units_of(spark, sf):
+    return corpus(spark, sf).units_of("src3")
+
+
+@query("api_unit_with_tokens", f"WITH {D} SELECT doc_id AS unit_id, source AS grp, text, attr, CAST(tok_no AS INTEGER) AS tok_no, surface, key, subkey FROM documents LEFT JOIN (SELECT * EXCLUDE (grp) FROM tok) ON unit_id = doc_id WHERE doc_id = 7")
+def api_unit_with_tokens(spark, sf):
+    return corpus(spark, sf).unit_with_tokens(7)
+
+
+@query("api_key_with_subkeys", f"WITH {D} SELECT key, subkey, count(*) AS n FROM tok WHERE key = 'that' AND subkey IS NOT NULL GROUP BY 1, 2")
+def api_key_with_subkeys(spark, sf):
+    return corpus(spark, sf).key_with_subkeys("that")
+
+
+@query("api_token", f"WITH {D}, s AS (SELECT unit_id, tok_no, unnest(list_filter(string_split(replace(subkey, 'e', 'e|'), '|'), lambda x: x <> '')) AS segment, generate_subscripts(list_filter(string_split(replace(subkey, 'e', 'e|'), '|'), lambda x: x <> ''), 1) - 1 AS seg_no FROM tok WHERE unit_id = 7 AND tok_no = 3) SELECT tok.* REPLACE (CAST(tok_no AS INTEGER) AS tok_no), CAST(seg_no AS INTEGER) AS seg_no, segment FROM tok LEFT JOIN s USING (unit_id, tok_no) WHERE unit_id = 7 AND tok_no = 3")
+def api_token(spark, sf):
+    return corpus(spark, sf).token(7, 3)

@@ -51,7 +51,7 @@ def s03(spark, sf):
     return r.read_xml(spark, p, "group", "_id long, _kind string, _start int").selectExpr("_id id", "_kind kind", "_start start")
 
 
-@query("s04_lines_by_position", "SELECT conv_id AS grp, CAST(turn + 1 AS INTEGER) AS pos, role || ' ' || conv_id AS text FROM conversations")
+@query("s04_lines_by_position", "SELECT conv_id AS grp, CAST(turn + 1 AS BIGINT) AS pos, role || ' ' || conv_id AS text FROM conversations")
 def s04(spark, sf):
     p = scratch_path(spark, "lines")
     c = conv(spark, sf)

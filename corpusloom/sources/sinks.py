@@ -44,9 +44,21 @@ def write_bundle(sheets: dict[str, DataFrame], path: str) -> DataFrame:
     return out
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows replace old ones with the same key; running it twice changes nothing."""
-    fresh = new.dropDuplicates(list(keys))
+def last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last in ``order``, then by its other columns, so
+    the choice never depends on how the rows are dealt."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    by = F.struct(*order, *[c for c in rest if c not in order])
+    best = rows.groupBy(*keys).agg(F.max(by).alias("_last"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in rows.columns])
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """New rows replace old ones with the same key, the last in ``order`` if a
+    key comes twice; running it twice changes nothing."""
+    fresh = last_per_key(new, keys, order)
     return existing.join(fresh, list(keys), "left_anti").unionByName(fresh)
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scale import scan, shuffle_width
+from corpusloom.sources.sinks import last_per_key
 
 # Window and allowance of callers; the schedule's constants.
 WINDOW_SECONDS, ALLOWED = 60, 20
@@ -34,15 +36,31 @@ def request_rate(events: DataFrame, seconds: int = WINDOW_SECONDS, allowed: int
     return out.drop("_us", "_slot", "_own").withColumn("limited", F.col("recent") > allowed)
 
 
-def request_rate_stream(events: DataFrame, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED, late: str = "10 minutes", slide: str = "10 seconds") -> DataFrame:
-    """Callers over their allowance per sliding window of a stream."""
-    return (
-        events.withWatermark("ts", late)
-        .groupBy(F.window("ts", f"{seconds} seconds", slide), "caller")
-        .agg(F.count(F.lit(1)).alias("recent"))
-        .filter(F.col("recent") > allowed)
-        .select(F.col("window.start").alias("start"), "caller", "recent")
-    )
+def request_rate_stream(events: DataFrame, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED, late: str = "10 minutes") -> DataFrame:
+    """(caller, ts, recent, limited) of every request of a stream: the trailing
+    count of ``request_rate``, kept exactly.
+
+    A caller's state holds the times within one window and the lateness before
+    the newest one.  A late request is counted with what is known of its own
+    window; counts already given are not given again.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    span = seconds * 1_000_000
+    keep = span + int(pd.Timedelta(late).total_seconds() * 1_000_000)
+
+    def count(key, batches, state):
+        known = np.array(state.get[0] if state.exists else [], dtype=np.int64)
+        new = np.sort(np.concatenate([b["us"].to_numpy(dtype=np.int64) for b in batches]))
+        every = np.sort(np.concatenate([known, new]))
+        recent = np.searchsorted(every, new, side="right") - np.searchsorted(every, new - span, side="right")
+        state.update((every[every > every[-1] - keep].tolist(),))
+        yield pd.DataFrame({"caller": key[0], "us": new, "recent": recent})
+
+    caller = events.schema["caller"].dataType.simpleString()
+    e = events.withWatermark("ts", late).select("caller", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    out = e.groupBy("caller").applyInPandasWithState(count, f"caller {caller}, us long, recent long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    return out.select("caller", F.timestamp_micros("us").alias("ts"), "recent", (F.col("recent") > allowed).alias("limited"))
 
 
 def _next_interval(interval: float, grade: int, ease: float) -> float:
@@ -132,7 +150,7 @@ def incremental_sink(stream: DataFrame, enrich: Callable[[DataFrame], DataFrame]
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(list(keys))
+        fresh = last_per_key(batch, keys)
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

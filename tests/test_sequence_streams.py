@@ -73,6 +73,36 @@ def test_request_rate(spark):
     folder = scratch_path(spark, "rate")
     df.coalesce(1).write.parquet(folder)
     s = st.request_rate_stream(spark.readStream.schema(df.schema).parquet(folder), 60, 3)
-    run = s.writeStream.format("memory").queryName("rate").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "ck")).start()
+    run = s.writeStream.format("memory").queryName("rate").outputMode("append").trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "ck")).start()
     run.awaitTermination()
-    assert spark.table("rate").agg(F.max("recent")).first()[0] == 4
+    assert sorted((r.ts, r.recent, r.limited) for r in spark.table("rate").collect()) == [(t, n, n > 3) for t, n in got]
+
+
+def test_request_rate_over_batches(spark):
+    """A burst that straddles batches is counted whole, a late request within its own window."""
+    base = dt.datetime(2024, 1, 1)
+    folder = scratch_path(spark, "rate")
+    kind = "caller string, ts timestamp"
+    for secs in ([0, 50, 55], [58, 59, 70], [65]):
+        spark.createDataFrame([("a", base + dt.timedelta(seconds=s)) for s in secs], kind).coalesce(1).write.mode("append").parquet(folder)
+    import glob
+    import os
+
+    for k, f in enumerate(sorted(glob.glob(f"{folder.removeprefix('file:')}/*.parquet"), key=os.path.getmtime)):
+        os.utime(f, (k + 1, k + 1))  # one file a batch, in the order written
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder)
+    run = st.request_rate_stream(stream, 60, 3).writeStream.format("memory").queryName("rate2").outputMode("append").trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "ck")).start()
+    run.awaitTermination()
+    got = {(r.ts - base).seconds: r.recent for r in spark.table("rate2").collect()}
+    assert got == {0: 1, 50: 2, 55: 3, 58: 4, 59: 5, 70: 5, 65: 5}
+
+
+def test_upsert_keeps_the_last_write(spark):
+    from corpusloom.sources.sinks import upsert
+
+    old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k long, at long, v string")
+    new = spark.createDataFrame([(2, 3, "new"), (2, 2, "z"), (3, 1, "c"), (3, 1, "d")], "k long, at long, v string")
+    want = [(1, 1, "a"), (2, 3, "new"), (3, 1, "d")]
+    once = upsert(old, new, ["k"], ["at"])
+    assert sorted(map(tuple, once.collect())) == want
+    assert sorted(map(tuple, upsert(once, new, ["k"], ["at"]).collect())) == want
