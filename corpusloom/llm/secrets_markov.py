@@ -97,9 +97,10 @@ def count_models(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, prior: float = 0.5) -> np.ndarray:
     """STATES x STATES log-likelihood ratios, random over ordinary.
 
-    Each model is smoothed by ``prior`` of a uniform count per pair; the random
-    model also gets a hundred uniform counts per state over letters and digits,
-    so that random strings of alphabets the corpus doesn't show count as random.
+    Per million counts both models get ``prior`` for each pair, and a hundred
+    for what the corpus may not show: the random one for every letter and digit,
+    the ordinary one for pairs of one class (a-z, A-Z, 0-9) or with a mark, since
+    identifiers of any language keep to a class for longer than random strings.
     """
     counts = np.zeros((2, STATES, STATES))
     for r in count_models(docs).collect():  # at most 2 x 64 x 64 rows
@@ -107,6 +108,8 @@ def train(docs: DataFrame, prior: float = 0.5) -> np.ndarray:
     for k in (0, 1):
         counts[k] = counts[k] / max(counts[k].sum(), 1.0) * 1e6
     counts[1, :, :62] += 100.0
+    kind = np.repeat([0, 1, 2, 3], [26, 26, 10, 2])
+    counts[0][(kind[:, None] == kind) | (kind[:, None] == 3) | (kind == 3)] += 100.0
     p = (counts + prior) / (counts + prior).sum(axis=2, keepdims=True)
     return np.log(p[1]) - np.log(p[0])
 
