@@ -218,12 +218,14 @@ def log_probability(model: Model, grams: np.ndarray) -> np.ndarray:
     return lp
 
 
-def score(docs: DataFrame, model: Model, langs: dict[str, int]) -> DataFrame:
-    """``docs`` with struct column ``_q``: the base counts and ``nll``, the mean
-    negative log probability of a character (null for empty texts)."""
+def score(docs: DataFrame, model: Model, langs: dict[str, int], carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``carry``, all by default) with struct column ``_q``:
+    the base counts and ``nll``, the mean negative log probability of a character
+    (null for empty texts)."""
+    carry = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_grams rows an order
     names = [*BASE, "nll", "lang_no"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("_q", T.StructType([*[T.StructField(c, T.LongType()) for c in BASE], T.StructField("nll", T.DoubleType()), T.StructField("lang_no", T.LongType())]))])
+    schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("_q", T.StructType([*[T.StructField(c, T.LongType()) for c in BASE], T.StructField("nll", T.DoubleType()), T.StructField("lang_no", T.LongType())]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer()
@@ -239,7 +241,7 @@ def score(docs: DataFrame, model: Model, langs: dict[str, int]) -> DataFrame:
                 stop = np.cumsum(n)
                 nll[lo:hi] = np.divide(ends[stop - n] - ends[stop], n, out=np.full(len(n), np.nan), where=n > 0)
             cols = [pa.array(base[:, i]) for i in range(len(BASE))] + [pa.array(nll, from_pandas=True), pa.array(lang)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(cols, names)], [*b.schema.names, "_q"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.StructArray.from_arrays(cols, names)], [*carry, "_q"])
 
     return docs.mapInArrow(run, schema)
 
@@ -260,8 +262,8 @@ def bands(scored: DataFrame, below: float, above: float, least_spread: float, mi
     return off.select("lang_no", (F.col("mid") - below * spread).alias("low"), (F.col("mid") + above * spread).alias("high"))
 
 
-def judge(docs: DataFrame, below: float = 14.0, above: float = 7.0, least_spread: float = 0.015, min_docs: int = 20, max_grams: int = 1_000_000) -> DataFrame:
-    """``docs`` with struct column ``_q``: base counts, ``perplexity`` (null for
+def judge(docs: DataFrame, below: float = 14.0, above: float = 7.0, least_spread: float = 0.015, min_docs: int = 20, max_grams: int = 1_000_000, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``carry``, all by default) with struct column ``_q``: base counts, ``perplexity`` (null for
     empty texts), ``base_failed`` and ``kept``.
 
     ``kept`` is false if the base rules fail (fewer than 50 words, or more than
@@ -272,12 +274,12 @@ def judge(docs: DataFrame, below: float = 14.0, above: float = 7.0, least_spread
     """
     langs = language_numbers(docs)
     model = build_model(docs, langs, max_grams)
-    scored = stored(score(docs, model, langs), "scored")
+    scored = stored(score(docs, model, langs, carry), "scored")
     band = bands(scored, below, above, least_spread, min_docs).withColumnRenamed("lang_no", "_lang_no")  # a row for each of at most 1023 languages
     out = scored.join(F.broadcast(band), F.col("_q.lang_no") == F.col("_lang_no"), "left")
     inside = F.coalesce(F.col("_q.nll").between(F.col("low"), F.col("high")), F.lit(True))
     verdict = F.struct(*[F.col(f"_q.{c}").alias(c) for c in BASE], F.exp("_q.nll").alias("perplexity"), base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
-    return out.select(*docs.columns, verdict.alias("_q"))
+    return out.select(*(docs.columns if carry is None else carry), verdict.alias("_q"))
 
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:

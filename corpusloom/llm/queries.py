@@ -114,7 +114,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_perplexity_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    judged = quality_rules.judge(docs)
+    judged = quality_rules.judge(docs, carry=["doc_id"])
     return judged.select("doc_id", *[f"_q.{c}" for c in quality_rules.BASE], "_q.base_failed", "_q.kept", "_q.perplexity")
 
 
