@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import Words, fold_of, letter_tables, mix64, pieces, text_column, text_key, text_of
+from corpusloom.functions.scale import top_k
+from corpusloom.llm.common import Words, fold_of, mix64, pieces, text_column, text_key, text_of
 
 BITS = 16
 BLOCK = 64
@@ -225,10 +226,7 @@ def train(docs: DataFrame, rows_per_label: int = 400, folds: int = 4, held: int
     if not labels:
         return None
     key = F.xxhash64("doc_id", text_key())
-    picks = [rows.filter(F.col("lang") == x).select("lang", key.alias("key")).orderBy("key").limit(rows_per_label) for x in labels]
-    chosen = picks[0]
-    for p in picks[1:]:
-        chosen = chosen.unionByName(p)
+    chosen = top_k(rows.filter(F.col("lang").isin(labels)).select("lang", key.alias("key")).distinct(), ["lang"], ["key"], rows_per_label)
     place = F.pmod(key, F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int")
     cut = F.substring(F.col("text"), place + 1, F.lit(sample_chars))
     sample = rows.select("lang", key.alias("key"), cut.alias("text")).join(F.broadcast(chosen), ["lang", "key"]).dropDuplicates(["lang", "key"]).orderBy("key", "lang").collect()
