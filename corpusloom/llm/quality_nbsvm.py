@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import add_scores, code_points, collect_features, first_text, fold_of, labelled_sample, letter_tables, mix64, text_of, unique_pairs
 
 BITS = 18
-SIZES = (1, 3, 4)
+SIZES = (1, 3)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (row, id): n-grams of 1, 3 and 4 characters (digits alike,
-    white space alike), and how many different 4-grams a text of its length has,
-    which tells texts that repeat themselves."""
+    """(row, id) by row, distinct within a size: n-grams of 1 and 3 characters (digits alike,
+    white space alike), and in coarse steps the length, how often a 3-gram comes
+    back on average, and both together, which tell texts that repeat themselves."""
     points, n = code_points(texts)
     letter, _ = letter_tables()
     p = np.where((points < 33), 32, np.where((points > 47) & (points < 58), 48, points)).astype(np.uint64)
@@ -38,9 +38,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         r, i = unique_pairs(row[k - 1 :][whole], mix64(h[whole]) >> np.uint64(64 - BITS), BITS)
         rows.append(r), ids.append(i.astype(np.uint64))
     kinds = np.bincount(rows[-1], minlength=len(texts))
-    shape = (np.log2(n + 1).astype(np.int64) << 8) + np.minimum(8 * np.log2((n + 1) / (kinds + 1)), 255).astype(np.int64)
-    rows.append(np.arange(len(texts))), ids.append(mix64(shape.astype(np.uint64) + np.uint64(1 << 40)) >> np.uint64(64 - BITS))
-    return unique_pairs(np.concatenate(rows), np.concatenate(ids), BITS)
+    size, repeats = np.log2(n + 1).astype(np.int64), (2 * np.log2((n + 1) / (kinds + 1))).astype(np.int64)
+    for shape in (size, repeats + (1 << 8), (size << 8) + repeats + (1 << 16)):
+        rows.append(np.arange(len(texts))), ids.append(mix64(shape.astype(np.uint64) + np.uint64(1 << 40)) >> np.uint64(64 - BITS))
+    row, ids = np.concatenate(rows), np.concatenate(ids).astype(np.int64)
+    order = np.argsort(row, kind="stable")
+    return row[order], ids[order]
 
 
 class Model(NamedTuple):
