@@ -14,6 +14,9 @@ leaves of enough lines, once for each different line.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +29,12 @@ WILD = "<*>"
 def lines_of(docs: DataFrame, leading: int) -> DataFrame:
     """(doc_id, text_key, line_no, leaf, masked): lines with at least one token."""
     cut = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    plain = F.when(F.col("line").rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("line"))
+    odd = reduce(or_, [F.contains("line", F.lit(x)) for x in ("  ", "\t", "\v", "\f", "\r")])  # few lines need the costlier replacement
+    plain = F.when(odd, F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("line"))
     flat = F.trim(plain)
     masked = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", r"[^ ]*[0-9][^ ]*", WILD)).otherwise(F.col("flat"))
     rows = cut.withColumn("flat", flat).filter("flat <> ''").withColumn("masked", masked)
-    count = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    count = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     leaf = F.xxhash64(count, F.substring_index("masked", " ", leading))
     return rows.select("doc_id", "text_key", "line_no", leaf.alias("leaf"), "masked")
 
@@ -56,7 +60,8 @@ def recurring_lines(docs: DataFrame, leading: int = 3, min_docs: int = 5, consta
     shape = marked.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("fixed"), F.sum(F.xxhash64("pos", "token") % (1 << 40)).alias("sum"))
     width = kinds.select("leaf", "h", F.size(F.split("masked", " ")).alias("width"))
     template = shape.join(width, ["leaf", "h"]).filter(100 * F.col("fixed") >= constant_percent * F.col("width"))
-    template = template.select("leaf", "h", F.xxhash64("leaf", "fixed", "sum").alias("template"))
+    # written, so that the join below has a shuffle of its own on both sides and Spark can split a very common line
+    template = stored(template.select("leaf", "h", F.xxhash64("leaf", "fixed", "sum").alias("template")), "templates")
     found = lines.select("doc_id", "text_key", "line_no", "leaf", "h").join(template, ["leaf", "h"])
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
     by_doc = found.groupBy("template", "text_key").agg(F.min(order).alias("at"))
