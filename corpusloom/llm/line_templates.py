@@ -66,7 +66,7 @@ def recurring_lines(docs: DataFrame, leading: int = 3, min_docs: int = 5, consta
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
     by_doc = found.groupBy("template", "text_key").agg(F.min(order).alias("at"))
     often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("at")).filter(F.col("docs") >= min_docs)
-    out = found.join(often.select("template", "at"), "template")
+    out = found.join(stored(often.select("template", "at"), "recurring"), "template")
     first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_key") == F.col("at.text_key")) & (F.col("line_no") == F.col("at.line_no"))
     return out.select("doc_id", "text_key", "line_no", "template", first.alias("first"))
 
