@@ -81,17 +81,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = 4
     masks = masks_for(items)
     seeds = items.select("item_id", F.size("item").alias("item_words"), "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("q"))
     seeds = seeds.select(F.explode(seed_structs("item", F.col("q"), masks)).alias("seed"), "item_id", "item_words", "q").distinct()
-    if seeds.count() <= broadcast_seeds:
-        seeds = F.broadcast(seeds)
+    seeds = F.broadcast(seeds) if seeds.count() <= broadcast_seeds else seeds.hint("merge")
     rows = docs.select("doc_id", text_key().alias("text_key"), word_hashes().alias("words"))
     at = rows.select("doc_id", "text_key", "words", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))).alias("p"))
-    probes = at.select("doc_id", "text_key", "words", "p", F.explode(seed_structs("words", F.col("p"), masks)).alias("seed"))
-    hits = probes.join(seeds, "seed")
-    # the document's words beside the item: from the item's first word, or from word `skip` if the document starts inside it
-    start = F.greatest(F.col("p") - F.col("q"), F.lit(0))
-    skip = F.greatest(F.col("q") - F.col("p"), F.lit(0))
-    beside = F.slice("words", start + 1, F.col("item_words") - skip)
-    near = hits.select("doc_id", "text_key", "item_id", skip.alias("skip"), beside.alias("beside")).distinct()
+    probes = at.select("doc_id", "text_key", "p", F.explode(seed_structs("words", F.col("p"), masks)).alias("seed"))
+    # the item's words lie beside the document's from `start` on, the first `skip` of them before the document's beginning
+    start, skip = F.greatest(F.col("p") - F.col("q"), F.lit(0)), F.greatest(F.col("q") - F.col("p"), F.lit(0))
+    hits = probes.join(seeds, "seed").select("doc_id", "text_key", F.struct("item_id", start.alias("start"), skip.alias("skip"), (F.col("item_words") - skip).alias("n")).alias("hit"))
+    per_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_set("hit").alias("hits"))
+    found = null_safe_join(docs.select("doc_id", text_key().alias("text_key"), "text"), per_doc, ["doc_id", "text_key"], "inner")
+    found = found.select("doc_id", "text_key", "hits", word_hashes().alias("words"))
+    near = found.select("doc_id", "text_key", F.explode(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["skip"].alias("skip"), F.slice("words", h["start"] + 1, h["n"]).alias("beside")))).alias("x"))
+    near = near.select("doc_id", "text_key", "x.*").distinct()
     both = null_safe_join(near, items, ["item_id"], "inner")
     same = F.zip_with(F.slice("item", F.col("skip") + 1, F.size("beside")), "beside", lambda a, b: F.coalesce(a == b, F.lit(False)))
     scored = both.select("doc_id", "text_key", "item_id", F.size("item").alias("item_words"), "need", _stretch(same).alias("matched"))
