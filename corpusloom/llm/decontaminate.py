@@ -30,57 +30,82 @@ def word_hashes(column: str = "text") -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seed_structs(hashes: str, at: Column, masks: list[str]) -> Column:
-    """Seeds that start at position ``at``; null where the mask runs over the end."""
+def seed_structs(hashes: str, at: Column, masks: list[str], valid: dict[str, Column] | None = None) -> Column:
+    """Seeds that start at position ``at``; null where the mask runs over the
+    end or is not ``valid``."""
     seeds = []
     for m in masks:
         marks = [F.get(F.col(hashes), at + i) for i, bit in enumerate(m) if bit == "1"]
         fits = at + len(m) <= F.size(hashes)
-        seeds.append(F.when(fits, F.xxhash64(F.lit(m), *marks)))
+        seeds.append(F.when(fits & valid[m] if valid else fits, F.xxhash64(F.lit(m), *marks)))
     return F.array(*seeds)  # nulls go in the join
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """(item_id, item, need): distinct items of at least ``MIN_WORDS`` words."""
     items = benchmark.select("item_id", word_hashes().alias("item")).filter(F.size("item") >= MIN_WORDS).distinct()
-    return items.withColumn("need", F.least(F.lit(RUN), F.ceil(F.size("item") * SHARE)).cast("int"))
+    n = F.size("item")
+    return items.withColumn("need", F.least(F.lit(RUN), F.ceil(n * SHARE)).cast("int"))
 
 
-def masks_for(items: DataFrame) -> list[str]:
-    """The fixed masks, and for items too short for them one run of their length."""
-    longest = max(map(len, MASKS))
-    short = [r.n for r in items.select(F.size("item").alias("n")).filter(F.col("n") < longest).distinct().collect()]
-    return [*MASKS, *("1" * n for n in sorted(short) if "1" * n not in MASKS)]
+def masks_of(n: int) -> list[str]:
+    """Masks one of which is free of substitutions in every passage of an item
+    of ``n`` words: the whole item up to nine words,
+    then a run that ``need`` equal words hold whatever parts them."""
+    if n < 10:
+        return [*MASKS, "1" * n]
+    return [*MASKS, "111" if n in (10, 11, 15) else "1111"]
 
 
-def _stretch(pairs: Column) -> Column:
-    """Most equal words in a stretch of which every prefix holds four equal
-    words for each unequal one, so at least ``SHARE`` of it is equal."""
-    zero = F.struct(F.lit(0).alias("score"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+def masks_for(items: DataFrame) -> dict[str, Column]:
+    """The masks that the lengths of the items need, and the items each is for."""
+    lengths: dict[str, set[int]] = {}
+    cap = F.least(F.size("item"), F.lit(16))  # longer items have the same masks
+    for r in items.select(cap.alias("n")).distinct().collect():
+        for m in masks_of(r.n):
+            lengths.setdefault(m, set()).add(r.n)
+    return {m: cap.isin(sorted(n)) for m, n in sorted(lengths.items())} or {m: F.lit(True) for m in MASKS}
+
+
+def _stretch(pairs: Column, need: Column) -> Column:
+    """Most equal words in a stretch of which at least ``SHARE`` is equal; 0 if
+    fewer than ``need`` are equal at all.
+
+    A stretch holds the share if the sum of 1 for an equal and -4 for an unequal
+    word does not fall over it; the longest one to a place starts at the first
+    of the lowest sums so far that is no higher.
+    """
+    low = F.array(F.struct(F.lit(0).alias("score"), F.lit(0).alias("run")))
+    zero = F.struct(F.lit(0).alias("score"), F.lit(0).alias("run"), low.alias("low"), F.lit(0).alias("best"))
 
     def step(acc: Column, same: Column) -> Column:
         score = acc["score"] + F.when(same, 1).otherwise(-4)
-        alive = score >= 0
-        run = F.when(alive, acc["run"] + F.when(same, 1).otherwise(0)).otherwise(0)
-        return F.struct(F.when(alive, score).otherwise(0).alias("score"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+        run = acc["run"] + F.when(same, 1).otherwise(0)
+        start = F.get(F.filter(acc["low"], lambda x: x["score"] <= score), F.lit(0))
+        lowest = F.element_at(acc["low"], -1)["score"]
+        lows = F.when(score < lowest, F.concat(acc["low"], F.array(F.struct(score.alias("score"), run.alias("run"))))).otherwise(acc["low"])
+        return F.struct(score.alias("score"), run.alias("run"), lows.alias("low"), F.greatest(acc["best"], F.coalesce(run - start["run"], F.lit(0))).alias("best"))
 
-    return F.aggregate(pairs, zero, step, lambda a: a["best"])
+    enough = F.size(F.filter(pairs, lambda same: same)) >= need
+    return F.when(enough, F.aggregate(pairs, zero, step, lambda a: a["best"])).otherwise(0)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = 4_000_000) -> DataFrame:
     """(doc_id, text_key, item_id, matched, item_words, share) of documents that
     hold a passage of an item.
 
-    A passage is held if on one diagonal a stretch has 13 equal words, or four
-    fifths of a shorter item, with at most one word in five substituted.  Items
-    of fewer than five words can't tell a leak from chance and are left out.
+    A passage is held if on one diagonal a stretch of which at least four fifths
+    are equal has 13 equal words, or four fifths of a shorter item, wherever the
+    others fall.  Items of fewer than five words
+    are left out.
     Null and empty texts hold nothing; equal rows give equal results and are
     returned once; a null doc_id or item_id is a value like any other.
     """
     items = benchmark_items(benchmark)
-    masks = masks_for(items)
+    valid = masks_for(items)
+    masks = list(valid)
     seeds = items.select("item_id", F.size("item").alias("item_words"), "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("q"))
-    seeds = seeds.select(F.explode(seed_structs("item", F.col("q"), masks)).alias("seed"), "item_id", "item_words", "q").distinct()
+    seeds = seeds.select(F.explode(seed_structs("item", F.col("q"), masks, valid)).alias("seed"), "item_id", "item_words", "q").distinct()
     seeds = F.broadcast(seeds) if seeds.count() <= broadcast_seeds else seeds.hint("merge")
     rows = docs.select("doc_id", text_key().alias("text_key"), word_hashes().alias("words"))
     at = rows.select("doc_id", "text_key", "words", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))).alias("p"))
@@ -95,7 +120,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = 4
     near = near.select("doc_id", "text_key", "x.*").distinct()
     both = null_safe_join(near, items, ["item_id"], "inner")
     same = F.zip_with(F.slice("item", F.col("skip") + 1, F.size("beside")), "beside", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    scored = both.select("doc_id", "text_key", "item_id", F.size("item").alias("item_words"), "need", _stretch(same).alias("matched"))
+    both = both.select("doc_id", "text_key", "item_id", F.size("item").alias("item_words"), "need", same.alias("same"))
+    scored = both.select("doc_id", "text_key", "item_id", "item_words", "need", _stretch(F.col("same"), F.col("need")).alias("matched"))
     held = scored.filter(F.col("matched") >= F.col("need"))
     best = held.groupBy("doc_id", "text_key", "item_id").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
     return best.withColumn("share", F.round(F.col("matched") / F.col("item_words"), 6))
