@@ -20,7 +20,6 @@ from corpusloom.llm.common import text_key, text_of
 
 #: Six words each: one run, and three that leave words out at different places.
 MASKS = ("111111", "11011011", "110010111", "1010110101")
-MIN_WORDS = 5
 RUN = 13
 SHARE = 0.8
 
@@ -42,18 +41,20 @@ def seed_structs(hashes: str, at: Column, masks: list[str], valid: dict[str, Col
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item, need): distinct items of at least ``MIN_WORDS`` words."""
-    items = benchmark.select("item_id", word_hashes().alias("item")).filter(F.size("item") >= MIN_WORDS).distinct()
+    """(item_id, item, need): distinct items with a word; under five words all are needed."""
+    items = benchmark.select("item_id", word_hashes().alias("item")).filter(F.size("item") > 0).distinct()
     n = F.size("item")
-    return items.withColumn("need", F.least(F.lit(RUN), F.ceil(n * SHARE)).cast("int"))
+    return items.withColumn("need", F.when(n < 5, n).otherwise(F.least(F.lit(RUN), F.ceil(n * SHARE))).cast("int"))
 
 
 def masks_of(n: int) -> list[str]:
     """Masks one of which is free of substitutions in every passage of an item
-    of ``n`` words: the whole item up to nine words,
+    of ``n`` words: all words under five, each single word left out up to nine,
     then a run that ``need`` equal words hold whatever parts them."""
+    if n < 5:
+        return ["1" * n]
     if n < 10:
-        return [*MASKS, "1" * n]
+        return [("1" * i + "0" + "1" * (n - 1 - i)).strip("0") for i in range(n)]
     return [*MASKS, "111" if n in (10, 11, 15) else "1111"]
 
 
@@ -96,8 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = 4
 
     A passage is held if on one diagonal a stretch of which at least four fifths
     are equal has 13 equal words, or four fifths of a shorter item, wherever the
-    others fall.  Items of fewer than five words
-    are left out.
+    others fall.  Items of fewer than five words are held as a whole word run.
     Null and empty texts hold nothing; equal rows give equal results and are
     returned once; a null doc_id or item_id is a value like any other.
     """

@@ -48,3 +48,9 @@ def planted(lengths, most):
 def test_substitutions_at_every_position(spark):
     want = compare(spark, *planted([10, 12, 14, 15, 16, 17, 30], 2))
     assert len({d for d, _ in want}) > 100
+
+
+def test_short_items(spark):
+    items, docs = planted([1, 2, 3, 4, 5, 6, 7, 8, 9], 1)
+    want = compare(spark, items, [*docs, (9000, "i5w0 i5w1 i5w2 i5w3"), (9001, "i9w1 i9w2 i9w3 i9w4 i9w5 i9w6 i9w7 i9w8 x")])
+    assert {(9000, 5), (9001, 9)} <= set(want) and len(want) == 9 + sum(range(5, 10)) + 2
