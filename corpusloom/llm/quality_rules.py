@@ -3,8 +3,8 @@
 A modified Kneser-Ney model over characters, one per language, is counted by
 Spark over the whole corpus: tasks pre-aggregate the n-grams of highest order,
 and lower orders, discounts and interpolated probabilities are derived from
-their table.  Scoring tasks get the model as sorted arrays of packed n-grams
-and search them.  A document is rejected if it fails the base rules or if its
+their table.  No n-gram is cut.  Scoring tasks search sorted arrays of packed
+n-grams, or a join does it where the model is large.  A document is rejected if it fails the base rules or if its
 perplexity leaves the band of its language.
 
 Symbols take 10 bits: code points below 768 stand for themselves, others share
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import code_points, pieces, stored, text_column
+from corpusloom.llm.common import code_points, pieces, stored, text_column, text_key
 
 ORDER = 5
 SYMBOL_BITS = 10
@@ -144,10 +144,9 @@ def _with_discounts(grams: DataFrame) -> DataFrame:
     return grams.join(d, "lang")
 
 
-def estimate(grams: DataFrame, max_grams: int) -> list[tuple[DataFrame, DataFrame]]:
-    """For order 1 to ``ORDER``: (lang, g, p) and the back-off weights (lang, h,
-    gamma) of its contexts.  Of an order the n-grams of highest count are kept,
-    at most ``max_grams``; what is cut is scored through its back-off weight."""
+def estimate(grams: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For order 1 to ``ORDER``: (lang, g, p) of all n-grams and the back-off
+    weights (lang, h, gamma) of their contexts."""
     tables = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
         suffix = F.col("g").bitwiseAND((1 << SYMBOL_BITS * n) - 1)
@@ -166,14 +165,7 @@ def estimate(grams: DataFrame, max_grams: int) -> list[tuple[DataFrame, DataFram
             g = g.withColumn("r", rest).join(lower.select("lang", F.col("g").alias("r"), F.col("p").alias("q")), ["lang", "r"])
             p = own + F.col("gamma") * F.col("q")
         lower = stored(g.select("lang", "g", "h", "c", "gamma", p.alias("p")), f"probabilities{n}")
-        counts = sorted(((r.k, r.n) for r in lower.groupBy(F.least("c", F.lit(1 << 16)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-        total, least = 0, 0
-        for k, m in counts:
-            total += m
-            if total > max_grams:
-                least = k + 1
-                break
-        out.append((lower.filter(F.col("c") >= least).select("lang", "g", "p"), lower.filter(F.col("c") >= least).select("lang", F.col("h").alias("g"), F.col("gamma").alias("p")).distinct()))
+        out.append((lower.select("lang", "g", "p"), lower.select("lang", F.col("h").alias("g"), F.col("gamma").alias("p")).distinct()))
     return out
 
 
@@ -191,9 +183,9 @@ def sorted_arrays(table: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return k[at], lp[at]
 
 
-def build_model(docs: DataFrame, langs: dict[str, int], max_grams: int) -> Model:
-    grams = stored(count_grams(docs, langs), f"grams{ORDER}")
-    orders = estimate(grams, max_grams)
+def build_model(docs: DataFrame, langs: dict[str, int], held: int = 0) -> Model:
+    """All orders, for any text; ``held`` has no effect, nothing is cut."""
+    orders = estimate(stored(count_grams(docs, langs), f"grams{ORDER}"))
     return Model([sorted_arrays(g, SYMBOL_BITS * n) for n, (g, _) in enumerate(orders, 1)], [sorted_arrays(c, SYMBOL_BITS * (n - 1)) for n, (_, c) in enumerate(orders, 1)])
 
 
@@ -218,12 +210,12 @@ def log_probability(model: Model, grams: np.ndarray) -> np.ndarray:
     return lp
 
 
-def score(docs: DataFrame, model: Model, langs: dict[str, int], carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, langs: dict[str, int], carry: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``carry``, all by default) with struct column ``_q``:
     the base counts and ``nll``, the mean negative log probability of a character
-    (null for empty texts)."""
+    (null for empty texts, and without a model)."""
     carry = docs.columns if carry is None else carry
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_grams rows an order
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*BASE, "nll", "lang_no"]
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("_q", T.StructType([*[T.StructField(c, T.LongType()) for c in BASE], T.StructField("nll", T.DoubleType()), T.StructField("lang_no", T.LongType())]))])
 
@@ -233,7 +225,7 @@ def score(docs: DataFrame, model: Model, langs: dict[str, int], carry: list[str]
             texts, lang = text_column(b), _numbers(b.column("lang"), langs)
             base = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, len(BASE))
             nll = np.full(len(texts), np.nan)
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts) if shared.value else ():
                 grams, n = pack(texts[lo:hi], lang[lo:hi])
                 kinds = np.unique(grams)
                 lp = log_probability(shared.value, kinds)[np.searchsorted(kinds, grams)]
@@ -246,6 +238,31 @@ def score(docs: DataFrame, model: Model, langs: dict[str, int], carry: list[str]
     return docs.mapInArrow(run, schema)
 
 
+def joined_score(docs: DataFrame, table: DataFrame, langs: dict[str, int], carry: list[str] | None = None) -> DataFrame:
+    """``score`` by a join of the distinct n-grams of every text with ``table``
+    (lang, g, p), which has all n-grams of ``docs``, whatever its size."""
+    carry = docs.columns if carry is None else carry
+    keyed = docs.withColumn("_k", text_key())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = Packer()
+        for b in batches:
+            texts, lang = text_column(b), _numbers(b.column("lang"), langs)
+            for t, number, k in zip(texts, lang, b.column("_k").to_pylist()):
+                g, c = np.unique(pack([t], np.zeros(1, np.int64))[0], return_counts=True)
+                cols = [np.full(len(g), k), np.full(len(g), number), g.astype(np.int64), c.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["k", "lang", "g", "c"])
+
+    grams = keyed.select("_k", "lang", "text").mapInArrow(run, "k long, lang long, g long, c long")
+    found = grams.join(table.select("lang", "g", F.log("p").cast("float").cast("double").alias("lp")), ["lang", "g"])
+    # a text that is repeated counts as often above as below the line
+    nll = found.groupBy("k", "lang").agg((-F.sum(F.col("c") * F.col("lp")) / F.sum("c")).alias("_nll"))
+    nll = nll.withColumnsRenamed({"k": "_nk", "lang": "_nl"})
+    out = score(keyed, None, langs, [*carry, "_k"])
+    out = out.join(nll, (F.col("_k") == F.col("_nk")) & (F.col("_q.lang_no") == F.col("_nl")), "left")
+    return out.select(*carry, F.col("_q").withField("nll", F.col("_nll")).alias("_q"))
+
+
 def base_failed() -> Column:
     return (F.col("_q.n_words") < 50) | (100 * F.col("_q.n_repeat_words") > 50 * F.col("_q.n_words"))
 
@@ -262,7 +279,7 @@ def bands(scored: DataFrame, below: float, above: float, least_spread: float, mi
     return off.select("lang_no", (F.col("mid") - below * spread).alias("low"), (F.col("mid") + above * spread).alias("high"))
 
 
-def judge(docs: DataFrame, below: float = 14.0, above: float = 7.0, least_spread: float = 0.015, min_docs: int = 20, max_grams: int = 1_000_000, carry: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, below: float = 14.0, above: float = 7.0, least_spread: float = 0.015, min_docs: int = 20, broadcast_grams: int = 4_000_000, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``carry``, all by default) with struct column ``_q``: base counts, ``perplexity`` (null for
     empty texts), ``base_failed`` and ``kept``.
 
@@ -270,11 +287,19 @@ def judge(docs: DataFrame, below: float = 14.0, above: float = 7.0, least_spread
     half of the words in repeated windows), else it says whether the perplexity
     lies in the band of the language.  Null texts count as empty and fail; a
     null or rare ``lang`` uses the model and the band that such rows share;
-    equal rows get equal verdicts; an empty table gives an empty one.
+    equal rows get equal verdicts; an empty table gives an empty one.  All n-grams
+    count: up to ``broadcast_grams`` of highest order (12 bytes each) are
+    broadcast, more are joined, with the same result.
     """
     langs = language_numbers(docs)
-    model = build_model(docs, langs, max_grams)
-    scored = stored(score(docs, model, langs, carry), "scored")
+    grams = stored(count_grams(docs, langs), f"grams{ORDER}")
+    table = estimate(grams)[-1][0]
+    if grams.count() <= broadcast_grams:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))  # every n-gram of ``docs`` is known at the highest order
+        model = Model([*[none] * (ORDER - 1), sorted_arrays(table, SYMBOL_BITS * ORDER)], [none] * ORDER)
+        scored = stored(score(docs, model, langs, carry), "scored")
+    else:
+        scored = stored(joined_score(docs, table, langs, carry), "scored")
     band = bands(scored, below, above, least_spread, min_docs).withColumnRenamed("lang_no", "_lang_no")  # a row for each of at most 1023 languages
     out = scored.join(F.broadcast(band), F.col("_q.lang_no") == F.col("_lang_no"), "left")
     inside = F.coalesce(F.col("_q.nll").between(F.col("low"), F.col("high")), F.lit(True))
