@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import decontaminate, language_crf, line_templates, mixture, near_dup, quality_nbsvm, quality_rules, secrets_markov, toxicity_fm, url_filter
+import public_tokenizers
+
+from corpusloom.functions.scale import scratch_path
+from corpusloom.llm import decontaminate, language_crf, line_templates, merkle_versions, mixture, near_dup, packed_ids, quality_nbsvm, quality_rules, secrets_markov, toxicity_fm, url_filter, whiten_charpoly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +122,69 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"_q.{c}" for c in quality_rules.BASE], "_q.base_failed", "_q.kept", "_q.perplexity")
 
 
+@query("op11_charpoly_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten_charpoly.whiten(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+OP12_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT range AS b, range::UBIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT doc_id, doc_id::VARCHAR AS s, 4294967295::UBIGINT AS c FROM documents
+  UNION ALL SELECT doc_id, s[2:], xor(crc.c >> 8, bits.c) FROM crc JOIN bits ON bits.k = 8 AND bits.b = xor(crc.c & 255, ascii(s[1])::UBIGINT) WHERE s <> ''
+), hit AS (SELECT doc_id FROM crc WHERE s = '' AND xor(c, 4294967295::UBIGINT) % 2 = 0),
+enc AS (
+  SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, CASE WHEN doc_id IN (SELECT doc_id FROM hit) THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents
+), leaf AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS new,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM enc
+), lv AS (
+  SELECT source, 0 AS level, i, leaf AS h, n FROM leaf
+  UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM lv WHERE n > 1 GROUP BY source, level, i // 3, n
+), sub AS (
+  SELECT source, level AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1
+), up AS (
+  SELECT 0 AS level, i, subroot AS h, n FROM sub
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY level, i // 3, n
+), sides AS (
+  SELECT a.source, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM lv a JOIN lv b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL
+), up_sides AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM up a JOIN up b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL
+), path AS (
+  SELECT d.doc_id, s.level AS k, l, r FROM leaf d JOIN sides s ON s.source IS NOT DISTINCT FROM d.source AND s.i = d.i // (3 ** s.level)::BIGINT
+  UNION ALL SELECT d.doc_id, b.height + u.level, l, r FROM leaf d JOIN sub b ON b.source IS NOT DISTINCT FROM d.source JOIN up_sides u ON u.i = b.i // (3 ** u.level)::BIGINT
+), fold AS (
+  SELECT doc_id, 0 AS k, new AS h, '' AS proof FROM leaf
+  UNION ALL SELECT f.doc_id, f.k + 1, sha256(l || h || r), proof || l || r FROM fold f JOIN path p ON p.doc_id = f.doc_id AND p.k = f.k
+), top AS (SELECT doc_id, arg_max(h, k) AS folded_root, sha256(arg_max(proof, k)) AS proof_sha256 FROM fold GROUP BY doc_id)
+SELECT d.doc_id, d.leaf, b.subroot, (SELECT h FROM up WHERE n = 1) AS root, t.proof_sha256, t.folded_root, t.folded_root = (SELECT h FROM up WHERE n = 1) AS verified
+FROM leaf d JOIN sub b ON b.source IS NOT DISTINCT FROM d.source JOIN top t ON t.doc_id = d.doc_id
+"""
+
+
+@query("op12_merkle_versions", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = merkle_versions.without_line_feeds(table(spark, sf_dir, "documents"))
+    return merkle_versions.digests(merkle_versions.manifest(docs))
+
+
+@query("op13_packed_token_ids")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, folder = public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "packed-ids")
+    encoded = packed_ids.encode_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=2, by_word=True)
+    packed_ids.write_ids(encoded, folder, packed_ids.vocabulary_size(vocabulary))
+    return packed_ids.digests(packed_ids.read_ids(spark, folder))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
