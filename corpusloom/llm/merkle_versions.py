@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.scale import ordinal
 from corpusloom.llm.common import stored
 
-FAN, HEIGHT = 3, 7
-BLOCK = FAN**HEIGHT
+FAN, HEIGHT = 3, 7  # a block has FAN**HEIGHT nodes
 NODE = "tree string, level int, idx long, hash string, total long"
 PATH = "array<struct<left:string,right:string>>"
 
@@ -74,18 +73,18 @@ def leaves(docs: DataFrame) -> DataFrame:
     return placed.join(rows.groupBy("tree").agg(F.count(F.lit(1)).alias("total")), "tree")
 
 
-def climb(total: int) -> int:
+def climb(total: int, height: int) -> int:
     """Levels from the nodes of a block to its root, of ``total`` nodes in the tree."""
     rise = 0
-    while total > 1 and rise < HEIGHT:
+    while total > 1 and rise < height:
         total, rise = -(-total // FAN), rise + 1
     return rise
 
 
-def build(hashes: list[str], total: int) -> list[list[str]]:
+def build(hashes: list[str], total: int, height: int) -> list[list[str]]:
     """All levels of a block, its nodes first, its root last."""
     out = [hashes]
-    for _ in range(climb(total)):
+    for _ in range(climb(total, height)):
         below = out[-1]
         out.append([digest("".join(below[i : i + FAN])) for i in range(0, len(below), FAN)])
     return out
@@ -110,11 +109,11 @@ def copies(node: str, path: list[dict[str, str]]) -> list[str]:
     return out
 
 
-def _block() -> Column:
-    return F.floor(F.col("idx") / BLOCK).cast("long").alias("block")
+def _block(height: int) -> Column:
+    return F.floor(F.col("idx") / FAN**height).cast("long").alias("block")
 
 
-def block_roots(nodes: DataFrame, every: bool = False) -> DataFrame:
+def block_roots(nodes: DataFrame, height: int, every: bool = False) -> DataFrame:
     """The root of each block as a node of the next round; with ``every``, all
     nodes above those of the block, with their level and index."""
 
@@ -122,7 +121,7 @@ def block_roots(nodes: DataFrame, every: bool = False) -> DataFrame:
         t = t.sort_by("idx")
         tree, total, first = t["tree"][0].as_py(), t["total"][0].as_py(), t["idx"][0].as_py()
         low = t["level"][0].as_py()
-        levels = build(t["hash"].to_pylist(), total)
+        levels = build(t["hash"].to_pylist(), total, height)
         rows = []
         for k, level in enumerate(levels):
             if k == len(levels) - 1 or (every and k):
@@ -130,42 +129,42 @@ def block_roots(nodes: DataFrame, every: bool = False) -> DataFrame:
                 rows += [(tree, low + k, first // FAN**k + i, h, size) for i, h in enumerate(level)]
         return pa.table({n: pa.array(c, ty) for n, c, ty in zip(("tree", "level", "idx", "hash", "total"), zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64()))})
 
-    return nodes.select("tree", "level", "idx", "hash", "total", _block()).groupBy("tree", "block").applyInArrow(run, NODE)
+    return nodes.select("tree", "level", "idx", "hash", "total", _block(height)).groupBy("tree", "block").applyInArrow(run, NODE)
 
 
-def upper_paths(nodes: DataFrame) -> DataFrame:
+def upper_paths(nodes: DataFrame, height: int) -> DataFrame:
     """(tree, idx, path, top) of every node: its path to the root of its tree."""
-    if (nodes.agg(F.max("total")).first()[0] or 0) <= BLOCK:
+    if (nodes.agg(F.max("total")).first()[0] or 0) <= FAN**height:
         above = nodes.select("tree", F.lit(0).cast("long").alias("block"), F.array().cast(PATH).alias("path"), F.lit(None).cast("string").alias("top")).distinct()
     else:
-        above = upper_paths(stored(block_roots(nodes), "merkle-nodes")).withColumnRenamed("idx", "block")
+        above = upper_paths(stored(block_roots(nodes, height), "merkle-nodes"), height).withColumnRenamed("idx", "block")
 
     def run(t: pa.Table, up: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
-        block = build(t["hash"].to_pylist(), t["total"][0].as_py())
+        block = build(t["hash"].to_pylist(), t["total"][0].as_py(), height)
         more, top = up["path"][0].as_py(), up["top"][0].as_py() or block[-1][0]
         n = len(t)
         paths = pa.array([path_up(block, i) + more for i in range(n)], pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))
         return pa.table({"tree": t["tree"], "idx": t["idx"], "path": paths, "top": pa.array([top] * n, pa.string())})
 
-    own = nodes.select("tree", "idx", "hash", "total", _block()).groupBy("tree", "block")
+    own = nodes.select("tree", "idx", "hash", "total", _block(height)).groupBy("tree", "block")
     return stored(own.cogroup(above.select("tree", "block", "path", "top").groupBy("tree", "block")).applyInArrow(run, f"tree string, idx long, path {PATH}, top string"), "merkle-paths")
 
 
-def block_paths(placed: DataFrame) -> DataFrame:
+def block_paths(placed: DataFrame, height: int) -> DataFrame:
     """(tree, block, path, subroot, root): the way from each block of leaves up to the root of all."""
-    roots = stored(block_roots(placed.withColumn("level", F.lit(0))), "merkle-nodes")
-    # a whole block rises by HEIGHT levels, so a block root is node ``block`` of its level
-    inside = upper_paths(roots.withColumn("level", F.lit(0)))
+    roots = stored(block_roots(placed.withColumn("level", F.lit(0)), height), "merkle-nodes")
+    # a whole block rises by ``height`` levels, so a block root is node ``block`` of its level
+    inside = upper_paths(roots.withColumn("level", F.lit(0)), height)
     tops = inside.filter("idx = 0").select("tree", F.col("top").alias("hash"))
     sources = ordinal(tops, ["tree"], (), "idx").select(F.lit("").alias("tree"), F.col("tree").alias("of"), (F.col("idx") - 1).alias("idx"), "hash")
     sources = stored(sources.withColumn("total", F.lit(tops.count()).cast("long")).withColumn("level", F.lit(0)), "merkle-sources")
-    across = sources.select("of", "idx").join(upper_paths(sources.drop("of")).select("idx", F.col("path").alias("more"), F.col("top").alias("root")), "idx")
+    across = sources.select("of", "idx").join(upper_paths(sources.drop("of"), height).select("idx", F.col("path").alias("more"), F.col("top").alias("root")), "idx")
     joined = inside.join(across.select(F.col("of").alias("tree"), "more", "root"), "tree")
     return joined.select("tree", F.col("idx").alias("block"), F.concat("path", "more").alias("path"), F.col("top").alias("subroot"), "root")
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """(tree, idx, doc_id, leaf, subroot, root, proof, hit, copied, folded_root,
     verified), one row per row of ``docs``, which has the columns of
     ``without_line_feeds``.
@@ -176,14 +175,14 @@ def manifest(docs: DataFrame) -> DataFrame:
     ``folded_root``, and ``verified`` says whether it is the root.
     """
     placed = stored(leaves(docs), "merkle-placed")
-    ups = block_paths(placed)
+    ups = block_paths(placed, height)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     schema = f"tree string, idx long, doc_id {doc_id}, leaf string, subroot string, root string, proof array<string>, hit boolean, copied array<string>, folded_root string, verified boolean"
 
     def run(t: pa.Table, up: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
         hashes, new = t["hash"].to_pylist(), t["new"].to_pylist()
-        block = build(hashes, t["total"][0].as_py())
+        block = build(hashes, t["total"][0].as_py(), height)
         more, subroot, root = up["path"][0].as_py(), up["subroot"][0].as_py(), up["root"][0].as_py()
         proofs, copied = [], []
         for i, h in enumerate(hashes):
@@ -198,7 +197,7 @@ def manifest(docs: DataFrame) -> DataFrame:
             "proof": pa.array(proofs, strings), "hit": pa.array([n is not None for n in new]), "copied": pa.array(copied, strings), "folded_root": pa.array(folded, pa.string()), "verified": pa.array([f == root for f in folded], pa.bool_()),
         })
 
-    own = placed.select("tree", "idx", "total", "doc_id", "hash", "new", _block()).groupBy("tree", "block")
+    own = placed.select("tree", "idx", "total", "doc_id", "hash", "new", _block(height)).groupBy("tree", "block")
     return own.cogroup(ups.groupBy("tree", "block")).applyInArrow(run, schema)
 
 
@@ -207,14 +206,14 @@ def digests(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
-def source_nodes(placed: DataFrame) -> DataFrame:
+def source_nodes(placed: DataFrame, height: int = HEIGHT) -> DataFrame:
     """(tree, level, idx, hash): the first version of all nodes of every source."""
     rounds, below = [], placed.withColumn("level", F.lit(0)).select("tree", "level", "idx", "hash", "total")
     out = below
     while (below.agg(F.max("total")).first()[0] or 0) > 1:
-        rounds.append(stored(block_roots(below, every=True), "merkle-levels"))
+        rounds.append(stored(block_roots(below, height, every=True), "merkle-levels"))
         # a tree that ended inside this round has its root as its only node there
-        above = rounds[-1].filter((F.col("level") == HEIGHT * len(rounds)) & (F.col("total") > 1))
+        above = rounds[-1].filter((F.col("level") == height * len(rounds)) & (F.col("total") > 1))
         out, below = out.unionByName(rounds[-1]), above
     return out.select("tree", "level", "idx", "hash")
 

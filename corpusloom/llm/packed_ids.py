@@ -217,13 +217,13 @@ def manifest(path: str) -> list[dict]:
 
 
 class IdReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
 
     def partitions(self) -> list[Stretch]:
         out = []
         for p in manifest(self.path):
-            cuts = np.linspace(0, p["documents"], -(-p["ids"] // SPLIT) + 1).astype(int).tolist()
+            cuts = np.linspace(0, p["documents"], -(-p["ids"] // self.split) + 1).astype(int).tolist()
             out += [Stretch(p["file"], lo, hi, p["start"]) for lo, hi in zip(cuts[:-1], cuts[1:]) if lo < hi]
         return out or [Stretch("", 0, 0, 0)]
 
@@ -244,7 +244,7 @@ class IdReader(DataSourceReader):
 
 
 class PackedIds(DataSource):
-    """Options: ``path`` and, to write, ``bits``."""
+    """Options: ``path``; to write ``bits``; to read ``split``, the ids of a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -254,7 +254,7 @@ class PackedIds(DataSource):
         return "doc_id long, start long, ids array<int>"
 
     def reader(self, schema) -> IdReader:  # noqa: ANN001
-        return IdReader(self.options["path"])
+        return IdReader(self.options["path"], int(self.options.get("split", SPLIT)))
 
     def writer(self, schema, overwrite: bool) -> IdWriter:  # noqa: ANN001
         return IdWriter(self.options["path"], int(self.options["bits"]))
@@ -359,10 +359,10 @@ def write_ids(encoded: DataFrame, path: str, vocabulary: int) -> None:
     encoded.write.format("packed_ids").option("path", path).option("bits", width(vocabulary)).mode("append").save()
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """(doc_id, start, ids) of every document."""
     spark.dataSource.register(PackedIds)
-    return spark.read.format("packed_ids").option("path", path).load()
+    return spark.read.format("packed_ids").option("path", path).option("split", split).load()
 
 
 def window(path: str, start: int, count: int) -> np.ndarray:
