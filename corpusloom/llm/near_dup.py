@@ -46,7 +46,11 @@ def simhash(text: str, words_per_shingle: int = 4) -> int:
     k = min(words_per_shingle, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())], dtype="<u8")
+    return majority_bits(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())], dtype="<u8"))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The fingerprint of the hashes of all shingles; 0 if there are none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for lo in range(0, len(hashes), 1 << 14):
         part = hashes[lo : lo + (1 << 14)]
@@ -139,7 +143,7 @@ def plan_partitions(fps: DataFrame, radius: int, sample_rows: int = 1500) -> lis
     n = fps.count()
     sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(sample_rows).collect()], dtype=np.int64).view(np.uint64)
     plans = []
-    for parts in range(2, radius + 2):
+    for parts in range(min(2, radius + 1), radius + 2):
         groups = group_bits(both, n, parts)
         cost, t = allocate(groups, sample, n, radius)
         plans.append((cost, [(sum(1 << b for b in g), k) for g, k in zip(groups, t) if k >= 0]))
