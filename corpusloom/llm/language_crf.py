@@ -63,12 +63,17 @@ def word_features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.concatenate(ids).astype(np.int64)
 
 
-def emissions(m: Model, w: Words) -> np.ndarray:
-    """word x label scores; each different word of the range is worked out once."""
-    keys = w.hashes(w.start, w.end)
-    kinds, at, back = np.unique(keys, return_index=True, return_inverse=True)
+def distinct_words(w: Words) -> tuple[np.ndarray, Words, np.ndarray]:
+    """Hashes of the different words, the words themselves, and which of them each word is."""
+    kinds, at, back = np.unique(w.hashes(w.start, w.end), return_index=True, return_inverse=True)
     few = object.__new__(Words)
     few.points, few.start, few.end, few._sums, few._back = w.points, w.start[at], w.end[at], w._sums, w._back
+    return kinds, few, back
+
+
+def emissions(m: Model, w: Words) -> np.ndarray:
+    """word x label scores; each different word of the range is worked out once."""
+    kinds, few, back = distinct_words(w)
     word, ids = word_features(few)
     out = np.stack([np.bincount(word, weights=m.weights[ids, k], minlength=len(kinds)) for k in range(len(m.labels))], axis=1)
     if len(m.lexicon):
@@ -81,9 +86,16 @@ def emissions(m: Model, w: Words) -> np.ndarray:
 
 def marginals(emit: np.ndarray, transitions: np.ndarray, row: np.ndarray) -> np.ndarray:
     """word x label probabilities; ``row`` tells (in order) the chain of each word."""
+    return forward_backward(emit, transitions, row)[0]
+
+
+def forward_backward(emit: np.ndarray, transitions: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals, and how often each label is expected after each; the first
+    word of a chain follows an unknown label."""
     n, labels = emit.shape
+    pairs = np.zeros((labels, labels))
     if not n:
-        return emit
+        return emit, pairs
     step = np.exp(transitions - transitions.max())
     local = np.exp(emit - emit.max(axis=1, keepdims=True)) + 1e-30
     first = np.flatnonzero(np.diff(np.concatenate(([-1], row))))  # of each chain
@@ -127,21 +139,25 @@ def marginals(emit: np.ndarray, transitions: np.ndarray, row: np.ndarray) -> np.
         p = forward[:, t] * b
         on = real[:, t]
         out[grid[on, t]] = (p / p.sum(axis=1, keepdims=True))[on]
-        new = (e[:, t] * b) @ step.T
+        after = e[:, t] * b
+        before = forward[:, t - 1] if t else alpha0
+        weight = 1.0 / np.einsum("bi,ij,bj->b", before[on], step, after[on])
+        pairs += step * ((before[on] * weight[:, None]).T @ after[on])
+        new = after @ step.T
         b = np.where(on[:, None], new / new.sum(axis=1, keepdims=True), b)
-    return out
+    return out, pairs
 
 
-def train_sequences(w: Words, y: np.ndarray, span: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def train_sequences(row: np.ndarray, y: np.ndarray, span: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers and chains: spans of up to ``span`` words, joined in random
     order by fours, so that chains keep and change language as code-switched
-    text does."""
-    number = np.arange(len(w.row)) - np.searchsorted(w.row, w.row)
-    piece = np.cumsum(np.concatenate(([0], (np.diff(w.row) != 0) | (number[1:] % span == 0))))
+    text does.  ``row`` is the text of each word."""
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    piece = np.cumsum(np.concatenate(([0], (np.diff(row) != 0) | (number[1:] % span == 0))))
     count = int(piece[-1]) + 1 if len(piece) else 0
     order = rng.permutation(count)
     # half of the joints stay inside a language
-    label = y[w.row[np.searchsorted(piece, order)]] if count else order
+    label = y[row[np.searchsorted(piece, order)]] if count else order
     half = count // 2
     order[:half] = order[:half][np.argsort(label[:half], kind="stable")]
     bounds = np.searchsorted(piece, np.arange(count + 1))
@@ -150,86 +166,121 @@ def train_sequences(w: Words, y: np.ndarray, span: int, rng: np.random.Generator
     return words, chain
 
 
-def fit(texts: list[str], y: np.ndarray, labels: list[str], lexicon_words: int = 500, rounds: int = 6, span: int = 12) -> Model:
-    """Adagrad on the log likelihood; the gradient of a word is its marginal less its label."""
-    w = Words(texts)
-    keys = w.hashes(w.start, w.end)
-    of_word = y[w.row]
-    # lexicons: the most frequent words of a language of which at least four fifths stand in its texts
-    kinds, back, total = np.unique(keys, return_inverse=True, return_counts=True)
-    count = np.stack([np.bincount(back[of_word == k], minlength=len(kinds)) for k in range(len(labels))])
+class Sample(NamedTuple):
+    row: np.ndarray  # the text of each word
+    kind: np.ndarray  # which different word each is
+    kinds: np.ndarray  # hashes of the different words, sorted
+    cut: np.ndarray  # their features are ids[cut[i]:cut[i + 1]]
+    ids: np.ndarray
+
+
+def read_sample(texts: list[str]) -> Sample:
+    """Features of every different word, made piece by piece; the pieces' own arrays do not stay."""
+    rows, keys = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    kinds, sizes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    known = np.zeros(0, np.uint64)
+    for lo, hi in pieces(texts):
+        w = Words(texts[lo:hi])
+        here, few, back = distinct_words(w)
+        rows.append((w.row + lo).astype(np.int32))
+        keys.append(here[back])
+        fresh = np.flatnonzero(~np.isin(here, known))
+        few.start, few.end = few.start[fresh], few.end[fresh]
+        word, of = word_features(few)
+        order = np.argsort(word, kind="stable")
+        kinds.append(here[fresh])
+        sizes.append(np.bincount(word, minlength=len(fresh)))
+        ids.append(of[order].astype(np.int32))
+        known = np.union1d(known, here)
+    kinds, size, ids = np.concatenate(kinds), np.concatenate(sizes), np.concatenate(ids)
+    order = np.argsort(kinds)
+    start = (np.cumsum(size) - size)[order]
+    size = size[order]
+    cut = np.concatenate(([0], np.cumsum(size)))
+    ids = ids[np.repeat(start - cut[:-1], size) + np.arange(cut[-1])]
+    return Sample(np.concatenate(rows), np.searchsorted(kinds[order], np.concatenate(keys)).astype(np.int32), kinds[order], cut, ids)
+
+
+def lexicons(s: Sample, of_word: np.ndarray, labels: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and labels: of each language the most frequent words of
+    which at least four fifths stand in its texts."""
+    total = np.bincount(s.kind, minlength=len(s.kinds))
     lex, lex_of = [], []
-    for k in range(len(labels)):
-        best = np.argsort(-count[k], kind="stable")[:lexicon_words]
-        best = best[(count[k][best] >= 0.8 * total[best]) & (count[k][best] >= 3)]
-        lex.append(kinds[best]), lex_of.append(np.full(len(best), k))
+    for k in range(labels):
+        count = np.bincount(s.kind[of_word == k], minlength=len(s.kinds))
+        best = np.argsort(-count, kind="stable")[:most]
+        best = best[(count[best] >= 0.8 * total[best]) & (count[best] >= 3)]
+        lex.append(s.kinds[best]), lex_of.append(np.full(len(best), k))
     lex, lex_of = np.concatenate(lex), np.concatenate(lex_of)
     at = np.argsort(lex)
-    m = Model(labels, np.zeros(((1 << BITS) + len(labels), len(labels))), np.zeros((len(labels), len(labels))), lex[at], lex_of[at])
-    words, ids = word_features(w)
-    order = np.argsort(words, kind="stable")
-    words, ids = words[order], ids[order]
-    cut = np.searchsorted(words, np.arange(len(keys) + 1))
-    place = np.minimum(np.searchsorted(m.lexicon, keys), max(len(m.lexicon) - 1, 0))
-    in_lex = m.lexicon[place] == keys if len(m.lexicon) else np.zeros(len(keys), bool)
+    return lex[at], lex_of[at]
+
+
+def pair_gradient(pairs: np.ndarray, transitions: np.ndarray, y: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Expected label pairs less those of the labels ``y``; before the first
+    word of a chain stands an unknown label, spread as the transitions say."""
+    seen = np.zeros_like(pairs)
+    first = np.concatenate(([True], np.diff(chain) != 0))
+    np.add.at(seen, (y[:-1][~first[1:]], y[1:][~first[1:]]), 1.0)
+    step = np.exp(transitions - transitions.max())
+    seen += step / step.sum(axis=0) * np.bincount(y[first], minlength=len(pairs))
+    return pairs - seen
+
+
+def fit(texts: list[str], y: np.ndarray, labels: list[str], lexicon_words: int = 500, rounds: int = 6, span: int = 12) -> Model:
+    """Adagrad on the log likelihood: the gradient of a word is its marginal less
+    its label, that of the transitions the expected label pairs less the given."""
+    s = read_sample(texts)
+    of_word = y[s.row]
+    lex, lex_of = lexicons(s, of_word, len(labels), lexicon_words)
+    m = Model(labels, np.zeros(((1 << BITS) + len(labels), len(labels)), np.float32), np.zeros((len(labels), len(labels))), lex, lex_of)
+    place = np.minimum(np.searchsorted(lex, s.kinds), max(len(lex) - 1, 0))
+    in_lex = lex[place] == s.kinds if len(lex) else np.zeros(len(s.kinds), bool)
     rng = np.random.default_rng(5)
     g_w, g_t = np.full_like(m.weights, 1e-4), np.full_like(m.transitions, 1e-4)
     for _ in range(rounds):
-        seq, chain = train_sequences(w, y, span, rng)
+        seq, chain = train_sequences(s.row, y, span, rng)
         edges = np.searchsorted(chain, np.arange(0, int(chain.max(initial=0)) + 33, 32))
         for lo, hi in zip(edges[:-1], edges[1:]):
             own = seq[lo:hi]
             if not len(own):
                 continue
-            size = cut[own + 1] - cut[own]
-            flat = np.repeat(cut[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            kind = s.kind[own]
+            size = s.cut[kind + 1] - s.cut[kind]
+            flat = np.repeat(s.cut[kind] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             of = np.repeat(np.arange(len(own)), size)
-            f = ids[flat]
-            known = np.flatnonzero(in_lex[own])
+            f = s.ids[flat]
+            known = np.flatnonzero(in_lex[kind])
             of = np.concatenate((of, known))
-            f = np.concatenate((f, (1 << BITS) + m.lexicon_of[place[own[known]]]))
+            f = np.concatenate((f, (1 << BITS) + lex_of[place[kind[known]]]))
             emit = np.stack([np.bincount(of, weights=m.weights[f, k], minlength=len(own)) for k in range(len(labels))], axis=1)
-            p = marginals(emit, m.transitions, chain[lo:hi])
+            p, pairs = forward_backward(emit, m.transitions, chain[lo:hi])
             err = p.copy()
             err[np.arange(len(own)), of_word[own]] -= 1.0
             used, f_at = np.unique(f, return_inverse=True)
             grad = np.stack([np.bincount(f_at, weights=err[of, k], minlength=len(used)) for k in range(len(labels))], axis=1) / 32 + 1e-4 * m.weights[used]
             g_w[used] += grad**2
             m.weights[used] -= 0.1 * grad / np.sqrt(g_w[used])
-            same = np.diff(chain[lo:hi]) == 0
-            seen = np.zeros_like(m.transitions)
-            np.add.at(seen, (of_word[own][:-1][same], of_word[own][1:][same]), 1.0)
-            grad = (pair_marginals(p, emit, m.transitions, same) - seen) / 32
+            grad = pair_gradient(pairs, m.transitions, of_word[own], chain[lo:hi]) / 32
             g_t += grad**2
             m.transitions[...] -= 0.1 * grad / np.sqrt(g_t)
-    return m._replace(weights=m.weights.astype(np.float32))
-
-
-def pair_marginals(p: np.ndarray, emit: np.ndarray, transitions: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Expected counts of label pairs at neighbouring words.  With the marginals
-    known, a pair's table follows from them by scaling rows and columns of the
-    transition table (iterative proportional fitting, three rounds)."""
-    a, b = p[:-1][same], p[1:][same]
-    t = a[:, :, None] * np.exp(transitions - transitions.max()) * b[:, None, :] + 1e-30
-    for _ in range(3):
-        t *= (a / t.sum(axis=2))[:, :, None]
-        t *= (b / t.sum(axis=1))[:, None, :]
-    return t.sum(axis=0)
+    return m
 
 
-def train(docs: DataFrame, rows_per_label: int = 400, folds: int = 4, held: int = 2, max_labels: int = 200, sample_chars: int = 4000) -> Model | None:
-    """Learns from at most ``rows_per_label`` documents of each language, and of
-    those from a stretch of ``sample_chars`` at a hashed place; the ``max_labels``
-    languages with most training documents are learned.  None without rows."""
+def train(docs: DataFrame, rows_per_label: int = 400, folds: int = 4, held: int = 2, most_chars: int = 20_000) -> Model | None:
+    """Learns every language that has training rows, each from at most
+    ``rows_per_label`` whole texts.  Texts of up to ``most_chars`` code points go
+    first, in hash order; a language with fewer of them learns from a stretch of
+    that length at a hashed place of longer ones.  None without rows."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(fold_of("doc_id", folds) != held)
-    labels = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect())
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", text_key()).alias("key"), (F.length("text") > most_chars).alias("long"))
+    chosen = top_k(rows.select("lang", "long", "key").distinct(), ["lang"], ["long", "key"], rows_per_label)
+    place = F.pmod("key", F.greatest(F.length("text") - most_chars, F.lit(0)) + 1).cast("int")
+    sample = rows.join(chosen, ["lang", "long", "key"]).withColumn("text", F.substring("text", place + 1, F.lit(most_chars)))
+    sample = sample.dropDuplicates(["lang", "key"]).orderBy("key", "lang").select("lang", "text").collect()
+    labels = sorted({r.lang for r in sample})
     if not labels:
         return None
-    key = F.xxhash64("doc_id", text_key())
-    chosen = top_k(rows.filter(F.col("lang").isin(labels)).select("lang", key.alias("key")).distinct(), ["lang"], ["key"], rows_per_label)
-    place = F.pmod(key, F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int")
-    cut = F.substring(F.col("text"), place + 1, F.lit(sample_chars))
-    sample = rows.select("lang", key.alias("key"), cut.alias("text")).join(F.broadcast(chosen), ["lang", "key"]).dropDuplicates(["lang", "key"]).orderBy("key", "lang").collect()
     number = {x: i for i, x in enumerate(labels)}
     return fit([r.text for r in sample], np.array([number[r.lang] for r in sample]), labels)
 

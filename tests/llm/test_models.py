@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -89,6 +90,57 @@ def test_marginals_by_enumeration():
     assert np.allclose(language_crf.marginals(emit, trans, np.zeros(6, int)), want)
 
 
+@pytest.mark.parametrize("lengths", [[1], [5], [3, 1, 4], [70, 2, 130]])
+def test_gradient_by_finite_differences(lengths):
+    """Log likelihood by plain forward sums; its derivatives by small steps."""
+    rng = np.random.default_rng(2)
+    n, labels = sum(lengths), 3
+    emit, trans, y = rng.normal(size=(n, labels)), rng.normal(size=(labels, labels)), rng.integers(0, labels, n)
+    chain = np.repeat(np.arange(len(lengths)), lengths)
+
+    def likelihood(emit, trans):
+        total = 0.0
+        for c in range(len(lengths)):
+            e, own = emit[chain == c], y[chain == c]
+            given = np.logaddexp.reduce(trans[:, own[0]]) + sum(trans[a, b] for a, b in zip(own, own[1:])) + sum(e[i, k] for i, k in enumerate(own))
+            alpha = np.logaddexp.reduce(trans, axis=0) + e[0]
+            for t in range(1, len(e)):
+                alpha = np.logaddexp.reduce(alpha[:, None] + trans, axis=0) + e[t]
+            total += given - np.logaddexp.reduce(alpha)
+        return total
+
+    p, pairs = language_crf.forward_backward(emit, trans, chain)
+    p[np.arange(n), y] -= 1
+    grad = language_crf.pair_gradient(pairs, trans, y, chain)
+    for at in np.ndindex(labels, labels):
+        step = np.zeros_like(trans)
+        step[at] = 1e-5
+        assert abs((likelihood(emit, trans + step) - likelihood(emit, trans - step)) / 2e-5 + grad[at]) < 1e-5
+    for at in [(0, 0), (n - 1, 2), (n // 2, 1)]:
+        step = np.zeros_like(emit)
+        step[at] = 1e-5
+        assert abs((likelihood(emit + step, trans) - likelihood(emit - step, trans)) / 2e-5 + p[at]) < 1e-5
+
+
+def test_sample_is_read_piece_by_piece(monkeypatch):
+    texts = ["der Hund und die Katze", "", "the dog and the cat", "und der Hund"] * 3
+    whole = language_crf.read_sample(texts)
+    monkeypatch.setattr(language_crf, "pieces", lambda t: common.pieces(t, 20))
+    for a, b in zip(whole, language_crf.read_sample(texts)):
+        assert a.tolist() == b.tolist() or a is whole.ids
+    parts = language_crf.read_sample(texts)
+    for i in range(len(parts.kinds)):
+        assert sorted(whole.ids[whole.cut[i] : whole.cut[i + 1]]) == sorted(parts.ids[parts.cut[i] : parts.cut[i + 1]])
+
+
+def test_many_languages_and_long_texts(spark):
+    """No language is left out for being the 201st or for having long texts only."""
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{j % 7}x" for j in range(40)), f"l{i:03d}") for i in range(230) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows.append((1000, "long " * 9000, "zz"))
+    model = language_crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == sorted({r[2] for r in rows})
+
+
 @pytest.mark.parametrize("lengths", [[1], [64], [65], [200, 3, 129]])
 def test_blocks_do_not_cut_the_chain(lengths):
     rng = np.random.default_rng(1)
