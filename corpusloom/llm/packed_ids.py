@@ -26,11 +26,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -51,6 +53,8 @@ TRAILER = struct.Struct("<QQQHI4s")  # place of the index, documents, ids, bits,
 SPLIT = 1 << 24  # ids of a read task
 BATCH = 1 << 20  # ids of a batch of rows
 PIECE = 1 << 22  # characters encoded together
+#: Latin letters of one code point in either case, all but U+0130 up to U+024F, and ASCII marks behind them.
+LATIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 def width(vocabulary: int) -> int:
@@ -262,32 +266,68 @@ class PackedIds(DataSource):
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins or looks across white space:
-    every distinct word is encoded once, for its table of at most ``limit`` words.
+    every distinct word is encoded once while it stays in the table.  A table of
+    more than ``limit`` words keeps those that came in two batches or more.
 
-    ``last`` marks the ids that only end a word, if the vocabulary has such;
-    words of ASCII letters alone, one piece each, are then encoded many to a text
-    and parted after these ids.
+    With ``letters`` the work is less: it encodes texts of Latin letters and
+    spaces alone, and ``last`` marks the ids that end a word, so that many words
+    are encoded as one text and parted after these ids; a word of such letters
+    with marks behind it has the ids of both.
     """
 
-    def __init__(self, encode, last: np.ndarray | None = None, limit: int = 1_000_000):  # noqa: ANN001
-        self.encode, self.last, self.limit = encode, last, limit
-        self._forget()
+    def __init__(self, encode, letters=None, last: np.ndarray | None = None, limit: int = 400_000):  # noqa: ANN001
+        self.encode, self.letters, self.last, self.limit = encode, letters, last, limit
+        self._start([], np.zeros(0, np.int32), np.zeros(0, np.int64))
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def _start(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.known = dict(zip(words, range(len(words))))
+        self.ids, self.ends = ids, np.concatenate([[0], np.cumsum(n)])
+        self.seen = np.zeros(len(words), np.int32)
+
+    def _shrink(self) -> None:
+        kept = np.flatnonzero(self.seen > 1)
+        if len(kept) > self.limit // 2:
+            kept = kept[:0]
+        words = list(self.known)
+        n = np.diff(self.ends)
+        at = np.repeat(self.ends[kept] - (np.cumsum(n[kept]) - n[kept]), n[kept]) + np.arange(int(n[kept].sum()))
+        self._start([words[i] for i in kept.tolist()], self.ids[at], n[kept])
 
     def _learn(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int32)])
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after another, and where each ends."""
+        n = self.ends[at + 1] - self.ends[at]
+        total = np.cumsum(n)
+        return self.ids[np.repeat(self.ends[at] - total + n, n) + np.arange(int(total[-1]) if len(total) else 0)], total
 
     def _add(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isascii() and w.isalpha()] if self.last is not None else []
-        if plain:
-            ids, _ = self.encode([" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)])
-            self._learn(plain, ids, np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0))
-            words = [w for w in words if not (w.isascii() and w.isalpha())]
+        if self.letters:
+            plain, tailed, stems, marks, rest = {}, [], [], [], []
+            for w in words:
+                m = LATIN(w)
+                if m is None:
+                    rest.append(w)
+                elif m[2]:
+                    tailed.append(w), stems.append(m[1]), marks.append(m[2])
+                else:
+                    plain[w] = None
+            plain.update(dict.fromkeys(s for s in stems if s not in self.known))
+            if plain:
+                plain = list(plain)
+                ids, _ = self.letters([" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)])
+                self._learn(plain, ids, np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0))
+            if tailed:
+                new = list(set(marks).difference(self.known))
+                self._learn(new, *self.encode(new))
+                both = np.fromiter(map(self.known.__getitem__, chain.from_iterable(zip(stems, marks))), dtype=np.int64, count=2 * len(tailed))
+                ids, ends = self._ids(both)
+                self._learn(tailed, ids, np.diff(ends[1::2], prepend=0))
+            words = [w for w in rest if w not in self.known]
         if words:
             self._learn(words, *self.encode(words))
 
@@ -296,32 +336,42 @@ class WordEncoder:
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) > self.limit:
-            self._forget()
+            self._shrink()
         self._add([w for w in distinct if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[words.indices.to_numpy()]
-        n = self.ends[at + 1] - self.ends[at]
-        total = np.cumsum(n)
-        ids = self.ids[np.repeat(self.ends[at] - total + n, n) + np.arange(int(total[-1]) if len(total) else 0)]
+        place = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.seen[place] += 1
+        ids, total = self._ids(place[words.indices.to_numpy()])
         ends = np.concatenate([[0], total])[lists.offsets.to_numpy()[1:]]
         return ids, np.diff(ends, prepend=0)
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str, by_word: bool):
-    """A function from texts to (ids, number of ids of each)."""
+    """A function from texts to (ids, number of ids of each).  A Python worker
+    keeps it, with the words it has learned, for its next tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    def ids_by(tokenizer: Tokenizer):
+        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), dtype=np.int32), np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(lists), dtype=np.int32), np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return encode
 
+    tokenizer = Tokenizer.from_file(path)
+    whole = ids_by(tokenizer)
     if not by_word:
-        return encode
+        return whole
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
-    last = np.array([bool(suffix) and tokenizer.id_to_token(i).endswith(suffix) for i in range(tokenizer.get_vocab_size())])
-    return WordEncoder(encode, last if suffix else None)
+    if not suffix or tokenizer.normalizer is None or tokenizer.normalizer.normalize_str("Az") != "az":
+        return WordEncoder(whole)
+    # of lower-case Latin letters nothing is left to normalise, and white space alone parts them
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    letters = ids_by(bare)
+    last = np.array([tokenizer.id_to_token(i).endswith(suffix) for i in range(tokenizer.get_vocab_size())])
+    return WordEncoder(whole, lambda texts: letters([t.lower() for t in texts]), last)
 
 
 def vocabulary_size(path: str) -> int:
