@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scale import cut_lineage, ordinal, pairs_within, top_k
+from corpusloom.functions.scale import cut_lineage, forget, kept, ordinal, pairs_within, top_k
 
 
 def two_ways(a: str, b: str, *rest: str):
@@ -267,6 +267,45 @@ def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
         seen = cut_lineage(seen.unionByName(front)) if hop % 16 == 0 else seen.unionByName(front)
 
 
+def giant_nodes(comp: DataFrame) -> DataFrame:
+    """The nodes of the largest component, of equally large ones that of the smallest name."""
+    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return comp.join(size.orderBy(F.desc("n"), "component").limit(1).select("component"), "component", "left_semi").select("node")
+
+
+def hop_statistics(edges: DataFrame, aim: int = 120) -> DataFrame:
+    """(giant, sources, mean, longest): hops between every ceil(n / aim)-th node of the
+    giant component and all others of it, over undirected edges."""
+    e = edges.filter("src <> dst")
+    giant = kept(giant_nodes(components(e)), "giant")
+    inside = e.join(giant.withColumnRenamed("node", "src"), "src", "left_semi")
+    hops = hop_distances(inside, systematic_sample(giant, "node", aim)).filter("hops > 0")
+    told = hops.agg(F.countDistinct("source").alias("sources"), F.avg("hops").alias("mean"), F.max("hops").alias("longest"))
+    return told.select(F.lit(giant.count()).cast("long").alias("giant"), "sources", "mean", "longest")
+
+
+def hop_sketches(edges: DataFrame, bits: int = 12, still: float = 1e-4) -> DataFrame:
+    """(hops, pairs): about how many ordered pairs lie within each number of hops,
+    from all nodes at once.  A node keeps a HyperLogLog sketch of the nodes
+    within h hops, and its next one is the union of those of its neighbours;
+    rounds end once the sum of all sketches grows by less than ``still``."""
+    both = kept(edges.filter("src <> dst").select(two_ways("src", "dst").alias("x")).select("x.*").distinct(), "both-ways")
+    own = F.hll_sketch_agg("node", F.lit(bits)).alias("sk")
+    sketch = kept(both.select("node").distinct().groupBy("node").agg(own), "sketches")
+    sums, last = [], float(sketch.count())
+    while True:
+        sent = both.join(sketch.withColumnRenamed("node", "other"), "other").select("node", "sk").unionByName(sketch)
+        following = kept(sent.groupBy("node").agg(F.hll_union_agg("sk").alias("sk")), "sketches")
+        total = float(following.agg(F.sum(F.hll_sketch_estimate("sk"))).first()[0] or 0)
+        forget(sketch)
+        sketch = following
+        if total <= last * (1 + still):
+            break
+        sums.append((len(sums) + 1, total - last))
+        last = total
+    return edges.sparkSession.createDataFrame(sums, "hops int, pairs double")
+
+
 def systematic_sample(nodes: DataFrame, order: str, aim: int) -> DataFrame:
     """Every ceil(n/aim)-th node in order, the first included."""
     n = nodes.count()
@@ -309,40 +348,83 @@ def modularity(und: DataFrame, comm: DataFrame) -> DataFrame:
     return per.agg(F.sum(F.coalesce("i", F.lit(0)) / F.col("_t") - (F.col("d") / F.col("_t")) * (F.col("d") / F.col("_t"))).alias("modularity"))
 
 
-def communities(und: DataFrame, rounds: int = 16, seed: int = 0) -> DataFrame:
-    """(node, community): local moving by modularity gain in parallel half-rounds.
+def communities(und: DataFrame, rounds: int = 30, seeds: Sequence[int] = (0,)) -> DataFrame:
+    """(run, node, community): local moving by modularity gain until nothing moves,
+    ``rounds`` rounds at most, once for each seed; all runs share their jobs.
 
-    In each half-round half of the nodes (by hash of node, seed and round) may
-    move to the neighbouring community with the largest gain, ties to the
-    smaller label; the best partition seen is returned.
+    A round has two turns; in each, half of the active nodes (by hash of node,
+    seed and round) move to the neighbouring community with the largest gain,
+    ties to the smaller label.  Active are nodes that had no turn yet since they
+    or a neighbour's community changed.  Modularity follows by difference: the
+    inner weight from the edges of the nodes that moved, the rest from the
+    totals of the communities.  Moves of one turn may hinder each other, so
+    each run returns the best partition it has seen.
     """
-    e = cut_lineage(und.filter("a <> b").select("a", "b", F.col("w").cast("double").alias("w")))
-    both = cut_lineage(e.select(two_ways("a", "b", "w").alias("x")).select("x.*"))
+    both = kept(und.filter("a <> b").select("a", "b", F.col("w").cast("double").alias("w")).select(two_ways("a", "b", "w").alias("x")).select("x.*"), "both-ways")
     total = both.agg(F.sum("w")).first()[0] or 1.0
-    deg = cut_lineage(both.groupBy("node").agg(F.sum("w").alias("deg")))
-    state = cut_lineage(deg.select("node", F.col("node").alias("community"), "deg"))
-    best, best_q, still = state, -1.0, 0
-    for i in range(rounds):
-        size = state.groupBy("community").agg(F.sum("deg").alias("cdeg"))
-        links = both.join(state.select(F.col("node").alias("other"), F.col("community").alias("cand")), "other").groupBy("node", "cand").agg(F.sum("w").alias("l"))
-        links = links.unionByName(state.select("node", F.col("community").alias("cand"), F.lit(0.0).alias("l"))).groupBy("node", "cand").agg(F.sum("l").alias("l"))
-        opt = links.join(state, "node").join(size.withColumnRenamed("community", "cand"), "cand")
+    runs = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.lit(int(s)).cast("long").alias("seed")) for r, s in enumerate(seeds)]))
+    start = both.groupBy("node").agg(F.sum("w").alias("deg")).select("node", "deg", runs.alias("r"))
+    state = kept(start.select("r.run", "r.seed", "node", F.col("node").alias("community"), "deg", F.lit(True).alias("active"), F.lit(0.0).alias("change")), "state")
+    inner = dict.fromkeys(range(len(seeds)), 0.0)  # numbers of the driver: one per run
+    best = {r: (-1.0, state) for r in inner}
+    for turn in range(2 * rounds):
+        has_turn = F.pmod(F.xxhash64("node", "seed", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        now = state.filter(F.col("active") & has_turn)
+        at = state.select("run", F.col("node").alias("other"), F.col("community").alias("cand"))
+        links = now.select("run", "node").join(both, "node").join(at, ["run", "other"]).groupBy("run", "node", "cand").agg(F.sum("w").alias("l"))
+        links = links.unionByName(now.select("run", "node", F.col("community").alias("cand"), F.lit(0.0).alias("l"))).groupBy("run", "node", "cand").agg(F.sum("l").alias("l"))
+        size = state.groupBy("run", F.col("community").alias("cand")).agg(F.sum("deg").alias("cdeg"))
+        opt = links.join(now.select("run", "node", "community", "deg"), ["run", "node"]).join(size, ["run", "cand"])
         here = F.col("cand") == F.col("community")
         gain = F.round(F.col("l") - (F.col("cdeg") - F.when(here, F.col("deg")).otherwise(0.0)) * F.col("deg") / total, 9)
-        pick = opt.withColumn("g", gain).groupBy("node").agg(
-            F.min_by("cand", F.struct(-F.col("g"), ~here, F.col("cand"))).alias("to"), F.first("community").alias("community"), F.first("deg").alias("deg")
-        )
-        turn = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(i // 2)), F.lit(2)) == i % 2
-        moved = pick.select("node", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), "deg", (turn & (F.col("to") != F.col("community"))).alias("_m"))
-        moved = cut_lineage(moved)
-        still = 0 if not moved.filter("_m").isEmpty() else still + 1
-        state = moved.drop("_m")
-        q = modularity(e, state).first()[0] or 0.0
-        if q > best_q + 1e-12:
-            best, best_q = state, q
-        if still == 2:
+        pick = opt.groupBy("run", "node").agg(F.min_by("cand", F.struct(-gain, ~here, F.col("cand"))).alias("to"), F.first("community").alias("was"))
+        moves = kept(pick.filter("`to` <> was"), "moves")
+        # the edges of moved nodes: what they add to the inner weight, and whom they wake
+        there = moves.select("run", F.col("node").alias("other"), F.col("to").alias("then"))
+        seen = moves.join(both, "node").join(at, ["run", "other"]).join(there, ["run", "other"], "left")
+        new = F.coalesce("then", "cand")
+        # an edge between two moved nodes stands here from both ends, any other from one of two
+        change = ((F.col("to") == new).cast("double") - (F.col("was") == F.col("cand")).cast("double")) * F.col("w") * F.when(F.col("then").isNull(), 2.0).otherwise(1.0)
+        touched = seen.groupBy("run", F.col("other").alias("node")).agg(F.sum(change).alias("change"), F.max(F.col("to") != new).alias("woken"))
+        after = state.drop("change").join(moves.select("run", "node", "to"), ["run", "node"], "left").join(touched, ["run", "node"], "left")
+        active = F.coalesce("woken", F.lit(False)) | (F.col("active") & ~has_turn)
+        following = kept(after.select("run", "seed", "node", F.coalesce("to", "community").alias("community"), "deg", active.alias("active"), F.coalesce("change", F.lit(0.0)).alias("change")), "state")
+        totals = following.groupBy("run", "community").agg(F.sum("deg").alias("d"), F.max("active").alias("active"), F.sum("change").alias("change"))
+        rows = totals.groupBy("run").agg(F.sum(F.col("d") * F.col("d")).alias("sq"), F.max("active").alias("active"), F.sum("change").alias("change")).collect()
+        for r in rows:
+            inner[r.run] += r.change
+            q = inner[r.run] / total - r.sq / total**2
+            if q > best[r.run][0] + 1e-12:
+                best[r.run] = (q, following)
+        forget(moves)
+        if all(state is not s for _, s in best.values()):
+            forget(state)
+        state = following
+        if not any(r.active for r in rows):
             break
-    return best.select("node", "community")
+    out = [s.filter(F.col("run") == r) for r, (_, s) in best.items()]
+    all_runs = out[0]
+    for o in out[1:]:
+        all_runs = all_runs.unionByName(o)
+    return all_runs.select("run", "node", "community")
+
+
+def partition_agreement(runs: DataFrame) -> DataFrame:
+    """(agreement, pairs): on how many of all pairs of nodes the other runs agree
+    with run 0 about being together, from the table of communities of run 0
+    against those of each other run; no pair is formed.
+
+    ``runs`` has (run, node, community), every node in every run.
+    """
+    first = runs.filter("run = 0").select("node", F.col("community").alias("c0"))
+    cells = runs.filter("run > 0").join(first, "node").groupBy("run", "community", "c0").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda c: (F.sum(F.col(c).cast("decimal(20,0)") * (F.col(c) - 1)) / 2).cast("decimal(38,0)")
+    both = cells.groupBy("run").agg(pairs("n").alias("both"), F.sum("n").alias("nodes"))
+    own = cells.groupBy("run", "community").agg(F.sum("n").alias("n")).groupBy("run").agg(pairs("n").alias("own"))
+    base = cells.groupBy("run", "c0").agg(F.sum("n").alias("n")).groupBy("run").agg(pairs("n").alias("base"))
+    each = both.join(own, "run").join(base, "run").withColumn("all", (F.col("nodes").cast("decimal(20,0)") * (F.col("nodes") - 1) / 2).cast("decimal(38,0)"))
+    agree = F.sum((F.col("all") + 2 * F.col("both") - F.col("own") - F.col("base")).cast("double"))
+    return each.agg((agree / F.sum(F.col("all").cast("double"))).alias("agreement"), F.sum("all").cast("long").alias("pairs"))
 
 
 def partition_stability(runs: DataFrame, nodes: DataFrame, step_a: int = 7, step_b: int = 97, shift: int = 3) -> DataFrame:

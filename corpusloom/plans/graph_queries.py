@@ -207,6 +207,15 @@ def g12(spark, sf):
     return g.hop_distances(e, g.systematic_sample(nodes(spark, sf), "node", 120))
 
 
+@query(
+    "g12_hop_statistics",
+    f"WITH RECURSIVE {K6}, b AS (SELECT DISTINCT n, o FROM (SELECT id AS n, other AS o FROM knn WHERE score >= 0.3 UNION ALL SELECT other, id FROM knn WHERE score >= 0.3)), c AS (SELECT n AS node, n AS root FROM b UNION SELECT b.o, c.root FROM c JOIN b ON b.n = c.node), m AS (SELECT node, min(root) AS comp FROM c GROUP BY 1), big AS (SELECT comp FROM m GROUP BY 1 ORDER BY count(*) DESC, comp LIMIT 1), gi AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM m WHERE comp IN (FROM big)), s AS (SELECT node FROM gi WHERE i % CAST(ceil(n / 120.0) AS BIGINT) = 0), r AS (SELECT node AS source, node, 0 AS hops FROM s UNION SELECT source, b.o, hops + 1 FROM r JOIN b ON b.n = r.node WHERE hops < 24), d AS (SELECT source, node, min(hops) AS h FROM r GROUP BY 1, 2) SELECT (SELECT max(n) FROM gi) AS giant, count(DISTINCT source) AS sources, round(avg(h), 6) AS mean, CAST(max(h) AS INTEGER) AS longest FROM d WHERE h > 0",
+)
+def g12_statistics(spark, sf):
+    e = knn(spark, sf).filter("score >= 0.3").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    return g.hop_statistics(e).select("giant", "sources", F.round("mean", 6).alias("mean"), "longest")
+
+
 @query(
     "g13_upstream_roots",
     f"WITH RECURSIVE {DIR}, rt AS (SELECT DISTINCT src AS node FROM dir WHERE src NOT IN (SELECT dst FROM dir)), r AS (SELECT node, node AS root FROM rt UNION SELECT d.dst, r.root FROM r JOIN dir d ON d.src = r.node), s AS (SELECT node, root, round(list_dot_product(x.vec, y.vec), 3) AS sim FROM r JOIN uv x ON x.id = node JOIN uv y ON y.id = root WHERE node <> root) SELECT node, root, sim FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY sim DESC, root) AS k FROM s) WHERE k <= 3",
@@ -217,17 +226,39 @@ def g13(spark, sf):
 
 @query("g14_communities")
 def g14(spark, sf):
-    return g.communities(und(spark, sf), rounds=30)
+    return g.communities(und(spark, sf)).select("node", "community")
+
+
+GIVEN = "gv AS (SELECT 0 AS run, id AS node, CAST(label AS BIGINT) AS community FROM uv UNION ALL SELECT 1, id, id % 7 FROM uv UNION ALL SELECT 2, id, label + 10 * (id % 2) FROM uv)"
+
+
+def given_runs(spark, sf):
+    u = unit(spark, sf)
+    runs = [F.col("label").cast("long"), F.col("id") % 7, F.col("label") + 10 * (F.col("id") % 2)]
+    return u.select("id", F.posexplode(F.array(*[r.cast("long") for r in runs]))).select(F.col("pos").alias("run"), F.col("id").alias("node"), F.col("col").alias("community"))
+
+
+@query("g14_modularity", f"WITH {K6}, {UND}, {GIVEN}, e AS (SELECT x.run, x.community AS ca, y.community AS cb, w FROM und JOIN gv x ON x.node = a JOIN gv y ON y.node = b AND y.run = x.run), whole AS (SELECT 2 * sum(w) AS m FROM und), dg AS (SELECT run, c, sum(w) AS deg FROM (SELECT run, ca AS c, w FROM e UNION ALL SELECT run, cb, w FROM e) GROUP BY 1, 2), ins AS (SELECT run, ca AS c, 2 * sum(w) AS inw FROM e WHERE ca = cb GROUP BY 1, 2) SELECT CAST(dg.run AS INTEGER) AS run, round(sum(coalesce(inw, 0) / m - (deg / m) * (deg / m)), 6) AS modularity FROM dg LEFT JOIN ins ON ins.run = dg.run AND ins.c = dg.c CROSS JOIN whole GROUP BY 1")
+def g14_modularity(spark, sf):
+    u, runs = cut_lineage(und(spark, sf)), given_runs(spark, sf)
+    each = [g.modularity(u, runs.filter(F.col("run") == r)).select(F.lit(r).alias("run"), F.round("modularity", 6).alias("modularity")) for r in range(3)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("g15_stability")
 def g15(spark, sf):
-    u = cut_lineage(und(spark, sf))
-    runs = None
-    for r in range(3):
-        c = g.communities(u, rounds=6, seed=r).withColumn("run", F.lit(r))
-        runs = c if runs is None else runs.unionByName(c)
-    return g.partition_stability(runs, nodes(spark, sf)).select(F.round("stability", 4).alias("stability"), "compared")
+    runs = g.communities(und(spark, sf), seeds=range(6))
+    return g.partition_agreement(runs).select(F.round("agreement", 4).alias("stability"), F.col("pairs").alias("compared"))
+
+
+@query("g15_agreement", f"WITH {vq.UV}, {GIVEN}, p AS (SELECT x.run, x.community = y.community AS t, a.community = b.community AS t0 FROM gv x JOIN gv y ON x.run = y.run AND x.node < y.node JOIN gv a ON a.run = 0 AND a.node = x.node JOIN gv b ON b.run = 0 AND b.node = y.node WHERE x.run > 0) SELECT round(avg(CAST(t = t0 AS INTEGER)), 9) AS agreement, count(*) AS pairs FROM p")
+def g15_agreement(spark, sf):
+    return g.partition_agreement(given_runs(spark, sf)).select(F.round("agreement", 9).alias("agreement"), "pairs")
+
+
+@query("g15_sampled_agreement", f"WITH {vq.UV}, {GIVEN}, o AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM uv), p AS (SELECT x.id AS a, y.id AS b FROM o x JOIN o y ON x.i % 7 = 0 AND y.i >= x.i + 3 AND (y.i - x.i - 3) % 97 = 0), t AS (SELECT x.run, (x.community = y.community) = (u.community = v.community) AS same FROM p JOIN gv x ON x.node = a AND x.run > 0 JOIN gv y ON y.node = b AND y.run = x.run JOIN gv u ON u.node = a AND u.run = 0 JOIN gv v ON v.node = b AND v.run = 0) SELECT round(avg(CAST(same AS INTEGER)), 9) AS stability, count(*) AS compared FROM t")
+def g15_sampled(spark, sf):
+    return g.partition_stability(given_runs(spark, sf), nodes(spark, sf)).select(F.round("stability", 9).alias("stability"), "compared")
 
 
 @query(

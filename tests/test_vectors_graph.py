@@ -83,12 +83,76 @@ def test_communities_find_planted_blocks(spark):
     rng = np.random.default_rng(0)
     e = [(a, b, 1.0) for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.7 if a // 10 == b // 10 else 0.03)]
     und = spark.createDataFrame(e, "a long, b long, w double")
-    comm = graph.communities(und, rounds=16)
-    singles = comm.select("node", F.col("node").alias("community"))
-    q, q0 = graph.modularity(und, comm).first()[0], graph.modularity(und, singles).first()[0]
-    assert q > 0.4 > q0
-    runs = comm.withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
-    assert graph.partition_stability(runs, comm.select("node")).first().stability == 1.0
+    runs = graph.communities(und, seeds=(0, 5, 9))
+    for r in range(3):
+        comm = runs.filter(F.col("run") == r)
+        singles = comm.select("node", F.col("node").alias("community"))
+        q, q0 = graph.modularity(und, comm).first()[0], graph.modularity(und, singles).first()[0]
+        assert q > 0.4 > q0
+        assert q >= walked_modularity(e) - 0.02
+    assert graph.partition_agreement(runs).first().agreement > 0.9
+    same = comm.drop("run").withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
+    assert graph.partition_stability(same, comm.select("node")).first().stability == 1.0
+
+
+def walked_modularity(edges):
+    """Local moving one node at a time, in order of the nodes, until none moves."""
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    deg = {n: sum(x.values()) for n, x in near.items()}
+    m2, of, size = sum(deg.values()), {n: n for n in near}, dict(deg)
+    moved = True
+    while moved:
+        moved = False
+        for n in sorted(near):
+            size[of[n]] -= deg[n]
+            link = {of[n]: 0.0}
+            for o, w in near[n].items():
+                link[of[o]] = link.get(of[o], 0.0) + w
+            gain = {c: x - size[c] * deg[n] / m2 for c, x in link.items()}
+            best = min(gain, key=lambda c: (-round(gain[c], 9), c != of[n], c))
+            moved |= best != of[n]
+            of[n] = best
+            size[best] += deg[n]
+    return sum(w for a, b, w in edges if of[a] == of[b]) * 2 / m2 - sum((s / m2) ** 2 for s in size.values())
+
+
+def test_local_moving_rests_and_follows_modularity(spark):
+    """On a weighted graph with pendant nodes, a bridge and a node without a partner."""
+    rng = np.random.default_rng(4)
+    e = [(a, b, float(rng.integers(1, 5))) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.5 if a // 12 == b // 12 else 0.02)]
+    e += [(59, 60, 1.0), (60, 61, 2.0), (70, 71, 1.0), (80, 80, 9.0)]
+    und = spark.createDataFrame(e, "a long, b long, w double")
+    comm = graph.communities(und)
+    got = {r.node: r.community for r in comm.collect()}
+    assert 80 not in got and got[70] == got[71]
+    e = e[:-1]
+    m2 = 2 * sum(w for *_, w in e)
+    deg, size = {}, {}
+    for a, b, w in e:
+        deg[a], deg[b] = deg.get(a, 0) + w, deg.get(b, 0) + w
+    for n, d in deg.items():
+        size[got[n]] = size.get(got[n], 0) + d
+    for n in deg:  # at rest: no node gains by moving alone
+        link = {got[n]: 0.0}
+        for a, b, w in e:
+            if n in (a, b):
+                c = got[b if n == a else a]
+                link[c] = link.get(c, 0.0) + w
+        gain = {c: x - (size[c] - (deg[n] if c == got[n] else 0)) * deg[n] / m2 for c, x in link.items()}
+        assert max(gain.values()) <= gain[got[n]] + 1e-6
+    assert graph.modularity(und.filter("a <> b"), comm).first()[0] >= walked_modularity(e) - 0.02
+
+
+def test_agreement_of_partitions_by_pairs(spark):
+    rng = np.random.default_rng(1)
+    runs = [(r, n, int(rng.integers(0, 4))) for r in range(3) for n in range(30)]
+    of = {(r, n): c for r, n, c in runs}
+    same = [(of[r, a] == of[r, b]) == (of[0, a] == of[0, b]) for r in (1, 2) for a in range(30) for b in range(a)]
+    got = graph.partition_agreement(spark.createDataFrame(runs, "run int, node long, community long")).first()
+    assert got.pairs == len(same) and abs(got.agreement - np.mean(same)) < 1e-12
 
 
 def test_fields_and_sense_split(spark):
