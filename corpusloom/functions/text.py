@@ -329,3 +329,8 @@ def weak_distance(a: Column, b: Column, weak: str = WEAK) -> Column:
         return F.struct(F.aggregate(bs, seed, cell, lambda acc: acc["r"]).alias("row"))
 
     return F.aggregate(as_, F.struct(first.alias("row")), row, lambda acc: F.element_at(acc["row"], -1))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
