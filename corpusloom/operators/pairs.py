@@ -150,16 +150,12 @@ def unit_twins(seqs: DataFrame, min_full: int = 4, long_run: int = 12) -> DataFr
     a run of ``long_run``.  Copies share one ``sid``, so they never multiply.
     """
     ids = seqs.select("sid", "seq").dropDuplicates(["sid"]).withColumn("len", F.size("seq"))
-    short = ids.filter(F.col("len").between(min_full, long_run)).select("sid", "len", F.concat_ws(",", "seq").alias("gram"))
-    per_length = [
-        ids.filter(F.col("len") >= n).select(F.col("sid").alias("sid_b"), F.lit(n).alias("len"), F.explode(F.array_distinct(grams(F.col("seq"), n))).alias("gram"))
-        for n in range(min_full, long_run + 1)
-    ]
-    windows = per_length[0]
-    for w in per_length[1:]:
-        windows = windows.unionByName(w)
-    inside = short.join(windows, ["len", "gram"]).select(F.col("sid").alias("sid_a"), "sid_b")
-    long_grams = ids.filter(F.col("len") >= long_run).select("sid", F.explode(F.array_distinct(grams(F.col("seq"), long_run))).alias("gram"))
+    named = lambda n: F.transform(F.sequence(F.lit(1), F.size("seq") - n + 1), lambda i: F.struct(n.alias("len"), F.xxhash64(F.slice("seq", i, n)).alias("gram")))
+    short = ids.filter(F.col("len").between(min_full, long_run)).select("sid", "len", F.xxhash64("seq").alias("gram"))
+    lengths = F.sequence(F.lit(min_full), F.least(F.lit(long_run), F.size("seq")))
+    windows = ids.filter(F.col("len") >= min_full).select(F.col("sid").alias("sid_b"), F.explode(F.array_distinct(F.flatten(F.transform(lengths, named)))).alias("w"))
+    inside = short.join(windows.select("sid_b", "w.len", "w.gram"), ["len", "gram"]).select(F.col("sid").alias("sid_a"), "sid_b")
+    long_grams = ids.filter(F.col("len") >= long_run).select("sid", F.explode(F.array_distinct(F.transform(named(F.lit(long_run)), lambda w: w["gram"]))).alias("gram"))
     pairs = pairs_within(long_grams, "gram", "sid").select("a", "b").distinct()
     lens = ids.select("sid", "len")
     ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("sid_a"), F.col("b").alias("sid_b")), F.struct(F.col("b").alias("sid_a"), F.col("a").alias("sid_b")))).alias("x")).select("x.*")
