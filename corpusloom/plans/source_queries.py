@@ -188,14 +188,62 @@ def x01(spark, sf):
     return st.request_rate(e, 3600, 1).select("event_id", "recent", "limited")
 
 
+def deliveries(spark, df, folder, arrival, stream, out):
+    """Parts of ``df`` in order of ``arrival``, each written to the folder that
+    ``stream`` reads and taken to the table ``out`` before the next comes."""
+    checkpoint = scratch_path(spark, "ck")
+    for k in range(DELIVERIES):
+        df.filter(F.col(arrival) == k).drop(arrival).write.mode("append").parquet(folder)
+        st.run_to_table(stream(spark.readStream.schema(df.drop(arrival).schema).parquet(folder)), out, checkpoint)
+    return spark.read.parquet(out)
+
+
+DELIVERIES = 4
+ARRIVALS = "b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) - min(epoch_us(ts)) + 1 AS w FROM events), a AS (SELECT event_id, user_id, epoch_us(ts) AS us, 3 * (epoch_us(ts) - lo) // w + CAST(event_id % 20 = 0 AS INTEGER) AS arr FROM events CROSS JOIN b)"
+
+
+@query("x01_request_stream", f"WITH {ARRIVALS} SELECT r.user_id AS caller, r.us, count(*) AS recent, count(*) > 1 AS limited FROM a r JOIN a s ON s.user_id = r.user_id AND s.us <= r.us AND s.us > r.us - 3600000000 AND s.arr <= r.arr GROUP BY r.event_id, r.user_id, r.us")
+def x01_stream(spark, sf):
+    """Thirds of the time span arrive one after another; every twentieth request is a third late."""
+    e = tb.load(spark, sf, "events").select("event_id", F.col("user_id").alias("caller"), F.col("ts").cast("timestamp").alias("ts"))
+    us = F.unix_micros("ts")
+    lo, hi = e.agg(F.min(us), F.max(us)).first()
+    lo, width = lo or 0, (hi or 0) - (lo or 0) + 1
+    third = F.expr(f"3 * (unix_micros(ts) - {lo}L) div {width}L")
+    late = f"{width // 3_000_000 + 60} seconds"
+    e = e.withColumn("arrival", third + F.when(F.col("event_id") % 20 == 0, 1).otherwise(0)).drop("event_id")
+    src, out = scratch_path(spark, "requests"), scratch_path(spark, "rates")
+    rows = deliveries(spark, e, src, "arrival", lambda s: st.request_rate_stream(s, 3600, 1, late), out)
+    return rows.select("caller", us.alias("us"), "recent", "limited")
+
+
 def graded(spark, sf):
     g = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
     return tb.load(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), g.cast("int").alias("grade"))
 
 
-@query("x02_repetition_state")
+# each grade moves the schedule that the ones before it left, so the twin walks the events of all keys side by side
+CARDS = """WITH RECURSIVE ev AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CAST(epoch_us(ts) // 1000 AS DOUBLE) AS ms, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS g FROM events),
+w AS (SELECT DISTINCT key, 0::BIGINT AS n, 2.3::DOUBLE AS ease, 0::DOUBLE AS interval, 0::BIGINT AS lapses, 0::DOUBLE AS due FROM ev
+ UNION ALL SELECT key, n, greatest(1.3, ease + CASE g WHEN 0 THEN -0.2 WHEN 1 THEN -0.15 WHEN 3 THEN 0.1 ELSE 0 END)::DOUBLE, i, lapses + CAST(g = 0 AS INTEGER), ms + CASE WHEN g = 0 THEN 60000 ELSE i * 86400000 END
+ FROM (SELECT w.key, ev.n, w.ease, w.lapses, ev.g, ev.ms, CASE WHEN g = 0 THEN 0 WHEN interval = 0 THEN CASE WHEN g = 3 THEN 3 ELSE 1 END
+   ELSE greatest(1, floor(round(interval * (CASE g WHEN 1 THEN 1.2 WHEN 3 THEN round(w.ease, 9) * 1.3 ELSE round(w.ease, 9) END)::DOUBLE, 6) + 0.5)) END::DOUBLE AS i FROM w JOIN ev ON ev.key = w.key AND ev.n = w.n + 1))
+SELECT key, round(ease, 6) AS ease, interval, lapses, n AS reps, due FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1"""
+
+
+@query("x02_repetition_state", CARDS)
 def x02(spark, sf):
-    return st.repetition_state(graded(spark, sf))
+    return st.repetition_state(graded(spark, sf)).withColumn("ease", F.round("ease", 6))
+
+
+@query("x02_repetition_stream", CARDS)
+def x02_stream(spark, sf):
+    """Quarters of the grades arrive one after another."""
+    e = graded(spark, sf)
+    top = e.agg(F.max("seq")).first()[0] or 0
+    e = e.withColumn("arrival", F.floor(F.col("seq") * DELIVERIES / (top + 1)))
+    rows = deliveries(spark, e, scratch_path(spark, "grades"), "arrival", st.repetition_stream, scratch_path(spark, "cards"))
+    return st.latest_cards(rows).withColumn("ease", F.round("ease", 6))
 
 
 @query("x03_incremental_sink", "SELECT event_id, upper(event_type) AS kind FROM events")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.functions.scale import scan, shuffle_width
 from corpusloom.sources.sinks import last_per_key
@@ -18,6 +19,7 @@ WINDOW_SECONDS, ALLOWED = 60, 20
 EASE, EASE_FLOOR, LAPSE_COST, HARD_COST, EASY_GAIN = 2.3, 1.3, 0.2, 0.15, 0.1
 HARD_STEP, EASY_STEP, EASY_START = 1.2, 1.3, 3
 DAY_MS, MINUTE_MS = 86_400_000, 60_000
+CARD = "ease double, interval double, lapses long, reps long, due double"
 
 
 def request_rate(events: DataFrame, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED) -> DataFrame:
@@ -36,30 +38,61 @@ def request_rate(events: DataFrame, seconds: int = WINDOW_SECONDS, allowed: int
     return out.drop("_us", "_slot", "_own").withColumn("limited", F.col("recent") > allowed)
 
 
+class TrailingCounts(StatefulProcessor):
+    """Times of each caller as list state; a timer clears a caller once the
+    watermark has passed the last time that can still be counted with others."""
+
+    def __init__(self, span: int, keep: int):
+        self.span, self.keep = span, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = np.array([t[0] for t in self.times.get()] if self.times.exists() else [], dtype=np.int64)
+        new = np.sort(np.concatenate([b["us"].to_numpy(dtype=np.int64) for b in rows]))
+        every = np.sort(np.concatenate([known, new]))
+        recent = np.searchsorted(every, new, side="right") - np.searchsorted(every, new - self.span, side="right")
+        self.times.put([(int(t),) for t in every[every > every[-1] - self.keep]])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(every[-1] + self.keep) // 1000 + 1)
+        yield pd.DataFrame({"caller": key[0], "us": new, "recent": recent})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        yield pd.DataFrame({"caller": pd.Series([key[0]]).iloc[:0], "us": np.zeros(0, np.int64), "recent": np.zeros(0, np.int64)})
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str) -> DataFrame:
+    """``df`` by ``key`` through a processor; its states need the RocksDB store."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", time_mode)
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Everything there is to read goes through ``stream`` into a Parquet table; each batch once."""
+    stream.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def request_rate_stream(events: DataFrame, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED, late: str = "10 minutes") -> DataFrame:
     """(caller, ts, recent, limited) of every request of a stream: the trailing
     count of ``request_rate``, kept exactly.
 
     A caller's state holds the times within one window and the lateness before
-    the newest one.  A late request is counted with what is known of its own
-    window; counts already given are not given again.
+    the newest one, and goes once the watermark has passed them all.  A late
+    request is counted with what is known of its own window; counts already
+    given are not given again.  Requests behind the watermark are dropped.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
     span = seconds * 1_000_000
     keep = span + int(pd.Timedelta(late).total_seconds() * 1_000_000)
-
-    def count(key, batches, state):
-        known = np.array(state.get[0] if state.exists else [], dtype=np.int64)
-        new = np.sort(np.concatenate([b["us"].to_numpy(dtype=np.int64) for b in batches]))
-        every = np.sort(np.concatenate([known, new]))
-        recent = np.searchsorted(every, new, side="right") - np.searchsorted(every, new - span, side="right")
-        state.update((every[every > every[-1] - keep].tolist(),))
-        yield pd.DataFrame({"caller": key[0], "us": new, "recent": recent})
-
     caller = events.schema["caller"].dataType.simpleString()
-    e = events.withWatermark("ts", late).select("caller", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    out = e.groupBy("caller").applyInPandasWithState(count, f"caller {caller}, us long, recent long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    e = events.withWatermark("ts", late).select("caller", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    out = keyed_state(e, "caller", TrailingCounts(span, keep), f"caller {caller}, us long, recent long", "EventTime")
     return out.select("caller", F.timestamp_micros("us").alias("ts"), "recent", (F.col("recent") > allowed).alias("limited"))
 
 
@@ -121,24 +154,41 @@ def repetition_state(events: DataFrame) -> DataFrame:
     return last.select("key", "s.*")
 
 
-def repetition_stream(events: DataFrame) -> DataFrame:
-    """The same schedule kept as state per key over a stream of (key, seq, ms, grade)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class Schedule(StatefulProcessor):
+    """The schedule of each key as value state, which lives for ``days`` after the last grade."""
 
-    def fold(key, batches, state):
-        ease, interval, lapses, reps, due = state.get if state.exists else (EASE, 0.0, 0, 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for ms, g in zip(rows["ms"], rows["grade"]):
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.card = handle.getValueState("card", CARD, ttlDurationMs=self.days * DAY_MS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ease, interval, lapses, reps, due = self.card.get() if self.card.exists() else (EASE, 0.0, 0, 0, 0.0)
+        batch = pd.concat(list(rows)).sort_values("seq")
+        for ms, g in zip(batch["ms"], batch["grade"]):
             interval = _next_interval(interval, g, round(ease, 9))
             change = {0: -LAPSE_COST, 1: -HARD_COST, 3: EASY_GAIN}.get(int(g), 0.0)
             ease = max(EASE_FLOOR, ease + change)
             lapses, reps = lapses + int(g == 0), reps + 1
             due = float(ms) + (MINUTE_MS if g == 0 else interval * DAY_MS)
-        state.update((ease, interval, lapses, reps, due))
+        self.card.update((ease, interval, lapses, reps, due))
         yield pd.DataFrame({"key": [key[0]], "ease": [round(ease, 9)], "interval": [interval], "lapses": [lapses], "reps": [reps], "due": [due]})
 
-    body = "ease double, interval double, lapses long, reps long, due double"
-    return events.groupBy("key").applyInPandasWithState(fold, "key long, " + body, body, "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def repetition_stream(events: DataFrame, days: int = 3650) -> DataFrame:
+    """The same schedule kept as state per key over a stream of (key, seq, ms, grade):
+    one row per key and batch, the one with most ``reps`` being the latest.  A
+    key without a grade for ``days`` days of clock time starts anew."""
+    return keyed_state(events, "key", Schedule(days), "key long, " + CARD, "ProcessingTime")
+
+
+def latest_cards(rows: DataFrame) -> DataFrame:
+    """The last state of every key among the rows of ``repetition_stream``."""
+    return rows.groupBy("key").agg(F.max_by(F.struct("ease", "interval", "lapses", "reps", "due"), "reps").alias("s")).select("key", "s.*")
 
 
 def incremental_sink(stream: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, keys: Sequence[str], checkpoint: str):

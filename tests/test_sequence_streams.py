@@ -59,7 +59,7 @@ def test_repetition_state_equals_one_by_one(spark):
     folder = scratch_path(spark, "grades")
     df.coalesce(1).write.parquet(folder)
     stream = st.repetition_stream(spark.readStream.schema(df.schema).parquet(folder))
-    run = stream.writeStream.format("memory").queryName("rep").outputMode("update").trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "ck")).start()
+    run = stream.writeStream.format("memory").queryName("rep").outputMode("append").trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "ck")).start()
     run.awaitTermination()
     assert {r.key: (round(r.ease, 6), r.interval, r.lapses) for r in spark.table("rep").collect()} == got
 
@@ -97,6 +97,34 @@ def test_request_rate_over_batches(spark):
     assert got == {0: 1, 50: 2, 55: 3, 58: 4, 59: 5, 70: 5, 65: 5}
 
 
+def test_callers_expire_and_late_requests_count(spark):
+    """Once the watermark has passed its window a caller leaves the state; what comes behind the watermark is dropped."""
+    base = dt.datetime(2024, 1, 1)
+    folder, out, ck = (scratch_path(spark, n) for n in ("rate", "rates", "ck"))
+    kind = "caller string, ts timestamp"
+    held = lambda: {r.key[0] for r in spark.read.format("statestore").option("stateVarName", "times").load(ck).select("key").collect()}
+    parts = [[("gone", 0), ("gone", 10), ("stays", 30)], [("stays", 500), ("stays", 20)], [("stays", 510)], [("stays", 5)], [("stays", 4000), ("gone", 4000)]]
+    seen = []
+    for rows in parts:
+        spark.createDataFrame([(c, base + dt.timedelta(seconds=s)) for c, s in rows], kind).write.mode("append").parquet(folder)
+        st.run_to_table(st.request_rate_stream(spark.readStream.schema(kind).parquet(folder), 60, 1, "120 seconds"), out, ck)
+        seen.append(held())
+    got = {(r.caller, (r.ts - base).seconds): (r.recent, r.limited) for r in spark.read.parquet(out).collect()}
+    assert got == {("gone", 0): (1, False), ("gone", 10): (2, True), ("stays", 30): (1, False), ("stays", 20): (1, False), ("stays", 500): (1, False), ("stays", 510): (2, True), ("stays", 4000): (1, False), ("gone", 4000): (1, False)}
+    assert seen[0] == {"gone", "stays"} and "gone" not in seen[2] and seen[-1] == {"gone", "stays"}
+
+
+def test_schedules_live_for_their_days(spark):
+    folder, out, ck = (scratch_path(spark, n) for n in ("grades", "cards", "ck"))
+    kind = "key long, seq long, ms long, grade int"
+    hist = {1: [2, 2, 2], 2: [0, 3, 1]}
+    for i in range(3):
+        spark.createDataFrame([(k, i, i * 1000, g[i]) for k, g in hist.items()], kind).write.mode("append").parquet(folder)
+        st.run_to_table(st.repetition_stream(spark.readStream.schema(kind).parquet(folder), days=30), out, ck)
+    got = {r.key: (round(r.ease, 6), r.interval, r.lapses, r.reps) for r in st.latest_cards(spark.read.parquet(out)).collect()}
+    assert got == {k: (*fold(g), 3) for k, g in hist.items()}
+
+
 def test_upsert_keeps_the_last_write(spark):
     from corpusloom.sources.sinks import upsert
 
