@@ -38,28 +38,102 @@ def dequantise(s: str) -> Column:
 
 
 # --- exact neighbours -----------------------------------------------------------
-def pick_pivots(vecs: DataFrame, most: int = 64) -> np.ndarray:
-    """A bounded matrix of pivots: the vectors with the lowest hashes of their ids."""
-    rows = vecs.orderBy(F.xxhash64("id"), "id").limit(most).select("vec").collect()
-    m = np.array([r[0] for r in rows], dtype=np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+PIVOT_BYTES = 64 << 20  # of all pivots together, which every task holds
 
 
-def _cells(vecs: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot ``cell`` and the angle to it."""
+class PivotTree:
+    """Two levels of pivots: about sqrt(n) leaves under about n^(1/4) tops.
+
+    A vector goes to the nearest leaf under its nearest top.  ``radius`` is the
+    largest angle between a leaf and its vectors, ``cover`` the one between a top
+    and anything below it, so both levels rule out what lies too far.
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        m = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-12)
+        self.tops = m[: int(np.ceil(np.sqrt(len(m))))]
+        top = (m @ self.tops.T).argmax(1)
+        order = np.argsort(top, kind="stable")
+        self.leaves, top = m[order], top[order]
+        self.cut = np.searchsorted(top, np.arange(len(self.tops) + 1))
+        self.radius = np.full(len(m), -np.inf)
+        self.cover = np.full(len(self.tops), -np.inf)
+
+    def measured(self, radii: dict[int, float]) -> PivotTree:
+        """Takes the radii of the leaves that hold vectors."""
+        for leaf, r in radii.items():
+            self.radius[leaf] = r
+        for t, (lo, hi) in enumerate(zip(self.cut[:-1], self.cut[1:])):
+            apart = np.arccos(np.clip(self.leaves[lo:hi] @ self.tops[t], -1, 1))
+            self.cover[t] = np.max(apart + self.radius[lo:hi], initial=-np.inf)
+        return self
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each vector and the angle to it."""
+        leaf, angle = np.zeros(len(x), np.int32), np.zeros(len(x))
+        top = (x @ self.tops.T).argmax(1)
+        for t in np.unique(top):
+            rows = np.flatnonzero(top == t)
+            c = x[rows] @ self.leaves[self.cut[t] : self.cut[t + 1]].T
+            leaf[rows] = self.cut[t] + c.argmax(1)
+            angle[rows] = np.arccos(np.clip(c.max(1), -1, 1))
+        return leaf, angle
+
+    def reach(self, x: np.ndarray, need: np.ndarray):
+        """(rows, leaves) that may hold a vector of cosine ``need`` or more, one top at a time."""
+        near = lambda angle, radius: np.cos(np.maximum(angle - radius, 0)) + 2e-6
+        tops = near(np.arccos(np.clip(x @ self.tops.T, -1, 1)), self.cover) >= need[:, None]
+        for t in np.flatnonzero(tops.any(0) & np.isfinite(self.cover)):
+            rows, at = np.flatnonzero(tops[:, t]), slice(self.cut[t], self.cut[t + 1])
+            ok = (near(np.arccos(np.clip(x[rows] @ self.leaves[at].T, -1, 1)), self.radius[at]) >= need[rows, None]) & np.isfinite(self.radius[at])
+            r, c = np.nonzero(ok)
+            yield rows[r], (self.cut[t] + c).astype(np.int32)
+
+
+def pick_pivots(vecs: DataFrame, most: int) -> np.ndarray:
+    """Pivots: the vectors with the lowest hashes of their ids, as many as ``PIVOT_BYTES`` allow at most."""
+    rows = vecs.select("id", "vec").orderBy(F.xxhash64("id"), "id")
+    dim = max(1, len(rows.first()["vec"]))
+    rows = rows.limit(max(1, min(most, PIVOT_BYTES // (8 * dim)))).select("vec").collect()
+    return np.array([r[0] for r in rows], dtype=np.float64)
+
+
+def _matrix(vecs: pd.Series) -> np.ndarray:
+    return np.array(vecs.tolist(), dtype=np.float64)
+
+
+def _cells(vecs: DataFrame, tree: PivotTree) -> DataFrame:
+    """Add the leaf ``cell`` of every vector and the angle to it."""
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
-                x = np.array(pdf["vec"].tolist(), dtype=np.float64)
-                c = np.clip(x @ pivots.T, -1, 1)
-                pdf["cell"] = c.argmax(1).astype(np.int32)
-                pdf["angle"] = np.arccos(c.max(1))
+                pdf["cell"], pdf["angle"] = tree.assign(_matrix(pdf["vec"]))
                 yield pdf[["id", "vec", "cell", "angle"]]
 
     return vecs.select("id", "vec").mapInPandas(assign, "id long, vec array<double>, cell int, angle double")
 
 
+def _planted(base: DataFrame, pivots: int) -> tuple[DataFrame, PivotTree]:
+    """The vectors with their cells, and the tree with its radii: one number per leaf on the driver."""
+    tree = PivotTree(pick_pivots(base, pivots))
+    celled = cut_lineage(_cells(base, tree))
+    return celled, tree.measured({r.cell: r.r for r in celled.groupBy("cell").agg(F.max("angle").alias("r")).collect()})
+
+
+def _tiles(wanted: DataFrame, data: DataFrame, block: int):
+    """``wanted`` (id, vec, target) and ``data`` (id, vec, cell) grouped so that
+    every vector meets all of its target cell in tiles of about block x block."""
+    parts = lambda df, key, out: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(out))
+    grid = parts(wanted, "target", "chunks").withColumnRenamed("target", "cell").join(parts(data, "cell", "subs"), "cell")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = wanted.withColumnRenamed("target", "cell").join(grid, "cell").select(*[F.col(c).alias(c) for c in ("id", "vec", "cell")], mine("chunks").alias("chunk"), every("subs").alias("sub"))
+    d = data.join(grid, "cell").select("id", "vec", "cell", every("chunks").alias("chunk"), mine("subs").alias("sub"))
+    key = ["cell", "sub", "chunk"]
+    return q.groupBy(*key).cogroup(d.groupBy(*key))
+
+
 def _block_top(k: int, floor: float):
     """Best ``k`` of one block of data rows for one block of query rows."""
 
@@ -93,14 +167,15 @@ def _head(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def knn(vecs: DataFrame, k: int, floor: float = -1.0, block: int = 4096, pivots: int = 64) -> DataFrame:
+def knn(vecs: DataFrame, k: int, floor: float = -1.0, block: int = 4096, pivots: int | None = None) -> DataFrame:
     """Exact ``k`` nearest by cosine for every unit vector: (id, other, score, rank).
 
-    Vectors fall into cells around a bounded set of pivots and cells into
-    blocks of about ``block`` rows, so a crowded cell is many tasks.  First
-    every vector searches its own cell; the score of its k-th best then rules
-    out each cell that the triangle inequality on angles puts out of reach,
-    and only the rest are searched.  Nothing is approximated.
+    Vectors fall into the leaves of a pivot tree, sqrt(n) of them unless
+    ``pivots`` says otherwise, and a leaf is searched in tiles of at most about
+    ``block`` x ``block`` rows, so a crowded one is many tasks.  First every
+    vector searches its own leaf; the score of its k-th best then rules out
+    each top and leaf that the triangle inequality on angles puts out of
+    reach, and only the rest are searched.  Nothing is approximated.
     """
     base = cut_lineage(vecs.select("id", "vec"))
     n = base.count()
@@ -111,51 +186,22 @@ def knn(vecs: DataFrame, k: int, floor: float = -1.0, block: int = 4096, pivots:
         d = one.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
         found = q.groupBy("b").cogroup(d.groupBy("b")).applyInPandas(_block_top(k, floor), "id long, other long, score double")
     else:
-        piv = pick_pivots(base, pivots)
-        celled = cut_lineage(_cells(base, piv))
-        info = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
-        stat = {r["cell"]: (r["n"], r["radius"]) for r in info.collect()}  # at most one row per pivot
-        parts = {c: max(1, -(-v[0] // block)) for c, v in stat.items()}
-        table = F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p)])
-        sub = F.pmod(F.xxhash64("id"), table[F.col("cell")]).cast("int")
-        data = celled.select("id", "vec", "cell", sub.alias("sub"))
-
-        def search(wanted: DataFrame) -> DataFrame:
-            """``wanted`` has (id, vec, target): look in every block of the target cell."""
-            size = wanted.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()
-            chunks = {r["target"]: max(1, -(-r["n"] // block)) for r in size}
-            if not chunks:
-                return None
-            many = F.create_map(*[F.lit(x) for c, p in chunks.items() for x in (c, p)])
-            chunk = F.pmod(F.xxhash64("id"), many[F.col("target")]).cast("int")
-            q = wanted.select("id", "vec", F.col("target").alias("cell"), chunk.alias("chunk")).withColumn("sub", F.explode(F.sequence(F.lit(0), table[F.col("cell")] - 1)))
-            d = data.filter(F.col("cell").isin(list(chunks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), many[F.col("cell")] - 1)))
-            key = ["cell", "sub", "chunk"]
-            return q.groupBy(*key).cogroup(d.groupBy(*key)).applyInPandas(_block_top(k, floor), "id long, other long, score double")
-
+        celled, tree = _planted(base, pivots or int(np.ceil(np.sqrt(n))))
+        data = celled.select("id", "vec", "cell")
+        search = lambda wanted: _tiles(wanted, data, block).applyInPandas(_block_top(k, floor), "id long, other long, score double")
         own = cut_lineage(top_k(search(celled.select("id", "vec", F.col("cell").alias("target"))), ["id"], [F.desc("score"), "other"], k, "rank"))
         kth = own.filter(F.col("rank") == k).select("id", F.col("score").alias("kth"))
-        radii = np.array([stat[c][1] if c in stat else -9.0 for c in range(len(piv))])
-        there = np.array([c in stat for c in range(len(piv))])
 
         def reach(batches):
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.array(pdf["vec"].tolist(), dtype=np.float64)
-                angle = np.arccos(np.clip(x @ piv.T, -1, 1))
-                bound = np.cos(np.maximum(angle - radii[None, :], 0)) + 2e-6
-                need = np.maximum(pdf["kth"].fillna(-2).to_numpy(), floor)
-                ok = (bound >= need[:, None]) & there[None, :]
-                ok[np.arange(len(x)), pdf["cell"].to_numpy()] = False
-                r, c = np.nonzero(ok)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[r], "vec": [pdf["vec"].iloc[i] for i in r], "target": c.astype(np.int32)})
+                if len(pdf):
+                    need = np.maximum(pdf["kth"].fillna(-2).to_numpy(), floor)
+                    for rows, leaf in tree.reach(_matrix(pdf["vec"]), need):
+                        away = leaf != pdf["cell"].to_numpy()[rows]
+                        yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows[away]], "vec": pdf["vec"].to_numpy()[rows[away]], "target": leaf[away]})
 
         wanted = cut_lineage(celled.join(kth, "id", "left").select("id", "vec", "cell", "kth").mapInPandas(reach, "id long, vec array<double>, target int"))
-        more = search(wanted)
-        found = own.select("id", "other", "score")
-        if more is not None:
-            found = found.unionByName(more)
+        found = own.select("id", "other", "score").unionByName(search(wanted))
     ranked = top_k(found, ["id"], [F.desc("score"), "other"], k, "rank")
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
@@ -191,67 +237,31 @@ def mutual_pairs(knn_table: DataFrame) -> DataFrame:
     return both.select(F.col("id").alias("a"), F.col("other").alias("b"), "score")
 
 
-def similar_pairs(vecs: DataFrame, floor: float, block: int = 2048) -> DataFrame:
-    """All pairs (a < b) of a subset with cosine at or above ``floor``, block by block."""
-    n = vecs.count()
-    blocks = max(1, -(-n // block))
-    tagged = vecs.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"))
-    left = tagged.withColumn("to", F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1)))).select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.col("blk").alias("lb"), F.col("to").alias("rb"))
-    right = tagged.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("blk")))).select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.col("from").alias("lb"), F.col("blk").alias("rb"))
+def similar_pairs(vecs: DataFrame, floor: float, block: int = 2048, pivots: int | None = None) -> DataFrame:
+    """All pairs (a < b) of a subset with cosine at or above ``floor``: a vector
+    meets the leaves of a pivot tree that can hold such a partner, in tiles."""
+    base = cut_lineage(vecs.select("id", "vec"))
+    n = base.count()
+    if not n:
+        return base.sparkSession.createDataFrame([], "a long, b long, score double")
+    celled, tree = _planted(base, pivots or (1 if n <= block else int(np.ceil(np.sqrt(n)))))
+
+    def reach(batches):
+        for pdf in batches:
+            if len(pdf):
+                for rows, leaf in tree.reach(_matrix(pdf["vec"]), np.full(len(pdf), floor)):
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "vec": pdf["vec"].to_numpy()[rows], "target": leaf})
 
-    def close(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def close(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(l) or not len(r):
             return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        s = np.round(np.array(l["vec"].tolist()) @ np.array(r["vec"].tolist()).T, 6)
+        s = np.round(_matrix(l["vec"]) @ _matrix(r["vec"]).T, 6)
         li, ri = l["id"].to_numpy(), r["id"].to_numpy()
-        ok = s >= floor
-        if key[0] == key[1]:
-            ok &= li[:, None] < ri[None, :]
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"a": np.minimum(li[i], ri[j]), "b": np.maximum(li[i], ri[j]), "score": s[i, j]})
-
-    return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(close, "a long, b long, score double")
+        i, j = np.nonzero((s >= floor) & (li[:, None] < ri[None, :]))  # from the smaller id, so that a pair comes once
+        return pd.DataFrame({"a": li[i], "b": ri[j], "score": s[i, j]})
 
-
-# --- query search ---------------------------------------------------------------
-def query_top(queries: DataFrame, vecs: DataFrame, k: int, part: Sequence[str] = (), most_queries: int = 10000) -> DataFrame:
-    """Best ``k`` rows per query (and per column of ``part``) by one scan.
-
-    The query table is counted and goes to every task as one matrix; more
-    than ``most_queries`` are answered in several scans.
-    """
-    total = queries.count()
-    turns = max(1, -(-total // most_queries))
-    out = None
-    for t in range(turns):
-        some = queries if turns == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(turns)) == t)
-        rows = some.select("qid", "vec").collect()
-        if not rows:
-            continue
-        qid = np.array([r[0] for r in rows], dtype=np.int64)
-        q = np.array([r[1] for r in rows], dtype=np.float64)
-
-        def scan(batches, qid=qid, q=q):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.array(pdf["vec"].tolist(), dtype=np.float64)
-                tags = pdf[list(part)].astype(str).agg("|".join, axis=1).to_numpy() if part else np.zeros(len(pdf))
-                ids = pdf["id"].to_numpy()
-                for tag in np.unique(tags):
-                    at = np.flatnonzero(tags == tag)
-                    s = np.round(q @ x[at].T, 6)
-                    order = _head(s, ids[at], min(k, len(at)))
-                    r = np.repeat(np.arange(len(q)), order.shape[1])
-                    c = at[order.reshape(-1)]
-                    frame = {"qid": qid[r], "id": ids[c], "score": s[r, order.reshape(-1)]}
-                    frame.update({p: pdf[p].to_numpy()[c] for p in part})
-                    yield pd.DataFrame(frame)
-
-        kinds = "".join(f", {p} {vecs.schema[p].dataType.simpleString()}" for p in part)
-        hits = vecs.select("id", "vec", *part).mapInPandas(scan, "qid long, id long, score double" + kinds)
-        out = hits if out is None else out.unionByName(hits)
-    return top_k(out, ["qid", *part], [F.desc("score"), "id"], k, "rank").withColumn("rank", F.col("rank").cast("long"))
+    wanted = celled.select("id", "vec").mapInPandas(reach, "id long, vec array<double>, target int")
+    return _tiles(wanted, celled.select("id", "vec", "cell"), block).applyInPandas(close, "a long, b long, score double")
 
 
 def multi_source_top(queries: DataFrame, vecs: DataFrame, source: str, n_sources: int, k: int) -> DataFrame:

@@ -187,3 +187,54 @@ def test_clean_up_keeps_every_member(spark):
     m = table(spark, x).withColumn("cluster", F.when(F.col("id") < 4, F.lit(9)).otherwise(F.col("id") % 2))
     out = clusters.clean_up(m, 5, 0.98).collect()
     assert sorted(r.id for r in out) == list(range(60)) and 9 not in {r.cluster for r in out}
+
+
+def test_hop_statistics_and_sketches(spark):
+    rng = np.random.default_rng(7)
+    edges = [(i, i + 1) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(0, 41, (30, 2))] + [(90, 91)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def hops(src):
+        dist, todo = {src: 0}, [src]
+        for x in todo:
+            for y in near[x]:
+                if y not in dist:
+                    dist[y] = dist[x] + 1
+                    todo.append(y)
+        return dist
+
+    giant = sorted(n for n in near if n < 90)
+    df = spark.createDataFrame(edges, "src long, dst long")
+    d = [h for s in giant[::4] for h in hops(s).values() if h]
+    got = graph.hop_statistics(df, aim=12).first()
+    assert (got.giant, got.sources, got.longest) == (41, len(giant[::4]), max(d)) and abs(got["mean"] - np.mean(d)) < 1e-9
+    every = [h for s in near for h in hops(s).values() if h]
+    sketch = {r.hops: r.pairs for r in graph.hop_sketches(df).collect()}
+    assert abs(sum(sketch.values()) / len(every) - 1) < 0.03
+    assert abs(sum(h * n for h, n in sketch.items()) / sum(sketch.values()) / np.mean(every) - 1) < 0.03
+
+
+def test_pivot_tree_loses_nothing():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = v.PivotTree(x[:30])
+    leaf, angle = tree.assign(x)
+    tree.measured({int(c): float(angle[leaf == c].max()) for c in np.unique(leaf)})
+    s = x @ x.T
+    need = np.sort(s, axis=1)[:, -6]
+    seen = {(int(r), int(c)) for rows, leaves in tree.reach(x, need) for r, c in zip(rows, leaves)}
+    assert all((i, int(leaf[j])) in seen for i, j in zip(*np.nonzero(s >= need[:, None])))
+    assert len(seen) < 0.8 * len(x) * len(np.unique(leaf))
+    assert len(tree.tops) == 6 and tree.cut[-1] == 30
+
+
+def test_similar_pairs_through_the_tree(spark):
+    x = unit(150, seed=3, groups=6)
+    got = {(r.a, r.b): r.score for r in v.similar_pairs(table(spark, x), 0.6, block=20, pivots=9).collect()}
+    s = np.round(x @ x.T, 6)
+    assert got == {(i, j): s[i, j] for i in range(150) for j in range(i + 1, 150) if s[i, j] >= 0.6}
