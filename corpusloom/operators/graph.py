@@ -349,8 +349,20 @@ def modularity(und: DataFrame, comm: DataFrame) -> DataFrame:
 
 
 def communities(und: DataFrame, rounds: int = 30, seeds: Sequence[int] = (0,)) -> DataFrame:
-    """(run, node, community): local moving by modularity gain until nothing moves,
-    ``rounds`` rounds at most, once for each seed; all runs share their jobs.
+    """(run, node, community) of each seed, as ``local_moving`` finds them."""
+    return local_moving(und, rounds, seeds)[0]
+
+
+def best_communities(und: DataFrame, rounds: int = 30, seeds: Sequence[int] = range(4)) -> DataFrame:
+    """(node, community) of the seed that ends with the highest modularity."""
+    runs, q = local_moving(und, rounds, seeds)
+    return runs.filter(F.col("run") == max(q, key=lambda r: (round(q[r], 9), -r))).select("node", "community")
+
+
+def local_moving(und: DataFrame, rounds: int, seeds: Sequence[int]) -> tuple[DataFrame, dict[int, float]]:
+    """(run, node, community) and the modularity of each run: local moving by gain
+    until nothing moves, ``rounds`` rounds at most, once for each seed; all runs
+    share their jobs.
 
     A round has two turns; in each, half of the active nodes (by hash of node,
     seed and round) move to the neighbouring community with the largest gain,
@@ -406,7 +418,7 @@ def communities(und: DataFrame, rounds: int = 30, seeds: Sequence[int] = (0,)) -
     all_runs = out[0]
     for o in out[1:]:
         all_runs = all_runs.unionByName(o)
-    return all_runs.select("run", "node", "community")
+    return all_runs.select("run", "node", "community"), {r: q for r, (q, _) in best.items()}
 
 
 def partition_agreement(runs: DataFrame) -> DataFrame:

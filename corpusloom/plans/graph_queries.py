@@ -226,7 +226,7 @@ def g13(spark, sf):
 
 @query("g14_communities")
 def g14(spark, sf):
-    return g.communities(und(spark, sf)).select("node", "community")
+    return g.best_communities(und(spark, sf))
 
 
 GIVEN = "gv AS (SELECT 0 AS run, id AS node, CAST(label AS BIGINT) AS community FROM uv UNION ALL SELECT 1, id, id % 7 FROM uv UNION ALL SELECT 2, id, label + 10 * (id % 2) FROM uv)"
