@@ -158,13 +158,13 @@ def _block_top(k: int, floor: float):
 
 
 def _head(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best scores per row, ties at the edge by the smaller id."""
-    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(s), k), dtype=np.int64)
-    for i in range(len(s)):
-        c = np.flatnonzero(s[i] >= edge[i])
-        out[i] = c[np.lexsort((ids[c], -s[i][c]))[:k]]
-    return out
+    """Columns of the k best scores per row, ties by the smaller id.  Scores of
+    six digits and ranks of ids make one whole number, so no two are equal."""
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    key = rank[None, :] - (np.rint(s * 1e6).astype(np.int64) << 32)
+    best = np.argpartition(key, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(best, np.take_along_axis(key, best, axis=1).argsort(axis=1), axis=1)
 
 
 def knn(vecs: DataFrame, k: int, floor: float = -1.0, block: int = 4096, pivots: int | None = None) -> DataFrame:
@@ -264,6 +264,47 @@ def similar_pairs(vecs: DataFrame, floor: float, block: int = 2048, pivots: int
     return _tiles(wanted, celled.select("id", "vec", "cell"), block).applyInPandas(close, "a long, b long, score double")
 
 
+# --- query search ---------------------------------------------------------------
+def query_top(queries: DataFrame, vecs: DataFrame, k: int, part: Sequence[str] = (), most_queries: int = 10000) -> DataFrame:
+    """Best ``k`` rows per query (and per column of ``part``) by one scan.
+
+    The query table is counted and goes to every task as one matrix; more
+    than ``most_queries`` are answered in several scans.
+    """
+    total = queries.count()
+    turns = max(1, -(-total // most_queries))
+    out = None
+    for t in range(turns):
+        some = queries if turns == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(turns)) == t)
+        rows = some.select("qid", "vec").collect()
+        if not rows:
+            continue
+        qid = np.array([r[0] for r in rows], dtype=np.int64)
+        q = np.array([r[1] for r in rows], dtype=np.float64)
+
+        def scan(batches, qid=qid, q=q):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.array(pdf["vec"].tolist(), dtype=np.float64)
+                tags = pdf[list(part)].astype(str).agg("|".join, axis=1).to_numpy() if part else np.zeros(len(pdf))
+                ids = pdf["id"].to_numpy()
+                for tag in np.unique(tags):
+                    at = np.flatnonzero(tags == tag)
+                    s = np.round(q @ x[at].T, 6)
+                    order = _head(s, ids[at], min(k, len(at)))
+                    r = np.repeat(np.arange(len(q)), order.shape[1])
+                    c = at[order.reshape(-1)]
+                    frame = {"qid": qid[r], "id": ids[c], "score": s[r, order.reshape(-1)]}
+                    frame.update({p: pdf[p].to_numpy()[c] for p in part})
+                    yield pd.DataFrame(frame)
+
+        kinds = "".join(f", {p} {vecs.schema[p].dataType.simpleString()}" for p in part)
+        hits = vecs.select("id", "vec", *part).mapInPandas(scan, "qid long, id long, score double" + kinds)
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out, ["qid", *part], [F.desc("score"), "id"], k, "rank").withColumn("rank", F.col("rank").cast("long"))
+
+
 def multi_source_top(queries: DataFrame, vecs: DataFrame, source: str, n_sources: int, k: int) -> DataFrame:
     """A quota of hits from every source, merged, then the best ``k``."""
     quota = max(3, -(-k // max(1, n_sources)) + 1)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.scale import ordinal, spread
-from corpusloom.operators import align, audit, pairs, textops, vectors
+from corpusloom.functions.scale import ordinal, scratch_path, spread
+from corpusloom.operators import align, audit, pairs, search, textops, vectors
 from corpusloom.plans import tables as tb
 from corpusloom.plans import text_queries as tq
 from corpusloom.plans import vector_queries as vq
-from corpusloom.plans.registry import query
+from corpusloom.plans.registry import ORACLES, query
 
 B, U, D, T, TT = tb.BASKET, tb.BASKET_UNITS, tb.DOC_TOK, tb.TURNS, tb.TURN_TOK
 
@@ -356,6 +356,39 @@ def c25(spark, sf):
     return audit.full_text_search(q, post, lens, 10)
 
 
+def corpus_index(spark, sf):
+    """The index of the documents, built once per run."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = scratch_path(spark, "index")
+        search.build_index(tb.doc_tokens(spark, sf).select("unit_id", F.col("tok_no").alias("place"), F.col("subkey").alias("term")), _INDEXES[key], unit_block=64)
+    return search.Index(spark, _INDEXES[key])
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def benchmark_terms(spark, sf):
+    b = tb.load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(tx.words(F.col("text"))).alias("nth", "w"))
+    return b.select("qid", "nth", tx.fold(F.col("w"), "latin").alias("term")).filter("term <> ''")
+
+
+@query("c25_index_search", ORACLES["c25_full_text_search"])
+def c25_index(spark, sf):
+    return corpus_index(spark, sf).search(benchmark_terms(spark, sf), 10)
+
+
+@query(
+    "c25_index_phrases",
+    f"""WITH {D}, w AS (SELECT item_id AS qid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS nth FROM (SELECT item_id, {tb.words_sql('text')} AS ws FROM benchmark)), q AS (SELECT qid, nth - 2 AS nth, {tb.fold_sql('w')} AS term FROM w WHERE nth BETWEEN 2 AND 5 AND {tb.fold_sql('w')} <> ''), n AS (SELECT qid, count(*) AS want FROM q GROUP BY 1),
+ v AS (SELECT q.qid, t.unit_id, t.tok_no - q.nth AS at FROM q JOIN tok t ON t.subkey = q.term) SELECT qid, unit_id, at FROM v JOIN n USING (qid) GROUP BY qid, unit_id, at, want HAVING count(*) = want""",
+)
+def c25_phrases(spark, sf):
+    """The third to sixth word of every item, wherever they stand in this order."""
+    four = benchmark_terms(spark, sf).filter("nth BETWEEN 2 AND 5").withColumn("nth", F.col("nth") - 2)
+    return corpus_index(spark, sf).phrases(four)
+
+
 @query(
     "c26_families",
     f"""WITH {SEQ}, {JAC}, i AS (SELECT a, b, x.text FROM jac JOIN ds x ON x.unit_id = a JOIN ds y ON y.unit_id = b WHERE x.text = y.text), u AS (SELECT DISTINCT unnest([a, b]) AS unit_id, text FROM i)
