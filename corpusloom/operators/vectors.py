@@ -471,10 +471,51 @@ def _close_within(items: DataFrame, vecs: DataFrame, limit: float, block: int =
     return pair.filter(F.round(dot("_x", "_y"), 6) > limit).select("hub", "a", "b").distinct()
 
 
-def greedy_independent(items: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Greedy choice by (w desc, id) without two conflicting items, as rounds:
-    an item is kept once no better undecided rival is left and dropped when a
-    rival is kept.  Equal to the one-by-one walk."""
+def greedy_independent(items: DataFrame, conflicts: DataFrame, together: int = 100_000) -> DataFrame:
+    """Greedy choice by (w desc, id) without two conflicting items, equal to the
+    one-by-one walk.
+
+    Conflicts reach no further than their connected component, so a component of
+    up to ``together`` conflicts is walked in one task, however long its chains
+    are.  A larger one is settled in rounds: an item is kept once no better
+    undecided rival is left and dropped when a rival is kept.
+    """
+    from corpusloom.operators.graph import components
+
+    name = lambda c: F.xxhash64("hub", c)  # noqa: E731 - a collision only joins two components
+    edges = cut_lineage(conflicts.select("hub", "a", "b").distinct())
+    if edges.isEmpty():
+        return items
+    comp = components(edges.select(name("a").alias("src"), name("b").alias("dst")))
+    edges = edges.join(comp.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("_n") == name("a")).drop("_n")
+    size = edges.groupBy("_c").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut_lineage(items.join(comp.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("_n") == name("id"), "left").drop("_n").join(size, "_c", "left"))
+    edges = cut_lineage(edges.join(size, "_c"))
+    schema = items.schema.simpleString()[7:-1]
+    order = items.columns
+
+    def walk(mine: pd.DataFrame, their: pd.DataFrame) -> pd.DataFrame:
+        rivals: dict[tuple, list] = {}
+        for hub, a, b in zip(their["hub"], their["a"], their["b"]):
+            rivals.setdefault((hub, a), []).append((hub, b))
+            rivals.setdefault((hub, b), []).append((hub, a))
+        mine = mine.sort_values(["w", "id"], ascending=[False, True])
+        lost, keep = set(), []
+        for key in zip(mine["hub"], mine["id"]):
+            keep.append(key not in lost)
+            if keep[-1]:
+                lost.update(rivals.get(key, ()))
+        return mine[keep][order]
+
+    few = F.col("n") <= together
+    walked = placed.filter(few).groupBy("_c").cogroup(edges.filter(few).select(F.col("_c").alias("_d"), "hub", "a", "b").groupBy("_d")).applyInPandas(walk, schema)
+    kept = placed.filter("n IS NULL").select(*order).unionByName(walked)
+    if size.filter(~few).isEmpty():
+        return kept
+    return kept.unionByName(_greedy_rounds(placed.filter(~few).select(*order), edges.filter(~few)))
+
+
+def _greedy_rounds(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     both = conflicts.select("hub", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("rival")), F.struct(F.col("b").alias("id"), F.col("a").alias("rival")))).alias("x")).select("hub", "x.*").distinct()
     open_ = cut_lineage(items)
     kept = None

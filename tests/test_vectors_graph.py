@@ -1,6 +1,7 @@
 """Neighbours, greedy choices, clusters and graph loops against NumPy."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import clusters, graph
@@ -238,3 +239,24 @@ def test_similar_pairs_through_the_tree(spark):
     got = {(r.a, r.b): r.score for r in v.similar_pairs(table(spark, x), 0.6, block=20, pivots=9).collect()}
     s = np.round(x @ x.T, 6)
     assert got == {(i, j): s[i, j] for i in range(150) for j in range(i + 1, 150) if s[i, j] >= 0.6}
+
+
+@pytest.mark.parametrize("together", [100_000, 4])
+def test_greedy_choice_is_the_walk(spark, together):
+    rng = np.random.default_rng(8)
+    items = [(h, i, float(rng.integers(0, 6))) for h in (1, 2) for i in range(25)]
+    conflicts = [(h, int(a), int(b)) for h in (1, 2) for a, b in rng.integers(0, 25, (14, 2)) if a < b]
+    lost, want = set(), []
+    for h, i, w in sorted(items, key=lambda x: (-x[2], x[1])):
+        if (h, i) not in lost:
+            want.append((h, i, w))
+            lost |= {(h, b if a == i else a) for k, a, b in conflicts if k == h and i in (a, b)}
+    got = v.greedy_independent(spark.createDataFrame(items, "hub long, id long, w double"), spark.createDataFrame(conflicts, "hub long, a long, b long"), together)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_greedy_choice_on_a_long_chain(spark):
+    n = 10_000
+    items = spark.range(n).select(F.lit(1).cast("long").alias("hub"), "id", (F.lit(float(n)) - F.col("id")).alias("w"))
+    chain = spark.range(n - 1).select(F.lit(1).cast("long").alias("hub"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert sorted(r.id for r in v.greedy_independent(items, chain).collect()) == list(range(0, n, 2))
