@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,42 +11,132 @@ from corpusloom.functions.scale import cut_lineage, top_k
 from corpusloom.operators import vectors as v
 
 
-def spherical_kmeans(vecs: DataFrame, k: int, seed: int = 17, weight: str | None = None, rounds: int = 40) -> tuple[DataFrame, DataFrame]:
-    """(id, cluster) and (cluster, centroid) of cosine k-means; empty clusters are not listed."""
-    rows = vecs.withColumn("features", array_to_vector("vec"))
-    km = KMeans(k=k, seed=seed, maxIter=rounds, distanceMeasure="cosine", predictionCol="cluster", tol=0.0)
-    if weight:
-        km = km.setWeightCol(weight)
-    model = km.fit(rows)
+def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each id, the same in every run."""
+    x = ids.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53 + 2.0**-54
+
+
+def _pick(vecs: DataFrame, chosen: list, how: str, seed: int, weight: str | None) -> tuple[int, list[float]]:
+    """The next start by one pass in which every task names its best vector.
+
+    ``++`` draws with probability proportional to the distance from the starts
+    so far: the least -log(u) / distance over all vectors, u by hash, is such a
+    draw.  ``farthest`` takes the largest distance, ties by id.
+    """
+    c = np.array([x for _, x in chosen], dtype=np.float64)
+
+    def best(batches):
+        top = None
+        for pdf in batches:
+            if len(pdf):
+                ids, x = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), dtype=np.float64)
+                d = np.maximum(np.round(1 - (x @ c.T).max(1), 9), 0) if len(c) else np.ones(len(x))
+                mass = d * (pdf[weight].to_numpy() if weight else 1.0)
+                with np.errstate(divide="ignore"):
+                    key = -d if how == "farthest" and len(c) else np.where(mass > 0, -np.log(_uniform(ids, seed + len(chosen))) / mass, np.inf)
+                i = np.lexsort((ids, key))[0]
+                if top is None or (key[i], ids[i]) < top[:2]:
+                    top = (float(key[i]), int(ids[i]), x[i].tolist())
+        if top:
+            yield pd.DataFrame({"key": [top[0]], "id": [top[1]], "vec": [top[2]]})
+
+    columns = ["id", "vec", *([weight] if weight else [])]
+    r = vecs.select(*columns).mapInPandas(best, "key double, id long, vec array<double>").orderBy("key", "id").first()
+    return r["id"], list(r["vec"])
+
+
+def starts(vecs: DataFrame, k: int, how: str = "++", seed: int = 17, weight: str | None = None) -> np.ndarray:
+    """Up to ``k`` starting centroids: ``++``, ``farthest`` or ``shuffle`` (by hash of the id)."""
+    if how == "shuffle":
+        rows = vecs.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("vec").limit(k).collect()
+        return np.array([r[0] for r in rows], dtype=np.float64)
+    chosen: list = []
+    for _ in range(min(k, vecs.count())):
+        chosen.append(_pick(vecs, chosen, how, seed, weight))
+    return np.array([x for _, x in chosen], dtype=np.float64)
+
+
+def _place(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Nearest centroid, the first of equally near ones."""
+    return np.round(x @ c.T, 9).argmax(1)
+
+
+def spherical_kmeans(vecs: DataFrame, k: int, seed: int = 17, weight: str | None = None, rounds: int = 40, start: str | np.ndarray = "++", empty: str = "keep") -> tuple[DataFrame, DataFrame]:
+    """(vecs, cluster) and (cluster, centroid) of cosine k-means on unit vectors.
+
+    A round is one pass: each task sums its vectors per cluster, the sums of a
+    cluster meet in Spark, and the driver gets ``k`` centroids and a checksum of
+    the assignment, which ends the rounds once it repeats.  ``empty`` clusters
+    ``keep`` their centroid, or ``farthest`` moves it to the vector farthest
+    from all centroids.
+    """
+    base = cut_lineage(vecs)
     spark = vecs.sparkSession
-    cents = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster long, centroid array<double>")
-    cents = cents.withColumn("centroid", v.normalise("centroid"))
-    return model.transform(rows).select(*vecs.columns, F.col("cluster").cast("long").alias("cluster")), cents
+    c = starts(base, k, start, seed, weight) if isinstance(start, str) else np.array(start, dtype=np.float64)
+    columns = ["id", "vec", *([weight] if weight else [])]
+    before = None
+    for i in range(rounds):
+
+        def sums(batches, c=c):
+            total, mass, mark = np.zeros_like(c), np.zeros(len(c)), np.zeros(len(c), np.uint64)
+            for pdf in batches:
+                if len(pdf):
+                    x, w = np.array(pdf["vec"].tolist(), dtype=np.float64), pdf[weight].to_numpy(np.float64) if weight else np.ones(len(pdf))
+                    at = _place(x, c)
+                    np.add.at(total, at, x * w[:, None])
+                    mass += np.bincount(at, weights=w, minlength=len(c))
+                    np.add.at(mark, at, (_uniform(pdf["id"].to_numpy(), 1) * 2**40).astype(np.uint64))
+            yield pd.DataFrame({"cluster": np.arange(len(c)), "total": list(total), "mass": mass, "mark": (mark & np.uint64((1 << 40) - 1)).astype(np.int64)})
+
+        def meet(pdf):
+            return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1], "total": [np.sum(pdf["total"].tolist(), axis=0)], "mass": [pdf["mass"].sum()], "mark": [int(pdf["mark"].sum())]})
+
+        kind = "cluster long, total array<double>, mass double, mark long"
+        rows = sorted(base.select(*columns).mapInPandas(sums, kind).groupBy("cluster").applyInPandas(meet, kind).collect(), key=lambda r: r.cluster)
+        c = c.copy()
+        for r in rows:
+            t = np.array(r.total)
+            if r.mass and np.linalg.norm(t):
+                c[r.cluster] = t / np.linalg.norm(t)
+        gone = [r.cluster for r in rows if not r.mass]
+        if empty == "farthest":
+            for j in gone:
+                live = [(None, x) for n, x in enumerate(c.tolist()) if n not in gone or n < j]
+                c[j] = _pick(base, live, "farthest", seed, None)[1]
+        marks = [(r.mark, r.mass) for r in rows]
+        if marks == before:
+            break
+        before = marks
+    schema = vecs.schema.simpleString()[7:-1] + ",cluster:bigint"
+
+    def placed(batches, c=c):
+        for pdf in batches:
+            if len(pdf):
+                pdf["cluster"] = _place(np.array(pdf["vec"].tolist(), dtype=np.float64), c)
+                yield pdf
+
+    cents = spark.createDataFrame([(i, x) for i, x in enumerate(c.tolist())], "cluster long, centroid array<double>")
+    return base.mapInPandas(placed, schema), cents
 
 
 def farthest_points(vecs: DataFrame, first: int, k: int) -> DataFrame:
     """(pick, seed): each next seed is the vector farthest from all seeds so far."""
-    at = vecs.filter(F.col("id") == first).select("vec").first()[0]
-    state = vecs.withColumn("d", F.lit(2.0))
-    picks = [first]
-    for i in range(k - 1):
-        here = F.array(*[F.lit(float(x)) for x in at])
-        state = state.withColumn("d", F.least("d", F.round(1 - v.dot("vec", here), 6)))
-        if i % 4 == 3:
-            state = cut_lineage(state)
-        best = state.select(F.min_by(F.struct("id", "vec"), F.struct(-F.col("d"), F.col("id")))).first()[0]
-        picks.append(best["id"])
-        at = best["vec"]
-    return vecs.sparkSession.createDataFrame(list(enumerate(picks, 1)), "pick int, seed long")
-
-
-def two_level(vecs: DataFrame, topics: int, sections: int) -> DataFrame:
+    chosen = [(first, list(vecs.filter(F.col("id") == first).select("vec").first()[0]))]
+    for _ in range(k - 1):
+        chosen.append(_pick(vecs, chosen, "farthest", 0, None))
+    return vecs.sparkSession.createDataFrame([(i, s) for i, (s, _) in enumerate(chosen, 1)], "pick int, seed long")
+
+
+def two_level(vecs: DataFrame, topics: int, sections: int, rounds: int = 60) -> DataFrame:
     """(id, topic, section, is_center): topics of the items, sections of the size-weighted topic centroids."""
-    first, cents = spherical_kmeans(vecs, topics)
+    first, cents = spherical_kmeans(vecs, topics, rounds=rounds)
     first = cut_lineage(first)
     sizes = first.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("w"))
     upper = cents.join(sizes, "cluster").select(F.col("cluster").alias("id"), F.col("centroid").alias("vec"), "w")
-    second, _ = spherical_kmeans(upper, sections, weight="w")
+    second, _ = spherical_kmeans(upper, sections, weight="w", rounds=rounds)
     named = first.join(cents, "cluster").withColumn("sim", v.dot("vec", "centroid"))
     center = named.groupBy("cluster").agg(F.min_by("id", F.struct(-F.col("sim"), F.col("id"))).alias("center"))
     out = named.join(center, "cluster").join(second.select(F.col("id").alias("cluster"), F.col("cluster").alias("section")), "cluster")

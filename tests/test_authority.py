@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from corpusloom.operators import clusters, graph
@@ -159,3 +160,39 @@ def test_two_level(spark):
         total = [sum(vecs[r.id][j] for r in mine) for j in range(4)]
         best = max(dot(vecs[r.id], total) for r in mine)
         assert len(centre) == 1 and dot(vecs[centre[0]], total) >= best - 0.05 * math.sqrt(dot(total, total))
+
+
+def test_kmeans_equals_plain_rounds_from_fixed_starts(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(90, 5)) + np.repeat(rng.normal(size=(6, 5)) * 2, 15, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.integers(1, 4, 90).astype(float)
+    start = np.vstack([x[:5], -x.mean(axis=0) / np.linalg.norm(x.mean(axis=0))])
+    for weight in (None, w):
+        c, before = start.copy(), None
+        for _ in range(40):
+            at = np.round(x @ c.T, 9).argmax(1)
+            for j in range(len(c)):
+                t = (x * (1.0 if weight is None else weight[:, None]))[at == j].sum(axis=0)
+                if (at == j).any():
+                    c[j] = t / np.linalg.norm(t)
+            if before is not None and (at == before).all():
+                break
+            before = at
+        rows = [(i, x[i].tolist(), float(w[i])) for i in range(90)]
+        df = spark.createDataFrame(rows, "id long, vec array<double>, w double")
+        members, cents = clusters.spherical_kmeans(df, 6, weight=None if weight is None else "w", start=start)
+        assert {r.id: r.cluster for r in members.collect()} == dict(enumerate(at.tolist()))
+        assert np.allclose([r.centroid for r in cents.orderBy("cluster").collect()], c)
+    moved, _ = clusters.spherical_kmeans(df, 6, start=np.vstack([x[:5], [-10.0, -10, -10, -10, -10]]) / 1, empty="farthest")
+    assert moved.select("cluster").distinct().count() == 6
+
+
+def test_starts_of_kmeans(spark):
+    x = np.vstack([np.repeat(np.eye(4), 10, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    for how in ("++", "farthest"):
+        assert sorted(map(tuple, clusters.starts(df, 4, how))) == sorted(map(tuple, np.eye(4)))
+    assert clusters.starts(df, 6, "shuffle").shape == (6, 4)
+    draws = [int(clusters.starts(df, 1, "++", seed=s)[0].argmax()) for s in range(12)]
+    assert len(set(draws)) > 1
