@@ -12,8 +12,9 @@ shingles fall on i) and its prefix.  Equal sets are folded by name.
    fingerprints missed.  The order puts shingles that a sample shows to be
    frequent last, which keeps their lists short; it has no effect on the result.
    Prefixes travel packed, by ranges of shingles.
-3. Of a list too long for all its pairs, each member meets the first one, and
-   later all members of other groups, in blocks.
+3. A list too long for all its pairs is compared in blocks by parities.  In two
+   rounds each set is verified against the nearest one of another group, from
+   short and long lists alike, and at last all that is left between groups.
 
 No pair reaches its texts before sizes and parities allow it: sets that differ
 in d shingles differ in at most d parities.  What is left is compared shingle
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.scale import null_safe_join, shuffle_width
 from corpusloom.llm import near_dup
-from corpusloom.llm.common import discard, stored, text_key, text_of
+from corpusloom.llm.common import discard, release, stored, text_key, text_of
 from corpusloom.operators.graph import components
 
 WORDS = 5
@@ -255,8 +256,49 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return at.filter(F.coalesce("_a", "src") != F.coalesce("_b", "dst")).drop("_a", "_b")
 
 
-def long_list_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    """(src, dst): possible pairs of different components in lists (a: shingle, b: set).
+def fold(sig: bytes, size: int) -> np.ndarray:
+    """Parities of ``size`` bytes, as words, from twice as many or the same."""
+    x = np.frombuffer(sig, "<u8")
+    return x if len(sig) == size else x[: len(x) // 2] ^ x[len(x) // 2 :]
+
+
+def compared(n: np.ndarray, c: np.ndarray, sigs: list[bytes], other: np.ndarray | None, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the possible pairs of different components ``c``; with
+    ``other``, of different values there only; with ``nearest``, for each place
+    only the pair that differs least."""
+    size = np.array([len(x) for x in sigs])
+    best = np.full(len(n), np.iinfo(np.int64).max)
+    mate = np.full(len(n), -1)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(size):  # sets whose sizes allow a link have parities of the same or of twice the length
+        rows, cols = np.flatnonzero(size == w), np.flatnonzero((size == w) | (size == 2 * w))
+        x, y = (np.stack([fold(sigs[i], w) for i in at]) for at in (rows, cols))
+        for lo in range(0, len(rows), max(1, (1 << 22) // (len(cols) * (w // 8)))):
+            at = rows[lo : lo + max(1, (1 << 22) // (len(cols) * (w // 8)))]
+            d = np.bitwise_count(x[lo : lo + len(at), None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+            both = n[at][:, None] + n[cols][None, :]
+            ok = (9 * d <= both) & (9 * np.abs(n[at][:, None] - n[cols][None, :]) <= both) & (c[at][:, None] != c[cols][None, :])
+            ok &= (size[cols] > w)[None, :] | (at[:, None] < cols[None, :])
+            if other is not None:
+                ok &= other[at][:, None] != other[cols][None, :]
+            i, j = np.nonzero(ok)
+            i, j, d = at[i], cols[j], d[i, j]
+            if nearest:
+                for p, q in ((i, j), (j, i)):
+                    order = np.lexsort((q, d, p))
+                    first = order[np.unique(p[order], return_index=True)[1]]
+                    better = first[d[first] < best[p[first]]]
+                    best[p[better]], mate[p[better]] = d[better], q[better]
+            else:
+                left.append(i), right.append(j)
+    if nearest:
+        return np.flatnonzero(mate >= 0), mate[mate >= 0]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def long_list_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame, nearest: bool = False) -> DataFrame:
+    """(src, dst): possible pairs of different components in lists (a: shingle, b: set),
+    all of them or the ``nearest`` of each set.
 
     Lists of the same members count once; a list is compared in blocks, and a
     row of a block pair gives only what sizes, parities and components allow.
@@ -270,20 +312,10 @@ def long_list_pairs(members: DataFrame, nodes: DataFrame, comp: DataFrame) -> Da
     dealt = at.select("a", "node", "n", "sig", "c", mine.alias("mine"), F.explode(cell).alias("cell"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
         node, n, c, block = (t[x].to_numpy() for x in ("node", "n", "c", "mine"))
-        sig = t["sig"].to_pylist()
         alone = t["i"][0].as_py() == t["j"][0].as_py()
-        src, dst = [], []
-        for k in range(len(node)):
-            rest = np.arange(k + 1, len(node))
-            fit = (c[rest] != c[k]) & (9 * np.abs(n[rest] - n[k]) <= n[rest] + n[k])
-            if not alone:
-                fit &= block[rest] != block[k]
-            for o in rest[fit].tolist():
-                if may_link(int(n[k]), sig[k], int(n[o]), sig[o]) is not None:
-                    src.append(node[k]), dst.append(node[o])
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+        i, j = compared(n.astype(np.int64), c, t["sig"].to_pylist(), None if alone else block, nearest)
+        return pa.table({"src": pa.array(np.minimum(node[i], node[j]), pa.int64()), "dst": pa.array(np.maximum(node[i], node[j]), pa.int64())})
 
     rows = dealt.select("a", "node", "n", "sig", "c", "mine", "cell.i", "cell.j")
     return rows.groupBy("a", "i", "j").applyInArrow(run, "src long, dst long").distinct()
@@ -319,15 +351,24 @@ def near_copies(docs: DataFrame, radius: int = 4, one_in: int = 64, least: int =
             if not state["links"].isEmpty():
                 state["comp"] = components(state["links"])
         discard(pairs)
+        release(spark)
 
     take(possible(fingerprint_pairs(nodes, radius), nodes))
-    left = stored(possible(across(met.filter("not long").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), state["comp"]), nodes), "possible")
-    nearest = left.select("src", "dst", "d", F.explode(F.array("src", "dst")).alias("of")).groupBy("of").agg(F.min(F.struct("d", "src", "dst")).alias("p"))
-    take(nearest.select("p.src", "p.dst").distinct())
-    take(across(left.select("src", "dst"), state["comp"]))
+    few = stored(possible(across(met.filter("not long").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), state["comp"]), nodes), "possible")
     many = met.filter("long").select("a", "b")
-    if not many.isEmpty():
-        take(long_list_pairs(many, nodes, state["comp"]))
+    no_long = many.isEmpty()
+    tested = None
+    for nearest in (True, True, False):  # what two rounds join is not compared in full
+        pairs = across(few, state["comp"])
+        if nearest:
+            pairs = pairs.select("src", "dst", "d", F.explode(F.array("src", "dst")).alias("of")).groupBy("of").agg(F.min(F.struct("d", "src", "dst")).alias("p")).select("p.src", "p.dst")
+        pairs = pairs.select("src", "dst")
+        if not no_long:
+            pairs = pairs.unionByName(long_list_pairs(many, nodes, state["comp"], nearest))
+        pairs = pairs.distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["src", "dst"], "left_anti"), "pairs")
+        take(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
     return marked.join(state["comp"], "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("label"))
 
 

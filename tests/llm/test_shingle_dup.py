@@ -119,4 +119,11 @@ def test_long_list_pairs_alone(spark, monkeypatch):
     comp = spark.createDataFrame([(i, 0) for i in range(5)], "node long, component long")
     got = sorted((r.src, r.dst) for r in sd.long_list_pairs(members, nodes, comp).collect())
     fit = lambda i, j: sd.may_link(len(sets[i]), sd.parities(sets[i]), len(sets[j]), sd.parities(sets[j])) is not None
-    assert got == [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if not (i < 5 and j < 5) and fit(i, j)]
+    want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if not (i < 5 and j < 5) and fit(i, j)]
+    assert got == want
+    near = {(r.src, r.dst) for r in sd.long_list_pairs(members, nodes, comp, nearest=True).collect()}
+    least = lambda i, j: sd.least_difference(sd.parities(sets[i]), sd.parities(sets[j]))
+    assert near <= set(want)
+    for i in {x for p in want for x in p}:
+        d = min(least(*p) for p in want if i in p)
+        assert any(least(*p) == d for p in near if i in p)
