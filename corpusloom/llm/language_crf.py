@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.scale import top_k
-from corpusloom.llm.common import Words, fold_of, mix64, pieces, text_column, text_key, text_of
+from corpusloom.llm.common import Words, fold_of, mix64, pieces, stored, text_column, text_key, text_of
 
 BITS = 16
 BLOCK = 64
@@ -275,6 +275,7 @@ def train(docs: DataFrame, rows_per_label: int = 400, folds: int = 4, held: int
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(fold_of("doc_id", folds) != held)
     rows = rows.select("lang", "text", F.xxhash64("doc_id", text_key()).alias("key"), (F.length("text") > most_chars).alias("long"))
     chosen = top_k(rows.select("lang", "long", "key").distinct(), ["lang"], ["long", "key"], rows_per_label)
+    chosen = stored(chosen, "sample-keys")  # of known size: texts are not shuffled unless there are very many languages
     place = F.pmod("key", F.greatest(F.length("text") - most_chars, F.lit(0)) + 1).cast("int")
     sample = rows.join(chosen, ["lang", "long", "key"]).withColumn("text", F.substring("text", place + 1, F.lit(most_chars)))
     sample = sample.dropDuplicates(["lang", "key"]).orderBy("key", "lang").select("lang", "text").collect()
