@@ -69,7 +69,10 @@ class TrailingCounts(StatefulProcessor):
 
 
 def keyed_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str) -> DataFrame:
-    """``df`` by ``key`` through a processor; its states need the RocksDB store."""
+    """``df`` by ``key`` through a processor; its states need the RocksDB store.
+    Clock time would ask for batches without data for ever, so a run over what
+    is available would not end; what has expired goes with the next data instead."""
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", time_mode)
 
@@ -172,7 +175,7 @@ class Schedule(StatefulProcessor):
             ease = max(EASE_FLOOR, ease + change)
             lapses, reps = lapses + int(g == 0), reps + 1
             due = float(ms) + (MINUTE_MS if g == 0 else interval * DAY_MS)
-        self.card.update((ease, interval, lapses, reps, due))
+        self.card.update((float(ease), float(interval), int(lapses), int(reps), float(due)))  # a state takes no other type for its own
         yield pd.DataFrame({"key": [key[0]], "ease": [round(ease, 9)], "interval": [interval], "lapses": [lapses], "reps": [reps], "due": [due]})
 
     def close(self) -> None:
