@@ -67,21 +67,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "item_words", "share")
 
 
-OP8_SQL = """
-WITH sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size FROM documents
-), src AS (
-  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM sized GROUP BY source
-), lvl AS (
-  SELECT *, (sum(source_size) OVER () - (sum(3 * source_size) OVER o - 3 * source_size))::DOUBLE
-            / (sum(w) OVER () - (sum(w) OVER o - w)) AS level
-  FROM src WINDOW o AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
-), lam AS (SELECT max(level) AS level FROM lvl)
-SELECT d.doc_id, d.size::BIGINT AS size, s.source_size, least(lam.level * s.w, 3 * s.source_size)::DOUBLE AS target
-FROM sized d JOIN src s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN lam
-"""
-
-
 @query("op8_mixture_schedule")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
