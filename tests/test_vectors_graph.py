@@ -256,7 +256,7 @@ def test_greedy_choice_is_the_walk(spark, together):
 
 
 def test_greedy_choice_on_a_long_chain(spark):
-    n = 10_000
+    n = 1_000
     items = spark.range(n).select(F.lit(1).cast("long").alias("hub"), "id", (F.lit(float(n)) - F.col("id")).alias("w"))
     chain = spark.range(n - 1).select(F.lit(1).cast("long").alias("hub"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert sorted(r.id for r in v.greedy_independent(items, chain).collect()) == list(range(0, n, 2))
