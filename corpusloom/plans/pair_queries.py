@@ -381,12 +381,12 @@ def c25_index(spark, sf):
 @query(
     "c25_index_phrases",
     f"""WITH {D}, w AS (SELECT item_id AS qid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS nth FROM (SELECT item_id, {tb.words_sql('text')} AS ws FROM benchmark)), q AS (SELECT qid, nth - 2 AS nth, {tb.fold_sql('w')} AS term FROM w WHERE nth BETWEEN 2 AND 5 AND {tb.fold_sql('w')} <> ''), n AS (SELECT qid, count(*) AS want FROM q GROUP BY 1),
- v AS (SELECT q.qid, t.unit_id, t.tok_no - q.nth AS at FROM q JOIN tok t ON t.subkey = q.term) SELECT qid, unit_id, at FROM v JOIN n USING (qid) GROUP BY qid, unit_id, at, want HAVING count(*) = want""",
+ v AS (SELECT q.qid, t.unit_id, t.tok_no - q.nth AS start FROM q JOIN tok t ON t.subkey = q.term) SELECT qid, unit_id, start FROM v JOIN n USING (qid) GROUP BY qid, unit_id, start, want HAVING count(*) = want""",
 )
 def c25_phrases(spark, sf):
     """The third to sixth word of every item, wherever they stand in this order."""
     four = benchmark_terms(spark, sf).filter("nth BETWEEN 2 AND 5").withColumn("nth", F.col("nth") - 2)
-    return corpus_index(spark, sf).phrases(four)
+    return corpus_index(spark, sf).phrases(four).withColumnRenamed("at", "start")
 
 
 @query(
