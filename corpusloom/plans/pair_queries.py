@@ -386,7 +386,7 @@ def c25_index(spark, sf):
 def c25_phrases(spark, sf):
     """The third to sixth word of every item, wherever they stand in this order."""
     four = benchmark_terms(spark, sf).filter("nth BETWEEN 2 AND 5").withColumn("nth", F.col("nth") - 2)
-    return corpus_index(spark, sf).phrases(four).withColumnRenamed("at", "start")
+    return corpus_index(spark, sf).phrases(four).select("qid", "unit_id", F.col("at").cast("long").alias("start"))
 
 
 @query(
