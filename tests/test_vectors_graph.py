@@ -241,6 +241,41 @@ def test_similar_pairs_through_the_tree(spark):
     assert got == {(i, j): s[i, j] for i in range(150) for j in range(i + 1, 150) if s[i, j] >= 0.6}
 
 
+def test_knn_sends_a_vector_once_per_group(spark):
+    """Random vectors of many dimensions, of which no leaf can be ruled out."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def written():
+        ex = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(ex.apply(i).totalShuffleWrite() for i in range(ex.size()))
+
+    vecs = v.cut_lineage(table(spark, x))
+    before = written()
+    got = {}
+    for r in v.knn(vecs, 3, block=500).collect():
+        got.setdefault(r.id, []).append((r.rank, r.other))
+    assert written() - before < 100e6  # 6,000 vectors of 512 bytes, sent to 78 leaves: 240 MB
+    s = np.round(x @ x.T, 6)
+    np.fill_diagonal(s, -9)
+    assert all([o for _, o in sorted(got[i])] == list(np.lexsort((np.arange(len(x)), -s[i]))[:3]) for i in range(0, 6000, 50))
+
+
+def test_crowded_leaves_and_ties(spark):
+    """More equal vectors than a group holds: ties go by the smaller id."""
+    x = unit(300, seed=2)
+    x[40:240] = x[40]
+    s = np.round(x @ x.T, 6)
+    np.fill_diagonal(s, -9)
+    got = {}
+    for r in v.knn(table(spark, x), 4, block=30, pivots=5).collect():
+        got.setdefault(r.id, []).append((r.rank, r.other, r.score))
+    assert {i: [(o, c) for _, o, c in sorted(g)] for i, g in got.items()} == {i: [(int(j), s[i, j]) for j in np.lexsort((np.arange(300), -s[i]))[:4]] for i in range(300)}
+    pairs = [(r.a, r.b) for r in v.similar_pairs(table(spark, x), 0.9, block=30, pivots=5).collect()]
+    assert sorted(pairs) == [(i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.9]
+
+
 @pytest.mark.parametrize("together", [100_000, 4])
 def test_greedy_choice_is_the_walk(spark, together):
     rng = np.random.default_rng(8)
