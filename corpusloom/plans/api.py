@@ -65,11 +65,7 @@ class Corpus:
         return pairs.partners(self.tokens, key, floor, limit)
 
     def totals(self) -> DataFrame:
-        t = self.tokens
-        return stats.summary_rows({
-            "groups": t.select("grp").distinct(), "units": self.units, "tokens": t,
-            "keys": t.select("key").dropna().distinct(), "subkeys": t.select("subkey").dropna().distinct(),
-        })
+        return stats.corpus_totals(self.tokens, self.units)
 
     def views(self) -> dict[str, DataFrame]:
         t = self.tokens

@@ -33,9 +33,7 @@ def a02(spark, sf):
 
 @query("a03_frequencies", f"WITH {D} SELECT 'form' AS what, surface AS item, count(*) AS n FROM tok GROUP BY 2 UNION ALL SELECT 'subkey', subkey, count(*) FROM tok WHERE subkey IS NOT NULL GROUP BY 2")
 def a03(spark, sf):
-    t = tb.doc_tokens(spark, sf)
-    a = st.frequency(t, "surface").select(F.lit("form").alias("what"), F.col("surface").alias("item"), "n")
-    return a.unionByName(st.frequency(t, "subkey").select(F.lit("subkey").alias("what"), F.col("subkey").alias("item"), "n"))
+    return st.frequencies(tb.doc_tokens(spark, sf), {"form": "surface", "subkey": "subkey"})
 
 
 PROFILE = f"""{D}, g AS (SELECT DISTINCT source AS grp FROM documents), tg AS (SELECT grp, count(*) AS tokens, count(DISTINCT key) AS keys FROM tok GROUP BY grp),
@@ -129,11 +127,7 @@ def a11b(spark, sf):
  UNION ALL SELECT 'keys', count(DISTINCT key) FROM tok UNION ALL SELECT 'subkeys', count(DISTINCT subkey) FROM tok""",
 )
 def a12(spark, sf):
-    t = tb.doc_tokens(spark, sf)
-    return st.summary_rows({
-        "groups": t.select("grp").distinct(), "units": tb.load(spark, sf, "documents"), "tokens": t,
-        "keys": t.select("key").dropna().distinct(), "subkeys": t.select("subkey").dropna().distinct(),
-    })
+    return st.corpus_totals(tb.doc_tokens(spark, sf), tb.load(spark, sf, "documents"))
 
 
 @query("a13_dominant_category", f"WITH {B}, c AS (SELECT subkey, tag, count(*) AS n FROM tok GROUP BY 1,2) SELECT subkey, tag, n FROM (SELECT *, row_number() OVER (PARTITION BY subkey ORDER BY n DESC, tag) AS r FROM c) WHERE r = 1")

@@ -75,3 +75,19 @@ def test_chunks_and_clauses(spark):
     c = spark.createDataFrame([("x y, z", 3), ("x, , y", 2), ("x y", 3)], "t string, n int")
     got = [r[0] for r in c.select(textops.clause_ranges(F.col("t"), F.col("n"), "[a-z]", ",")).collect()]
     assert [[tuple(p) for p in g] if g is not None else None for g in got] == [[(1, 2), (3, 3)], [(1, 1), (2, 2)], None]
+
+
+def test_folded_words_are_the_folds_of_the_words(spark):
+    texts = ["  Ein  Größe--\t-- naïve\r\n\nΣΟΦΟΣ œuvre İstanbul", "a b c\x0bd", "", "--", None, "Übunǵ x"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "id int, s string")
+    plain = F.transform(tx.words(F.col("s")), lambda w: F.struct(w.alias("surface"), tx.fold(w, "latin").alias("fold")))
+    for r in df.select(tx.folded_words(F.col("s")).alias("got"), plain.alias("want")).collect():
+        assert r.got == r.want
+
+
+def test_document_tokens_are_folded_once(spark):
+    """A filter on a folded column and two columns of it run the pattern once per text."""
+    from corpusloom.plans import tables as tb
+
+    t = tb.doc_tokens(spark, "/root/testdata/sf0.001").filter("key IS NOT NULL").select("key", "subkey")
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
