@@ -91,3 +91,17 @@ def test_document_tokens_are_folded_once(spark):
 
     t = tb.doc_tokens(spark, "/root/testdata/sf0.001").filter("key IS NOT NULL").select("key", "subkey")
     assert t._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_normalise_keeps_settled_texts_out_of_python(spark):
+    import unicodedata
+
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    joins = {unicodedata.normalize("NFD", c)[-1] for c in points if len(unicodedata.normalize("NFD", c)) > 1}
+    sent = {r.c for r in spark.createDataFrame([(c,) for c in points], "c string").filter(F.col("c").rlike(tx.UNSETTLED)).collect()}
+    assert not [c for c in points if c not in sent and (unicodedata.normalize("NFC", c) != c or unicodedata.combining(c) or c in joins)]
+    assert not [c for c in map(chr, range(1, 0x300)) if c in sent]
+    texts = ["\u2003 e\u0301t\u00e9 \x1c\x85", "  plain\n", "", None, "a" + " " * 50_000 + "b \n", "\u1100\u1161", "\u212b \u2000x", "\ufeffx "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.t for r in tx.normalise_columns(df, ["t"]).collect()}
+    assert got == {i: t and unicodedata.normalize("NFC", t.strip()) for i, t in enumerate(texts)}
