@@ -53,3 +53,16 @@ def test_near_duplicates_within_hubs_by_blocks(spark):
     got = {tuple(r) for r in vectors._close_within(df, spark.createDataFrame(vecs, "id long, vec array<double>"), 0.9, block=7).collect()}
     cos = lambda a, b: round(sum(x * y for x, y in zip(vecs[a][1], vecs[b][1])), 6)
     assert got == {(h, a, b) for h, a in items for g, b in items if g == h and a < b and cos(a, b) > 0.9}
+
+
+def test_components_of_a_shuffled_chain_take_few_rounds(spark, monkeypatch):
+    n, tables = 300, []
+    for name in ("cut_lineage", "kept"):
+        real = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda df, *rest, real=real: tables.append(1) or real(df, *rest))
+    ids = list(range(n))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    got = graph.components(edges)
+    assert {(r.node, r.component) for r in got.collect()} == {(i, 0) for i in ids}
+    assert len(tables) <= 24  # two tables a round
