@@ -10,6 +10,7 @@ fewer than it has blocks (the discrepancy) has the rest appended at the end.
 
 Running sums, ranks and the search in the cumulative shares are sorts over
 range partitions, so neither a large source nor many sources meet in one task.
+Each step is stored, so that the driver never holds one plan of all of them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scale import null_safe_join, ordinal, scan
-from corpusloom.llm.common import WORD, stored, text_key, text_of
+from corpusloom.llm.common import WORD, release, stored, text_key, text_of
 
 GOLDEN = 0.6180339887498949
 
@@ -48,7 +49,7 @@ def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
 def schedule(aims: DataFrame, block: int) -> DataFrame:
     """(sid, rank, slot): the slot of each block of each source, from 1."""
     need = aims.select("sid", F.ceil(F.round("target") / block).cast("long").alias("blocks")).filter("blocks > 0")
-    need = scan(need, [], ["sid"], {"_before": ("sum", F.col("blocks"))}, before_only=True)
+    need = stored(scan(need, [], ["sid"], {"_before": ("sum", F.col("blocks"))}, before_only=True), "blocks")
     total = need.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     edges = need.select((F.coalesce("_before", F.lit(0)) / F.lit(max(total, 1))).alias("x"), F.lit(0).cast("long").alias("slot"), "sid")
     spark = aims.sparkSession
@@ -56,7 +57,7 @@ def schedule(aims: DataFrame, block: int) -> DataFrame:
     points = spark.range(1, total + 1).select((k * GOLDEN - F.floor(k * GOLDEN)).alias("x"), k.alias("slot"), F.lit(None).cast(edges.schema["sid"].dataType).alias("sid"))
     # the last edge at or before a point names its source
     placed = scan(edges.unionByName(points), [], ["x", "slot"], {"of": ("max", F.col("sid"))})
-    ranked = ordinal(placed.filter("slot > 0").select(F.col("of").alias("sid"), "slot"), ["slot"], ["sid"], "rank")
+    ranked = stored(ordinal(placed.filter("slot > 0").select(F.col("of").alias("sid"), "slot"), ["slot"], ["sid"], "rank"), "ranked-slots")
     got = ranked.groupBy("sid").agg(F.max("rank").alias("got"))
     late = need.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < blocks")
     late = late.select("sid", F.explode(F.sequence(F.col("got") + 1, F.col("blocks"))).alias("rank"))
@@ -78,10 +79,12 @@ def mix(docs: DataFrame, cap: int = 3, block: int = 512) -> DataFrame:
     rows = docs.select("doc_id", text_key().alias("text_key"), "source", F.expr(f"regexp_count(coalesce(text, ''), r'{WORD}')").cast("long").alias("size"))
     rows = stored(rows, "sizes")
     aims = stored(targets(rows, cap), "targets")
-    slots = schedule(aims, block)
+    slots = stored(schedule(aims, block), "slots")
+    release(docs.sparkSession)
     sized = null_safe_join(rows, aims, ["source"], "inner")
     order = [F.xxhash64("doc_id", "text_key"), "doc_id", "text_key", "size"]
-    at = scan(sized, ["sid"], order, {"_end": ("sum", F.col("size")), "_pos": ("sum", F.lit(1).cast("long"))})
+    at = stored(scan(sized, ["sid"], order, {"_end": ("sum", F.col("size")), "_pos": ("sum", F.lit(1).cast("long"))}), "streams")
+    release(docs.sparkSession)
     begin, end, want = F.col("_end") - F.col("size") + F.col("_turn") * F.col("source_size"), F.col("_end") + F.col("_turn") * F.col("source_size"), F.round("target").cast("long")
     turns = at.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)).cast("array<long>")))
     turns = turns.withColumn("_from", begin).withColumn("_to", F.least(end, want))

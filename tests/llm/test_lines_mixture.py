@@ -103,3 +103,10 @@ def test_odd_mix(odd_docs, no_docs):
     docs = mx.mixed_documents(odd_docs)
     assert set(docs.columns) >= set(odd_docs.columns) and docs.filter("doc_id = 6").count() == 1
     assert mx.mix(no_docs).count() == 0 and mx.mixed_documents(no_docs).count() == 0
+
+
+def test_mix_ends_in_a_short_plan(spark):
+    """The driver holds one step at a time, not the plan of all of them."""
+    docs = spark.createDataFrame([(i, "a b c " * (i + 1), "s" + str(i % 3)) for i in range(30)], "doc_id long, text string, source string")
+    plan = mx.mix(docs, block=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6
