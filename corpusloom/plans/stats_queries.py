@@ -164,10 +164,8 @@ def a14(spark, sf):
  UNION ALL SELECT side, 'next_th', 'yes', count(*) FROM s WHERE starts_with(nx, 'th') GROUP BY 1 UNION ALL SELECT side, 'total', 'all', count(*) FROM s GROUP BY 1""",
 )
 def a15(spark, sf):
-    from corpusloom.operators.model import next_token
-
     seeds = spark.createDataFrame(SIDES, "side string, subkey string")
-    t = next_token(tb.doc_tokens(spark, sf), ["unit_id"], ["surface"])
+    t = tb.doc_tokens_with_next(spark, sf)
     c = F.col
     return st.usage_map(t, seeds, {"group": c("grp"), "language": c("attr"), "form": c("surface")}, {"next_th": F.startswith("next_surface", F.lit("th"))})
 

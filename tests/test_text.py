@@ -105,3 +105,13 @@ def test_normalise_keeps_settled_texts_out_of_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     got = {r.id: r.t for r in tx.normalise_columns(df, ["t"]).collect()}
     assert got == {i: t and unicodedata.normalize("NFC", t.strip()) for i, t in enumerate(texts)}
+
+
+def test_usage_map_takes_the_next_token_without_a_join(spark):
+    from corpusloom.plans import tables
+
+    rows = tables.doc_tokens_with_next(spark, "/root/testdata/sf0.001")
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    tokens = tables.doc_tokens(spark, "/root/testdata/sf0.001")
+    assert rows.count() == tokens.count()
+    assert rows.filter("next_surface IS NULL").count() == tokens.select("unit_id").distinct().count()
