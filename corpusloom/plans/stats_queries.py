@@ -135,11 +135,7 @@ def a13(spark, sf):
     return st.dominant(tb.basket(spark, sf), "subkey", "tag")
 
 
-def side_tokens(spark, sf):
-    """Document tokens tagged by language; two sides of seed words."""
-    return tb.doc_tokens(spark, sf).filter("subkey IS NOT NULL").withColumn("tag", F.col("attr"))
-
-
+# two sides of seed words; a document's language is the tag of its words
 SIDES = [("a", "thention"), ("a", "that"), ("b", "with"), ("b", "from")]
 SIDES_SQL = "seeds AS (SELECT * FROM (VALUES " + ", ".join(map(str, SIDES)) + ") t(side, subkey))"
 COLL = f"""{D}, {SIDES_SQL}, dm AS (SELECT subkey FROM (SELECT subkey, attr, row_number() OVER (PARTITION BY subkey ORDER BY count(*) DESC, attr) AS r FROM tok WHERE subkey IS NOT NULL GROUP BY 1,2) WHERE r = 1 AND attr NOT IN ('fr','es')),
@@ -148,8 +144,8 @@ COLL = f"""{D}, {SIDES_SQL}, dm AS (SELECT subkey FROM (SELECT subkey, attr, row
 
 
 def coll(spark, sf):
-    seeds = spark.createDataFrame(SIDES, "side string, subkey string")
-    return st.collocates(side_tokens(spark, sf), seeds, ["unit_id"], ["fr", "es"])
+    rows = tb.doc_folds(spark, sf).select(F.col("attr").alias("tag"), "items")
+    return st.collocates_in_rows(rows, SIDES, ["fr", "es"])
 
 
 @query("a14_collocates", f"WITH {COLL} SELECT side, subkey, n FROM coll")
@@ -249,7 +245,8 @@ def a25(spark, sf):
 
 @query("a26_document_frequency", f"WITH {D}, d AS (SELECT key, count(DISTINCT unit_id) AS df FROM tok WHERE key IS NOT NULL GROUP BY key) SELECT key, df, df < 5 AS rare, df > 0.15 * (SELECT count(*) FROM documents) AS stop FROM d")
 def a26(spark, sf):
-    d = st.document_frequency(tb.doc_tokens(spark, sf), ["unit_id"])
+    rows = tb.doc_folds(spark, sf).select(F.transform("items", lambda w: F.substring(w, 1, 4)).alias("items"))
+    d = st.document_frequency_in_rows(rows)
     total = tb.load(spark, sf, "documents").agg(F.count(F.lit(1)))
     return d.withColumn("t", total.scalar()).select("key", "df", (F.col("df") < 5).alias("rare"), (F.col("df") > 0.15 * F.col("t")).alias("stop"))
 
