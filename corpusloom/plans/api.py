@@ -12,10 +12,10 @@ from corpusloom.operators import model, pairs, stats
 class Corpus:
     """Lookups over tokens (unit_id, grp, tok_no, surface, key, subkey), units
     (unit_id, grp, text) and, where there are any, segments (unit_id, tok_no,
-    seg_no, ...)."""
+    seg_no, ...).  ``bags`` may give the keys of each unit in one row (items)."""
 
-    def __init__(self, spark: SparkSession, tokens: DataFrame, units: DataFrame, segments: DataFrame | None = None):
-        self.spark, self.tokens, self.units, self.segments = spark, tokens, units, segments
+    def __init__(self, spark: SparkSession, tokens: DataFrame, units: DataFrame, segments: DataFrame | None = None, bags: DataFrame | None = None):
+        self.spark, self.tokens, self.units, self.segments, self.bags = spark, tokens, units, segments, bags
 
     def groups(self) -> DataFrame:
         """(grp, units, tokens) of every group, in order."""
@@ -62,6 +62,8 @@ class Corpus:
         return model.top_rows(stats.key_frequency(self.tokens), [F.desc("occurrences"), "key"], n)
 
     def cooccurring(self, key: str, floor: int = 2, limit: int = 30) -> DataFrame:
+        if self.bags is not None:
+            return pairs.partners_in_rows(self.bags, key, floor, limit)
         return pairs.partners(self.tokens, key, floor, limit)
 
     def totals(self) -> DataFrame:
