@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph
+from corpusloom.operators import graph, pairs, vectors
 
 
 def shuffled(spark, work):
@@ -30,3 +30,21 @@ def test_hops_of_many_sources_move_bits(spark):
         want |= {(s, n): h for n, h in dist.items()}
     assert {(r.source, r.node): r.hops for r in rows} == want and len(rows) == len(want)
     assert size < 6_000_000
+
+
+def test_whole_sums_are_those_by_component(spark):
+    vecs = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.sin(F.col("id") * i)).alias("vec"))
+    members = spark.range(400).select(F.when(F.col("id") < 300, 1).otherwise(F.col("id") % 7).alias("node"), "id")  # one crowded group
+    got = {r.node: r.sum for r in vectors.whole_sums(members, vecs, "node", most=16).collect()}
+    want = {r.node: r.sum for r in vectors.vector_sums(members.join(vecs, "id"), ["node"]).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for n in got for a, b in zip(got[n], want[n]))
+
+
+def test_rare_key_sets_are_the_rare_rows(spark):
+    rows = [(u, k) for u in range(30) for k in range(12) if (u * k) % 11 < k] + [(1, None), (2, 3), (2, 3)]
+    t = spark.createDataFrame(rows, "unit_id long, key long")
+    k = t.dropna().distinct()
+    want = pairs.key_sets(k, k.groupBy("key").agg(F.count(F.lit(1)).alias("n")), 15).filter("rare").collect()
+    got = pairs.rare_key_sets(t, 15).collect()
+    each = lambda found: sorted((r.unit_id, r.key, r.rare) for r in found)
+    assert want and each(got) == each(want)
