@@ -48,3 +48,22 @@ def test_rare_key_sets_are_the_rare_rows(spark):
     got = pairs.rare_key_sets(t, 15).collect()
     each = lambda found: sorted((r.unit_id, r.key, r.rare) for r in found)
     assert want and each(got) == each(want)
+
+
+def test_null_model_sends_slots_once(spark):
+    links = spark.range(4000).select((F.col("id") % 700).alias("src"), ((F.col("id") * 37) % 501).alias("dst")).distinct()
+    themes = spark.range(501).select("id", (F.col("id") % 9).alias("theme"))
+    rows, size = shuffled(spark, lambda: graph.null_model(links, themes, 4, runs=8, block=64))
+    whole = {r.run: r.top for r in graph.null_model(links, themes, 4, runs=8).collect()}
+    assert {r.run: r.top for r in rows} == whole and len(whole) == 9
+    # the same by a plain sort of every run
+    l = links.join(themes.withColumnRenamed("id", "dst"), "dst").orderBy("src", "dst").collect()
+    every = spark.createDataFrame([(run, i + 1) for run in range(1, 9) for i in range(len(l))], "run int, slot long")
+    hashed = every.select("run", "slot", F.xxhash64(F.lit(7), "run", "slot").alias("h")).orderBy("run", "h", "slot").collect()
+    for run in range(1, 9):
+        order = [r.slot - 1 for r in hashed if r.run == run]
+        spread = {}
+        for i, at in enumerate(order):
+            spread.setdefault(l[i].src, set()).add(l[at].theme)
+        assert whole[run] == sum(len(s) >= 4 for s in spread.values())
+    assert size < 1_000_000
