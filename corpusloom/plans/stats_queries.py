@@ -33,7 +33,7 @@ def a02(spark, sf):
 
 @query("a03_frequencies", f"WITH {D} SELECT 'form' AS what, surface AS item, count(*) AS n FROM tok GROUP BY 2 UNION ALL SELECT 'subkey', subkey, count(*) FROM tok WHERE subkey IS NOT NULL GROUP BY 2")
 def a03(spark, sf):
-    return st.frequencies(tb.doc_tokens(spark, sf), {"form": "surface", "subkey": "subkey"})
+    return st.frequencies(tb.doc_shapes(spark, sf), {"form": "surface", "subkey": "subkey"}, "n")
 
 
 PROFILE = f"""{D}, g AS (SELECT DISTINCT source AS grp FROM documents), tg AS (SELECT grp, count(*) AS tokens, count(DISTINCT key) AS keys FROM tok GROUP BY grp),

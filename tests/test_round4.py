@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, pairs, vectors
+from corpusloom.operators import stats as st
+from corpusloom.plans import stats_queries as sq
+from corpusloom.plans import tables as tb
 
 
 def shuffled(spark, work):
@@ -67,3 +70,15 @@ def test_null_model_sends_slots_once(spark):
             spread.setdefault(l[i].src, set()).add(l[at].theme)
         assert whole[run] == sum(len(s) >= 4 for s in spread.values())
     assert size < 1_000_000
+
+
+def test_forms_are_counted_before_they_are_folded(spark, tmp_path):
+    texts = ["Thé the\tTHE 12, the. ...", "the\n\nthé İx Σας", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")}).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = {"form": "surface", "subkey": "subkey"}
+    each = lambda df: sorted(map(tuple, df.select("what", "item", "n").collect()))
+    got = each(sq.a03(spark, str(tmp_path)))
+    assert got == each(st.frequencies(tb.doc_tokens(spark, str(tmp_path)), labels))
+    assert ("subkey", "the", 6) in got
+    plan = tb.doc_shapes(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.index("Generate") and "regexp_replace" not in plan[plan.index("Generate"):]  # no fold of tokens
