@@ -1,7 +1,11 @@
 """Steps whose time, memory or disk grew faster than their input."""
 
+import time
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom.operators import align
 from corpusloom.operators import stats as st
 
 
@@ -15,3 +19,53 @@ def test_sides_are_found_once_per_row(spark):
     assert sorted(map(tuple, each.collect())) == [("de", ["r"], "c"), ("en", ["l", "r"], "a"), ("en", ["l", "r"], "b"), ("en", ["l", "r"], "b")]
     plan = optimised(each)  # printed from the result down to the source
     assert "arrays_overlap" not in plan[: plan.index("Generate")] and "arrays_overlap" in plan
+
+
+def test_longest_runs_of_a_batch():
+    rng = np.random.default_rng(5)
+    xs = [rng.integers(0, k, n) for k, n in [(3, 9), (2, 40), (50, 30), (1, 5), (4, 0), (9, 1), (3, 60)]]
+    ys = [rng.integers(0, k, n) for k, n in [(3, 12), (2, 33), (50, 41), (1, 7), (4, 3), (9, 1), (3, 50)]]
+
+    def plain(x, y):
+        best = (0, 0)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                k = 0
+                while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
+                    k += 1
+                best = (k, i) if k > best[0] else best
+        return best
+
+    want = [plain(x, y) for x, y in zip(xs, ys)]
+    assert align.longest_runs(xs, ys) == want
+    assert align.longest_runs(xs, ys, most=100) == want  # in parts, and by windows
+
+
+def test_best_window_takes_whole_lanes():
+    rng = np.random.default_rng(7)
+
+    def plain(xs, xl):
+        width, best = min(len(xl), len(xs) + 3), (-1, 0)
+        for s in range(0, len(xl) + 2 - width + 1):
+            if min(s + width, len(xl)) - s >= 4:
+                best = max(best, (align.edit_path(xs, xl[s : s + width])[1], -s))
+        return (-best[1], width, best[0]) if best[0] >= 4 else None
+
+    for k in range(60):
+        xs, xl = rng.integers(0, 2 + k % 9, 1 + k % 23), rng.integers(0, 2 + k % 9, 4 + k)
+        assert align._best_window(xs, xl) == plain(xs, xl)
+        assert align._best_window(xs, xl, room=1) == plain(xs, xl)
+    start = time.perf_counter()
+    assert align._best_window(rng.integers(0, 40, 300), rng.integers(0, 40, 1500))
+    assert time.perf_counter() - start < 4  # one script per window took over 10 s
+
+
+def test_runs_and_scripts_are_made_once(spark):
+    row = ("u", "v", ["a", "b", "c", "d"], ["b", "c", "d", "a"])
+    df = spark.createDataFrame([row], "a string, b string, a_seq array<string>, b_seq array<string>")
+    runs = align.with_longest_run(df, "a_seq", "b_seq").filter("run >= 3")
+    assert runs.select("run", "run_at").first() == (3, 1)
+    assert optimised(runs).count("runs(") == 1
+    out = align.op_counts(align.with_alignment(df.withColumns({"a_surf": F.col("a_seq"), "b_surf": F.col("b_seq")})), ["a", "b"])
+    assert out.select("n_eq", "n_del", "n_ins", "moved").first() == (3, 1, 1, 1)
+    assert optimised(out).count("align(") == 1  # no second script for the words that moved
