@@ -1,11 +1,14 @@
 """Steps whose time, memory or disk grew faster than their input."""
 
+import itertools
 import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.operators import align
+from corpusloom.functions import scale
+from corpusloom.functions import text as tx
+from corpusloom.operators import align, audit, textops
 from corpusloom.operators import stats as st
 
 
@@ -69,3 +72,40 @@ def test_runs_and_scripts_are_made_once(spark):
     out = align.op_counts(align.with_alignment(df.withColumns({"a_surf": F.col("a_seq"), "b_surf": F.col("b_seq")})), ["a", "b"])
     assert out.select("n_eq", "n_del", "n_ins", "moved").first() == (3, 1, 1, 1)
     assert optimised(out).count("align(") == 1  # no second script for the words that moved
+
+
+def test_quotes_are_found_by_their_heads(spark):
+    quotes = ["the cat sat on", "cat sat", "he cat sat on the mat", "\u0627\u0644 \u0643\u062a\u0627\u0628 \u0643", "no such words here"]
+    texts = ["xthe cat sat on the mat", "", None, "cat sa", "a \u0627\u0644 \u0643\u062a\u0627\u0628 \u0643", "the cat sat on" * 3]
+    long = [q for q in quotes if len(q) >= audit.HEAD]
+    find = audit.finder(long)
+    assert [sorted(find(t)) for t in texts] == [sorted(q for q in long if t and q in t) for t in texts]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    u = spark.createDataFrame(list(enumerate(texts)), "unit_id long, text string")
+    want = {(i, k) for i, q_ in enumerate(quotes) if len(q_) >= 8 for k, t in enumerate(texts) if t and q_ in t}
+    for letters in (audit.PASS, 16):  # in one pass over the units, and in several
+        assert {(r.quote_id, r.unit_id) for r in audit.link_quotations(q, u, lambda c: c, letters=letters).collect()} == want
+
+
+def test_many_blocks_do_not_multiply_small_groups(spark):
+    rows = [(g, (g * 13 + k * k * 7) % 4000) for g in range(60) for k in range(40)] + [(60, k) for k in range(300)]
+    df = spark.createDataFrame(sorted(set(rows)), "g long, i long")
+    got = {(r.a, r.b): r.n for r in scale.pairs_within(df, "g", "i", 64).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
+    want, groups = {}, {}
+    for g, i in set(rows):
+        groups.setdefault(g, []).append(i)
+    for items in groups.values():
+        for pair in itertools.combinations(sorted(items), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert got == want
+
+
+def test_weak_distances_are_those_of_the_column(spark):
+    rng = np.random.default_rng(3)
+    letters = list(tx.WEAK + "\u0628\u062a\u062b")
+    words = ["".join(rng.choice(letters, n)) for n in (0, 1, 2, 3, 5, 8, 4, 6)]
+    pairs = [(x, y) for x in words for y in words]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    want = [r.d for r in df.select(F.round(tx.weak_distance(F.col("a"), F.col("b")), 6).alias("d")).collect()]
+    assert np.round(textops.weak_distances(*zip(*pairs)), 6).tolist() == want
+    assert textops.weak_distances([], []).tolist() == []
