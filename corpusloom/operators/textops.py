@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.scale import cut_lineage
+from corpusloom.functions.scale import cut_lineage, kept, shuffle_width
 
 
 def clause_ranges(text: Column, n_words: Column, letter: str, mark: str) -> Column:
@@ -94,6 +96,39 @@ def _variants(df: DataFrame, word: str, depth: int) -> DataFrame:
     return out.distinct()
 
 
+def weak_distances(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``weak_distance`` of many pairs of words at once, one table cell of all of them at a time."""
+    words = [[w for w in side] for side in (a, b)]
+    sizes = [np.array([len(w) for w in side], dtype=np.int64) for side in words]
+    x, y = (np.zeros((max(size.max(initial=0), 1), len(side)), dtype=np.uint32) for side, size in zip(words, sizes))
+    for table, side in ((x, words[0]), (y, words[1])):
+        for k, w in enumerate(side):
+            table[: len(w), k] = np.frombuffer(w.encode("utf-32-le"), dtype="<u4")
+    weak = np.array([ord(c) for c in tx.WEAK], dtype=np.uint32)
+    wx, wy = np.isin(x, weak), np.isin(y, weak)
+    cx, cy = np.where(wx, 0.5, 1.0), np.where(wy, 0.5, 1.0)
+    row = np.repeat(np.arange(len(y) + 1, dtype=np.float64)[:, None], len(words[0]), axis=1)
+    for i in range(sizes[0].max(initial=0)):
+        new = np.empty_like(row)
+        new[0] = row[0] + 1.0
+        change = np.where(x[i] == y, 0.0, np.where(wx[i] & wy, 0.3, 1.0))
+        for j in range(1, len(row)):
+            new[j] = np.minimum(np.minimum(row[j - 1] + change[j - 1], row[j] + cx[i]), new[j - 1] + cy[j - 1])
+        row = np.where(i < sizes[0], new, row)
+    return row[sizes[1], np.arange(len(words[0]))]
+
+
+def with_weak_distance(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Column ``dist``, ``weak_distance`` of both words to six digits; neither may be null."""
+
+    @F.pandas_udf("double")
+    def dist(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(weak_distances(x.tolist(), y.tolist()))
+
+    # as a deterministic column it would run again in every filter on its result
+    return pairs.withColumn("dist", F.round(dist.asNondeterministic()(a, b), 6))
+
+
 def fuzzy_pairs(forms: DataFrame, keys: DataFrame, max_distance: float) -> DataFrame:
     """Pairs (form, key, dist) with weighted edit distance up to ``max_distance``.
 
@@ -105,8 +140,21 @@ def fuzzy_pairs(forms: DataFrame, keys: DataFrame, max_distance: float) -> DataF
     left = _variants(forms.select("form").distinct(), "form", depth)
     right = _variants(keys.select("key").distinct(), "key", depth)
     close = left.join(right, "v").select("form", "key").distinct()
-    near = close.withColumn("dist", F.round(tx.weak_distance(F.col("form"), F.col("key")), 6))
-    return near.filter(F.col("dist") <= max_distance)
+    return with_weak_distance(close, "form", "key").filter(F.col("dist") <= max_distance)
+
+
+def _nearest_in_lists(rows: DataFrame, band: float) -> DataFrame:
+    """(form, key, dist) of the keys of each row (form, keys) within ``band`` of the best of the row."""
+
+    @F.pandas_udf("array<struct<key:string,dist:double>>")
+    def near(forms: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for form, keys in zip(forms, lists):
+            dist = np.round(weak_distances([form] * len(keys), list(keys)), 6)
+            out.append([(keys[i], dist[i]) for i in np.flatnonzero(dist <= dist.min() + band + 1e-6)])
+        return pd.Series(out)
+
+    return rows.select("form", F.explode(near("form", "keys")).alias("n")).select("form", "n.key", F.round("n.dist", 6).alias("dist"))
 
 
 def nearest_keys(forms: DataFrame, keys: DataFrame, band: float = 0.3, max_depth: int = 3, block: int = 64) -> DataFrame:
@@ -114,11 +162,14 @@ def nearest_keys(forms: DataFrame, keys: DataFrame, band: float = 0.3, max_depth
     form gets its best key however far.
 
     Works outward: forms whose best match is settled at one distance leave the
-    pool, only the rest are compared at the next.  The few that no key comes
-    near within ``max_depth`` edits are compared with all keys, by blocks of
-    forms.  ``keys`` has (key, freq).
+    pool, only the rest are compared at the next.  Where the spellings to try
+    would be more rows than the pairs left, and for those that no key comes near
+    within ``max_depth`` edits, forms are compared with all keys, in lists of
+    about ``block`` thousand letters each, of which only the nearest come back.
+    ``keys`` has (key, freq).
     """
-    todo = forms.select("form").distinct()
+    todo = kept(forms.select("form").distinct(), "forms")
+    keys = kept(keys.select("key", "freq"), "keys")  # read by every round
     found = None
 
     def settle(pairs: DataFrame, limit: float | None) -> DataFrame:
@@ -129,18 +180,20 @@ def nearest_keys(forms: DataFrame, keys: DataFrame, band: float = 0.3, max_depth
         found = done if found is None else found.unionByName(done)
         return best
 
+    words = keys.filter("key IS NOT NULL").select("key").distinct()
+    size = F.length(F.regexp_replace("key", f"[{tx.WEAK}]", "")).cast("double")
+    total, letters, *spellings = words.agg(F.count(F.lit(1)), F.sum(F.length("key")), *[F.sum(F.pow(size, F.lit(d))) for d in range(1, max_depth + 1)]).first()
     for reach in range(1, max_depth + 1):
-        best = settle(fuzzy_pairs(todo, keys, reach + 0.999), reach + 0.999 - band)
-        todo = cut_lineage(todo.join(best, "form", "left_anti"))
-        left = todo.count()
-        if not left:
+        left = todo.filter("form IS NOT NULL").count()
+        if not left or left * total <= (spellings[reach - 1] or 0) / math.factorial(reach):
             break
-    else:
-        blocks = -(-left // block)
-        dealt = todo.withColumn("_b", F.pmod(F.xxhash64("form"), F.lit(blocks)).cast("int"))
-        every = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-        pairs = dealt.join(every, "_b").select("form", "key", F.round(tx.weak_distance(F.col("form"), F.col("key")), 6).alias("dist"))
-        settle(pairs.filter("form IS NOT NULL AND key IS NOT NULL").distinct(), None)
+        best = settle(kept(fuzzy_pairs(todo, keys, reach + 0.999), "fuzzy-pairs"), reach + 0.999 - band)
+        todo = cut_lineage(todo.join(best, "form", "left_anti"))
+    if found is None or todo.filter("form IS NOT NULL").count():
+        lists = max(1, -(-int(letters or 0) // (1000 * block)))
+        listed = words.groupBy(F.pmod(F.xxhash64("key"), F.lit(lists)).alias("_l")).agg(F.collect_list("key").alias("keys"))
+        some = todo.filter("form IS NOT NULL").repartition(shuffle_width(todo.sparkSession), "form").crossJoin(listed.select("keys"))
+        settle(kept(_nearest_in_lists(some, band), "fuzzy-pairs"), None)
     ranked = found.join(keys, "key").select("form", "key", "dist", "freq")
     from pyspark.sql import Window
 

@@ -109,3 +109,17 @@ def test_weak_distances_are_those_of_the_column(spark):
     want = [r.d for r in df.select(F.round(tx.weak_distance(F.col("a"), F.col("b")), 6).alias("d")).collect()]
     assert np.round(textops.weak_distances(*zip(*pairs)), 6).tolist() == want
     assert textops.weak_distances([], []).tolist() == []
+
+
+def test_nearest_keys_compare_all_where_spellings_are_more(spark):
+    keys = spark.createDataFrame([("\u0628\u062a\u062b" * n + x, n) for n in (1, 4, 12) for x in ("\u062c", "\u062d", "\u0648")], "key string, freq long")
+    forms = spark.createDataFrame([("\u0628\u062a\u062b" * 12 + "\u062e\u062e\u062e\u062e",), ("\u0628\u062a\u062c",), (None,)], "form string")
+    rows = {r.form: [] for r in forms.collect() if r.form}
+    for r in textops.nearest_keys(forms, keys).orderBy("form", "rank").collect():
+        rows[r.form].append((r.key, r.dist))
+    every = [r.key for r in keys.collect()]
+    for form, got in rows.items():
+        dist = dict(zip(every, np.round(textops.weak_distances([form] * len(every), every), 6).tolist()))
+        best = min(dist.values())
+        assert dict(got) == {k: d for k, d in dist.items() if round(d - best, 6) <= 0.3}
+    assert textops.nearest_keys(forms.filter("form IS NULL"), keys).count() == 0
