@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scale
 from corpusloom.functions import text as tx
-from corpusloom.operators import align, audit, textops
+from corpusloom.operators import align, audit, pairs, textops
 from corpusloom.operators import stats as st
 
 
@@ -104,10 +104,10 @@ def test_weak_distances_are_those_of_the_column(spark):
     rng = np.random.default_rng(3)
     letters = list(tx.WEAK + "\u0628\u062a\u062b")
     words = ["".join(rng.choice(letters, n)) for n in (0, 1, 2, 3, 5, 8, 4, 6)]
-    pairs = [(x, y) for x in words for y in words]
-    df = spark.createDataFrame(pairs, "a string, b string")
+    both = [(x, y) for x in words for y in words]
+    df = spark.createDataFrame(both, "a string, b string")
     want = [r.d for r in df.select(F.round(tx.weak_distance(F.col("a"), F.col("b")), 6).alias("d")).collect()]
-    assert np.round(textops.weak_distances(*zip(*pairs)), 6).tolist() == want
+    assert np.round(textops.weak_distances(*zip(*both)), 6).tolist() == want
     assert textops.weak_distances([], []).tolist() == []
 
 
@@ -123,3 +123,21 @@ def test_nearest_keys_compare_all_where_spellings_are_more(spark):
         best = min(dist.values())
         assert dict(got) == {k: d for k, d in dist.items() if round(d - best, 6) <= 0.3}
     assert textops.nearest_keys(forms.filter("form IS NULL"), keys).count() == 0
+
+
+def test_overlap_is_that_of_all_grams(spark):
+    texts = {u: [str((u // 3 * 7 + k * k) % 11) for k in range(12)] + ["x", "y", "z", "v", "w"] + [str(u % 2)] * 4 for u in range(12)}
+    seqs = spark.createDataFrame([(u, s, f"d{u}") for u, s in texts.items()], "unit_id long, seq array<string>, digest string")
+    grams = {u: {tuple(s[i : i + 4]) for i in range(len(s) - 3)} for u, s in texts.items()}
+    held = {}
+    for g in itertools.chain(*grams.values()):
+        held[g] = held.get(g, 0) + 1
+    want = {}
+    for a, b in itertools.combinations(texts, 2):
+        shared = sum(2 <= held[g] <= 3 for g in grams[a] & grams[b])
+        if shared >= 2:
+            want[a, b] = (shared, len(grams[a] & grams[b]) / len(grams[a] | grams[b]))
+    assert want and max(held.values()) > 3
+    for floor in (0.0, 0.9):
+        got = {(r.a, r.b): (r.shared, r.jac) for r in pairs.overlapping_pairs(seqs, "digest", floor=floor, high=3).collect()}
+        assert got == {k: v for k, v in want.items() if v[1] >= floor}
